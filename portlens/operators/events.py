@@ -79,7 +79,7 @@ def command_document(
     if not legacy_detection:
         keys = F.json_object_keys(command)
         bare = F.array_contains(keys, "q") & ~F.arrays_overlap(keys, F.lit(list(fixed.KNOWN_COMMANDS)))
-        taken = F.when(bare & (op == "update"), updates(command)).when(bare & (op == "remove"), deletes(command)).otherwise(command)
+        taken = F.when((op == "update") & bare, updates(command)).when((op == "remove") & bare, deletes(command)).otherwise(command)
     return (
         F.when(given, taken)
         .when((op == "query") & names_command, query_doc)

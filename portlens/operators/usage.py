@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from portlens.functions.text import blank, iso_text
-from portlens.operators.walk import feature_names, feature_nodes
+from portlens.operators.walk import command_parts, feature_names, feature_nodes
 from portlens.session import BROADCAST_ROWS, durable
 
 USAGE_KEYS = ("feature_type", "feature_name", "command_name", "op_type", "database", "collection")
@@ -15,17 +15,31 @@ _TOP_KEY = 9223372036854775807
 _SPAN = "10000000000000000000"
 
 
+def _one_per_row(array: Column) -> Column:
+    """Unnest an array that is costly to compute.
+
+    The outer form computes it once per row; for the inner form the optimizer
+    adds a filter on its size, which computes it again. Rows of empty arrays
+    come out as NULL and are to be filtered.
+    """
+    return F.inline_outer(array)
+
+
 def features(events: DataFrame) -> DataFrame:
     """One row per use of a feature."""
-    return events.select(
-        "event_key",
-        "ts",
-        "duration_ms",
-        "command_name",
-        F.col("op").alias("op_type"),
-        F.col("db_name").alias("database"),
-        F.col("collection_name").alias("collection"),
-        F.inline(feature_names("command_doc", "command_name")),
+    return (
+        events.withColumn("_parts", command_parts("command_doc"))
+        .select(
+            "event_key",
+            "ts",
+            "duration_ms",
+            "command_name",
+            F.col("op").alias("op_type"),
+            F.col("db_name").alias("database"),
+            F.col("collection_name").alias("collection"),
+            _one_per_row(feature_names("command_doc", "command_name", "_parts")),
+        )
+        .filter(F.col("feature_name").isNotNull())
     )
 
 
@@ -36,8 +50,8 @@ def feature_details(events: DataFrame) -> DataFrame:
         "ts",
         "command_name",
         F.col("op").alias("op_type"),
-        F.inline(feature_nodes("command_doc", "command_name")),
-    )
+        _one_per_row(feature_nodes("command_doc", "command_name")),
+    ).filter(F.col("feature_name").isNotNull())
 
 
 def _recency() -> Column:

@@ -5,6 +5,8 @@ from the JSON text, which is all that counting needs and costs one pass over
 the text. `feature_nodes` opens the document as VARIANT and also gives the
 path and value of every feature; it serves the samples, and the few documents
 whose text alone cannot be trusted (see `needs_walk`).
+
+The expressions are written as SQL text, which is one call to build.
 """
 
 from __future__ import annotations
@@ -12,254 +14,231 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from portlens import fixed
-from portlens.functions.text import ColumnOrName, col
-
-_PARTS = (
-    "filter STRING, projection STRING, updates ARRAY<STRING>, deletes ARRAY<STRING>, "
-    "query STRING, `update` STRING, pipeline ARRAY<STRING>"
-)
-_KEY = r'(?<!\\)"(\$[^"\\]*)":'
-_FEATURES = "array<struct<feature_type:string,feature_name:string>>"
-_STAGES = "array<struct<position:int,name:string,text:string>>"
-_PIPELINES = "array<array<string>>"
-_NODES = "array<struct<path:string,key:string,outer_expr:boolean,in_expr:boolean,node:variant>>"
-_FOUND = "array<struct<feature_type:string,feature_name:string,sample_path:string,sample_value:string>>"
-
-
-def _empty(kind: str) -> Column:
-    return F.array().cast(kind)
 
+_FEATURES = "array<struct<feature_type string, feature_name string>>"
+_STAGES = "array<struct<position int, name string, single boolean, text string>>"
+_PIPELINES = "array<array<string>>"
+_NODES = "array<struct<path string, key string, outer_expr boolean, in_expr boolean, node variant>>"
+_FOUND = "array<struct<feature_type string, feature_name string, sample_path string, sample_value string>>"
 
-def _or_empty(value: Column, kind: str) -> Column:
-    return F.coalesce(value.cast(kind), _empty(kind))
+# A key that starts with `$` and holds no escapes. The quote in front of it
+# must not be escaped itself: then it would be part of a text value.
+_KEY = r"""r'(?<!\\)"(\$[^"\\]*)":'"""
+_WALKED_COMMANDS = "('find', 'update', 'delete', 'findAndModify', 'aggregate')"
 
 
-def _object(node: Column) -> Column:
-    return F.try_variant_get(node, "$", "map<string,variant>")
+def _words(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def _array(node: Column) -> Column:
-    return F.try_variant_get(node, "$", "array<variant>")
+def _none(kind: str) -> str:
+    return f"CAST(array() AS {kind})"
 
 
 # --- pipeline stages ------------------------------------------------------
 
 
-def _nested_pipelines(stage: Column) -> Column:
-    body = F.get(F.map_values(F.from_json(stage.text, "map<string,string>")), F.lit(0))
-    of_lookup = F.from_json(body, "pipeline ARRAY<STRING>").pipeline
-    of_facet = F.transform(
-        F.map_values(F.from_json(body, "map<string,string>")), lambda branch: F.from_json(branch, "array<string>")
+def _stages(pipeline: str, doc: str) -> str:
+    """SQL for all stages of a pipeline and of the pipelines nested in it.
+
+    A stage is named by its first key in document order. Positions restart in
+    each nested pipeline. Nesting is at most as deep as there are stages that
+    can nest, so that many rounds visit all of it.
+    """
+    body = "get(map_values(from_json(g.text, 'map<string,string>')), 0)"
+    opened = (
+        "flatten(transform(s.open, p -> transform(p, (t, i) -> "
+        "named_struct('position', i, 'keys', json_object_keys(t), 'text', t))))"
+    )
+    level = (
+        f"transform(filter({opened}, o -> size(o.keys) > 0), o -> named_struct("
+        "'position', o.position, 'name', o.keys[0], 'single', size(o.keys) = 1, 'text', o.text))"
+    )
+    nested = (
+        "filter(CASE g.name "
+        f"WHEN '$lookup' THEN array(from_json({body}, 'pipeline array<string>').pipeline) "
+        f"WHEN '$facet' THEN transform(map_values(from_json({body}, 'map<string,string>')), b -> from_json(b, 'array<string>')) "
+        "END, p -> p IS NOT NULL)"
     )
-    nested = F.when(stage["name"] == "$lookup", F.array(of_lookup)).when(stage["name"] == "$facet", of_facet)
-    return _or_empty(F.filter(nested, lambda p: p.isNotNull()), _PIPELINES)
+    below = f"flatten(transform(filter(l, g -> g.name IN ('$lookup', '$facet')), g -> coalesce({nested}, {_none(_PIPELINES)})))"
+    # `l` is bound by transforming a one-element array, so a level is opened once.
+    step = (
+        f"transform(array(CAST({level} AS {_STAGES})), l -> named_struct("
+        f"'open', CAST({below} AS {_PIPELINES}), 'seen', CAST(concat(s.seen, l) AS {_STAGES})))[0]"
+    )
+    rounds = (
+        f"sequence(0, CASE WHEN contains({doc}, '\"$lookup\"') OR contains({doc}, '\"$facet\"') "
+        f"THEN size(regexp_extract_all({doc}, r'(\"\\$(?:lookup|facet)\")', 1)) ELSE 0 END)"
+    )
+    start = f"named_struct('open', CAST(filter(array({pipeline}), p -> p IS NOT NULL) AS {_PIPELINES}), 'seen', {_none(_STAGES)})"
+    return f"aggregate({rounds}, {start}, (s, r) -> {step}, s -> s.seen)"
 
 
-def stages(pipeline: Column) -> Column:
-    """All stages of a pipeline and of the pipelines nested in it.
+# --- names from the text --------------------------------------------------
 
-    A stage is named by its first key in document order. Positions restart in
-    each nested pipeline.
-    """
 
-    def level_of(pipelines: Column) -> Column:
-        numbered = F.transform(
-            pipelines,
-            lambda p: F.transform(
-                p,
-                lambda text, i: F.struct(
-                    i.alias("position"), F.get(F.json_object_keys(text), F.lit(0)).alias("name"), text.alias("text")
-                ),
-            ),
-        )
-        return F.filter(F.flatten(numbered), lambda s: s["name"].isNotNull())
-
-    def descend(state: Column, _round: Column) -> Column:
-        level = _or_empty(level_of(state.open), _STAGES)
-        return F.struct(
-            F.flatten(F.transform(level, _nested_pipelines)).cast(_PIPELINES).alias("open"),
-            F.concat(state.seen, level).cast(_STAGES).alias("seen"),
-        )
-
-    start = F.struct(
-        F.when(pipeline.isNotNull(), F.array(pipeline)).otherwise(_empty(_PIPELINES)).cast(_PIPELINES).alias("open"),
-        _empty(_STAGES).alias("seen"),
-    )
-    # Nesting is at most as deep as there are stages that can nest.
-    nesting = F.size(F.regexp_extract_all(F.array_join(pipeline, ","), F.lit(r'("\$(?:lookup|facet)":)'), F.lit(1)))
-    rounds = F.sequence(F.lit(0), F.greatest(F.coalesce(nesting, F.lit(0)), F.lit(0)))
-    return F.aggregate(rounds, start, descend).seen
+def _keys(text: str) -> str:
+    return f"coalesce(regexp_extract_all({text}, {_KEY}, 1), {_none('array<string>')})"
 
 
-def _closed_stage(stage: Column) -> Column:
-    """Stages whose body is covered by their nested pipelines alone."""
-    is_object = F.json_object_keys(F.get(F.map_values(F.from_json(stage.text, "map<string,string>")), F.lit(0))).isNotNull()
-    return stage["name"].isin("$lookup", "$facet") & is_object
+def _typed(kind: str, names: str) -> str:
+    return f"transform({names}, n -> named_struct('feature_type', {kind}, 'feature_name', n))"
 
 
-# --- names from the text --------------------------------------------------
+def _stage_names() -> str:
+    """SQL for the features of stage `g`.
 
+    The bodies of lookups and facets are covered by their nested pipelines.
+    """
+    body = "from_json(g.text, 'map<string,string>')[g.name]"
+    below = f"CASE WHEN g.single THEN slice({_keys('g.text')}, IF(startswith(g.name, '$'), 2, 1), length(g.text)) ELSE {_keys(body)} END"
+    kind = "IF(g.name = '$match', 'operator', 'expression')"
+    closed = f"g.name IN ('$lookup', '$facet') AND json_object_keys({body}) IS NOT NULL"
+    own = f"IF(startswith(g.name, '$'), {_typed("'stage'", 'array(g.name)')}, {_none(_FEATURES)})"
+    return f"concat({own}, CASE WHEN {closed} THEN {_none(_FEATURES)} ELSE {_typed(kind, below)} END)"
 
-def _keys(text: Column) -> Column:
-    return _or_empty(F.regexp_extract_all(text, F.lit(_KEY), F.lit(1)), "array<string>")
 
+def command_parts(doc: str) -> Column:
+    """Texts of the command's fields that hold features, from one parse.
 
-def _typed(kind: Column | str, names: Column) -> Column:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.transform(names, lambda n: F.struct(kind.alias("feature_type"), n.alias("feature_name"))).cast(_FEATURES)
+    Keep it as a column of its own, so that the document is parsed once.
+    """
+    return F.from_json(
+        doc,
+        "filter STRING, projection STRING, updates ARRAY<STRING>, deletes ARRAY<STRING>, "
+        "query STRING, `update` STRING, pipeline ARRAY<STRING>",
+    )
 
 
-def _stage_names(stage: Column) -> Column:
-    own = F.when(stage["name"].startswith("$"), _typed("stage", F.array(stage["name"]))).otherwise(_empty(_FEATURES))
-    single = F.size(F.json_object_keys(stage.text)) == 1
-    below = F.when(
-        single,
-        F.slice(_keys(stage.text), F.when(stage["name"].startswith("$"), 2).otherwise(1), F.length(stage.text)),
-    ).otherwise(_keys(F.from_json(stage.text, "map<string,string>")[stage["name"]]))
-    kind = F.when(stage["name"] == "$match", "operator").otherwise("expression")
-    return F.concat(own, F.when(_closed_stage(stage), _empty(_FEATURES)).otherwise(_typed(kind, below)))
+def _needs_walk(doc: str) -> str:
+    return f"(contains({doc}, r'\\') OR contains({doc}, '\"$expr\"'))"
 
 
-def needs_walk(doc: ColumnOrName) -> Column:
+def needs_walk(doc: str) -> Column:
     """Documents whose features cannot be read from the text alone.
 
     Escapes can hide keys inside text values, and `$expr` turns what lies
     below it from operators into expressions.
     """
-    return col(doc).contains("\\") | col(doc).contains('"$expr"')
+    return F.expr(_needs_walk(doc))
 
 
-def feature_names(doc: ColumnOrName, command: ColumnOrName) -> Column:
-    """Array of (feature_type, feature_name), one per use."""
-    doc, command = col(doc), col(command)
-    parts = F.from_json(doc, _PARTS)
-
-    def pieces(items: Column, fields: str) -> Column:
-        opened = F.transform(items, lambda item: F.from_json(item, fields))
-        texts = lambda x: F.concat(*[_keys(x[name.split()[0]]) for name in fields.split(", ")])
-        return _or_empty(F.flatten(F.transform(opened, texts)), "array<string>")
+def feature_names(doc: str, command: str, parts: str) -> Column:
+    """Array of (feature_type, feature_name), one per use.
 
+    Arguments are column names; `parts` holds `command_parts` of `doc`.
+    """
+    pair = "transform(array(from_json(x, 'q string, u string')), y -> concat({q}, {u}))[0]".format(q=_keys("y.q"), u=_keys("y.u"))
+    updates = f"flatten(transform({parts}.updates, x -> {pair}))"
+    single = _keys("from_json(x, 'q string').q")
+    deletes = f"flatten(transform({parts}.deletes, x -> {single}))"
     operators = (
-        F.when(command == "find", F.concat(_keys(parts["filter"]), _keys(parts["projection"])))
-        .when(command == "update", pieces(parts["updates"], "q STRING, u STRING"))
-        .when(command == "delete", pieces(parts["deletes"], "q STRING"))
-        .when(command == "findAndModify", F.concat(_keys(parts["query"]), _keys(parts["update"])))
+        f"CASE {command} "
+        f"WHEN 'find' THEN concat({_keys(parts + '.filter')}, {_keys(parts + '.projection')}) "
+        f"WHEN 'update' THEN {updates} "
+        f"WHEN 'delete' THEN {deletes} "
+        f"WHEN 'findAndModify' THEN concat({_keys(parts + '.query')}, {_keys(parts + '.`update`')}) END"
     )
-    from_text = F.when(
-        command == "aggregate", F.flatten(F.transform(stages(parts["pipeline"]), _stage_names))
-    ).otherwise(_typed("operator", _or_empty(operators, "array<string>")))
-    own = F.when(command.isin(*fixed.KNOWN_COMMANDS), _typed("command", F.array(command))).otherwise(_empty(_FEATURES))
-    walked = F.transform(feature_nodes(doc, command), lambda f: F.struct(f.feature_type, f.feature_name)).cast(_FEATURES)
-    return F.when(needs_walk(doc) & command.isin("find", "update", "delete", "findAndModify", "aggregate"), walked).otherwise(
-        F.concat(own, _or_empty(from_text, _FEATURES))
+    staged = f"flatten(transform({_stages(parts + '.pipeline', doc)}, g -> {_stage_names()}))"
+    plain = _typed("'operator'", f"coalesce({operators}, {_none('array<string>')})")
+    own = f"IF({command} IN {_words(fixed.KNOWN_COMMANDS)}, {_typed("'command'", f'array({command})')}, {_none(_FEATURES)})"
+    walked = f"transform({_feature_nodes(doc, command)}, f -> named_struct('feature_type', f.feature_type, 'feature_name', f.feature_name))"
+    return F.expr(
+        f"CASE WHEN {command} IN {_WALKED_COMMANDS} AND {_needs_walk(doc)} THEN CAST({walked} AS {_FEATURES}) "
+        f"ELSE CAST(concat({own}, CASE WHEN {command} = 'aggregate' THEN {staged} ELSE {plain} END) AS {_FEATURES}) END"
     )
 
 
 # --- nodes from the VARIANT -----------------------------------------------
 
 
-def _root(path: Column, in_expr: Column | bool, node: Column) -> Column:
-    in_expr = F.lit(in_expr) if isinstance(in_expr, bool) else in_expr
-    return F.struct(path.alias("path"), F.lit("").alias("key"), in_expr.alias("outer_expr"), in_expr.alias("in_expr"), node.alias("node"))
+def _object(node: str) -> str:
+    return f"try_variant_get({node}, '$', 'map<string,variant>')"
+
 
+def _root(path: str, in_expr: str, node: str) -> str:
+    return f"named_struct('path', {path}, 'key', '', 'outer_expr', {in_expr}, 'in_expr', {in_expr}, 'node', {node})"
 
-def _children(parent: Column, arrays: bool) -> Column:
-    of_object = F.transform(
-        F.map_entries(_object(parent.node)),
-        lambda e: F.struct(
-            F.concat(parent.path, F.lit("."), e.key).alias("path"),
-            e.key.alias("key"),
-            parent.in_expr.alias("outer_expr"),
-            (parent.in_expr | (e.key == "$expr")).alias("in_expr"),
-            e.value.alias("node"),
-        ),
+
+def _children(arrays: bool) -> str:
+    """SQL for the nodes directly below node `n`."""
+    of_object = (
+        f"CAST(transform(map_entries({_object('n.node')}), e -> named_struct("
+        "'path', concat(n.path, '.', e.key), 'key', e.key, 'outer_expr', n.in_expr, "
+        f"'in_expr', n.in_expr OR e.key = '$expr', 'node', e.value)) AS {_NODES})"
     )
     if not arrays:
-        return _or_empty(of_object, _NODES)
-    of_array = F.transform(
-        _array(parent.node),
-        lambda item, i: _root(F.concat(parent.path, F.lit("["), i.cast("string"), F.lit("]")), parent.in_expr, item),
-    )
-    return F.coalesce(of_object.cast(_NODES), of_array.cast(_NODES), _empty(_NODES))
+        return f"coalesce({of_object}, {_none(_NODES)})"
+    item = _root("concat(n.path, '[', i, ']')", "n.in_expr", "x")
+    of_array = f"CAST(transform(try_variant_get(n.node, '$', 'array<variant>'), (x, i) -> {item}) AS {_NODES})"
+    return f"coalesce({of_object}, {of_array}, {_none(_NODES)})"
 
 
-def walk(roots: Column, text: Column, arrays: bool = True) -> Column:
-    """Every node below the roots whose key starts with `$`, at any depth.
+def walk_sql(roots: str, text: str, arrays: bool = True) -> str:
+    """SQL for every node below the roots whose key starts with `$`.
 
     One level per round. A document is never deeper than it has opening
     brackets, so that many rounds visit all of it.
     """
+    level = f"CAST(flatten(transform(s.open, n -> {_children(arrays)})) AS {_NODES})"
+    step = (
+        f"transform(array({level}), l -> named_struct('open', l, "
+        f"'seen', CAST(concat(s.seen, filter(l, n -> startswith(n.key, '$'))) AS {_NODES})))[0]"
+    )
+    start = f"named_struct('open', CAST(coalesce({roots}, array()) AS {_NODES}), 'seen', {_none(_NODES)})"
+    rounds = f"sequence(0, coalesce(length({text}) - length(translate({text}, '{{[', '')), 0))"
+    return f"aggregate({rounds}, {start}, (s, r) -> {step}, s -> s.seen)"
 
-    def descend(state: Column, _round: Column) -> Column:
-        level = F.flatten(F.transform(state.open, lambda n: _children(n, arrays))).cast(_NODES)
-        return F.struct(
-            level.alias("open"),
-            F.concat(state.seen, F.filter(level, lambda n: n.key.startswith("$"))).cast(_NODES).alias("seen"),
-        )
-
-    start = F.struct(_or_empty(roots, _NODES).alias("open"), _empty(_NODES).alias("seen"))
-    brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
-    rounds = F.sequence(F.lit(0), F.greatest(F.coalesce(brackets, F.lit(0)), F.lit(0)))
-    return F.aggregate(rounds, start, descend).seen
-
-
-def _indexed(items: Column, prefix: str, fields: tuple[str, ...]) -> Column:
-    def roots(item: Column, i: Column) -> Column:
-        base = F.concat(F.lit(prefix), i.cast("string"), F.lit("]."))
-        return F.array(*[_root(F.concat(base, F.lit(f)), False, F.try_variant_get(item, f"$.{f}", "variant")) for f in fields])
-
-    return F.flatten(F.transform(items, roots))
 
+def _indexed(items: str, prefix: str, fields: tuple[str, ...]) -> str:
+    roots = ", ".join(
+        _root(f"concat('{prefix}[', i, '].{f}')", "false", f"try_variant_get(x, '$.{f}', 'variant')") for f in fields
+    )
+    return f"flatten(transform({items}, (x, i) -> array({roots})))"
 
-def _stage_path(stage: Column) -> Column:
-    return F.concat(F.lit("command.pipeline["), stage.position.cast("string"), F.lit("]."), stage["name"])
 
+def _feature_nodes(doc: str, command: str) -> str:
+    tree = f"try_parse_json({doc})"
 
-def _stage_body(stage: Column) -> Column:
-    return _object(F.try_parse_json(stage.text))[stage["name"]]
+    def root_of(name: str) -> str:
+        return _root(f"'command.{name}'", "false", f"try_variant_get({tree}, '$.{name}', 'variant')")
 
+    def items_of(name: str) -> str:
+        return f"try_variant_get({tree}, '$.{name}', 'array<variant>')"
 
-def _found(kind: Column, name: Column, path: Column, value: Column) -> Column:
-    return F.struct(
-        kind.alias("feature_type"), name.alias("feature_name"), path.alias("sample_path"), value.alias("sample_value")
+    body = "try_variant_get(try_parse_json(g.text), '$', 'map<string,variant>')[g.name]"
+    stage_path = "concat('command.pipeline[', g.position, '].', g.name)"
+    all_stages = _stages(f"from_json({doc}, 'pipeline array<string>').pipeline", doc)
+    open_stages = f"filter(all_stages, g -> NOT (g.name IN ('$lookup', '$facet') AND {_object(body)} IS NOT NULL))"
+    stage_root = _root(stage_path, "g.name != '$match'", body)
+    stage_roots = f"transform({open_stages}, g -> {stage_root})"
+    roots = (
+        f"CASE {command} "
+        f"WHEN 'find' THEN CAST(array({root_of('filter')}, {root_of('projection')}) AS {_NODES}) "
+        f"WHEN 'update' THEN CAST({_indexed(items_of('updates'), 'command.updates', ('q', 'u'))} AS {_NODES}) "
+        f"WHEN 'delete' THEN CAST({_indexed(items_of('deletes'), 'command.deletes', ('q',))} AS {_NODES}) "
+        f"WHEN 'findAndModify' THEN CAST(array({root_of('query')}, {root_of('update')}) AS {_NODES}) "
+        f"WHEN 'aggregate' THEN CAST({stage_roots} AS {_NODES}) END"
     )
 
+    def found(kind: str, name: str, path: str, value: str) -> str:
+        return f"named_struct('feature_type', {kind}, 'feature_name', {name}, 'sample_path', {path}, 'sample_value', {value})"
 
-def feature_nodes(doc: ColumnOrName, command: ColumnOrName) -> Column:
-    """Array of (feature_type, feature_name, sample_path, sample_value)."""
-    doc, command = col(doc), col(command)
-    tree = F.try_parse_json(doc)
-    all_stages = stages(F.when(command == "aggregate", F.from_json(doc, "pipeline ARRAY<STRING>").pipeline))
+    node = found("IF(n.outer_expr, 'expression', 'operator')", "n.key", "n.path", "to_json(n.node)")
+    stage = found("'stage'", "g.name", stage_path, f"to_json({body})")
+    own = found("'command'", command, f"concat('command.', {command})", f"coalesce(to_json({_object(tree)}[{command}]), 'null')")
+    whole = (
+        f"concat(CAST(filter(array({own}), f -> {command} IN {_words(fixed.KNOWN_COMMANDS)}) AS {_FOUND}), "
+        f"CAST(transform(filter(all_stages, g -> startswith(g.name, '$')), g -> {stage}) AS {_FOUND}), "
+        f"CAST(transform({walk_sql(roots, doc)}, n -> {node}) AS {_FOUND}))"
+    )
+    stages = f"IF({command} = 'aggregate', {all_stages}, {_none(_STAGES)})"
+    return f"transform(array({stages}), all_stages -> {whole})[0]"
 
-    def field(name: str) -> Column:
-        return F.try_variant_get(tree, f"$.{name}", "variant")
 
-    def root_of(name: str) -> Column:
-        return _root(F.lit(f"command.{name}"), False, field(name))
+def feature_nodes(doc: str, command: str) -> Column:
+    """Array of (feature_type, feature_name, sample_path, sample_value).
 
-    open_stages = F.filter(all_stages, lambda s: ~(s["name"].isin("$lookup", "$facet") & _object(_stage_body(s)).isNotNull()))
-    roots = (
-        F.when(command == "find", F.array(root_of("filter"), root_of("projection")).cast(_NODES))
-        .when(command == "update", _indexed(_array(field("updates")), "command.updates[", ("q", "u")).cast(_NODES))
-        .when(command == "delete", _indexed(_array(field("deletes")), "command.deletes[", ("q",)).cast(_NODES))
-        .when(command == "findAndModify", F.array(root_of("query"), root_of("update")).cast(_NODES))
-        .when(
-            command == "aggregate",
-            F.transform(open_stages, lambda s: _root(_stage_path(s), s["name"] != "$match", _stage_body(s))).cast(_NODES),
-        )
-    )
-    below = F.transform(
-        walk(roots, doc),
-        lambda n: _found(F.when(n.outer_expr, "expression").otherwise("operator"), n.key, n.path, F.to_json(n.node)),
-    )
-    of_stages = F.transform(
-        F.filter(all_stages, lambda s: s["name"].startswith("$")),
-        lambda s: _found(F.lit("stage"), s["name"], _stage_path(s), F.to_json(_stage_body(s))),
-    )
-    value = F.coalesce(F.to_json(_object(tree)[command]), F.lit("null"))
-    own = F.array(_found(F.lit("command"), command, F.concat(F.lit("command."), command), value))
-    return F.concat(
-        F.when(command.isin(*fixed.KNOWN_COMMANDS), own.cast(_FOUND)).otherwise(_empty(_FOUND)),
-        _or_empty(of_stages, _FOUND),
-        _or_empty(below, _FOUND),
-    )
+    Arguments are column names.
+    """
+    return F.expr(_feature_nodes(doc, command))

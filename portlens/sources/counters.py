@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from portlens import fixed
 from portlens.functions.text import ColumnOrName, col
-from portlens.operators.walk import _object, walk
+from portlens.operators.walk import walk_sql
+
+
+def _object(node: ColumnOrName) -> Column:
+    return F.try_variant_get(col(node), "$", "map<string,variant>")
 
 
 def _is_number(value: Column) -> Column:
@@ -84,16 +88,10 @@ def dropped_commands(counters: DataFrame) -> DataFrame:
 
 
 def _tree_counters(counters: DataFrame, section: str, kind: str, command: str) -> DataFrame:
-    root = F.array(
-        F.struct(
-            F.lit(f"metrics.{section}").alias("path"),
-            F.lit("").alias("key"),
-            F.lit(False).alias("outer_expr"),
-            F.lit(False).alias("in_expr"),
-            F.col("tree").alias("node"),
-        )
+    root = (
+        f"array(named_struct('path', 'metrics.{section}', 'key', '', 'outer_expr', false, 'in_expr', false, 'node', tree))"
     )
-    nodes = _section(counters, section).select("instance", F.explode(walk(root, F.col("metrics"), arrays=False)).alias("f"))
+    nodes = _section(counters, section).select("instance", F.explode(F.expr(walk_sql(root, "metrics", arrays=False))).alias("f"))
     counted = nodes.withColumn("n", counter_value("f.node")).filter(F.col("n") > 0)
     return counted.select(
         "instance",
