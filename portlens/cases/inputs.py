@@ -156,3 +156,162 @@ SELECT event_id AS event_key, ts,
   CASE WHEN event_type = 'error' THEN 'failed ' || CAST(event_id % 100 AS STRING) WHEN event_type = 'click' THEN '' END AS errMsg
 FROM events
 """
+
+# Server log lines: candidates, other components, broken JSON, odd shapes.
+LOG_LINES = """
+SELECT event_id AS line_no, CASE event_id % 10
+  WHEN 0 THEN '{"t":{"$date":"' || seen || '"},"c":"COMMAND","msg":"Slow query","attr":{"ns":"' || ns || '","command":{"find":"c","filter":{"a":' || amount || '},"$db":"x"}}}'
+  WHEN 1 THEN '{"t":{"$date":"' || seen || '"},"c" : "COMMAND","attr":{"ns":"' || ns || '","command":{"lsid":{"id":1},"$db":"x","aggregate":"c"}}}'
+  WHEN 2 THEN '{"t":{"$date":"' || seen || '"},"c":"WRITE","msg":"Slow query","attr":{"ns":"' || ns || '.deep","command":{"q":{"a":1}}}}'
+  WHEN 3 THEN '{"t":{"$date":"' || seen || '"},"c":"NETWORK","attr":{"ns":"' || ns || '","command":{"find":"c"}}}'
+  WHEN 4 THEN '{"t":{"$date":"' || seen || '"},"c":"COMMAND","attr":{"ns":"' || ns || '","command":{"find":"c"}'
+  WHEN 5 THEN '{"t":{"$date":"' || seen || '"},"c":"COMMAND","attr":"' || ns || '"}'
+  WHEN 6 THEN '{"9x":1,"t":{"$date":"' || seen || '"},"c":"COMMAND","attr":{"ns":"' || ns || '","command":{"$db":"x","lsid":{}}}}'
+  WHEN 7 THEN '{"c":"COMMAND","attr":{"ns":"' || ns || '","type":"' || event_type || '"}}'
+  WHEN 8 THEN '{"t":{"$date":"' || seen || '"},"c":"COMMAND","attr":{"ns":"admin.' || event_type || '","command":{"ping":1}}}'
+  ELSE 'plain text about ' || ns || ' Slow query'
+END AS line
+FROM (SELECT event_id, event_type, CAST(CAST(floor(value) AS BIGINT) AS STRING) AS amount,
+  'app_' || CAST(user_id % 3 AS STRING) || '.' || event_type AS ns,
+  '2024-01-' || CAST(10 + event_id % 20 AS STRING) || 'T00:00:00.000+00:00' AS seen FROM events) e
+"""
+
+# Counter documents, one per instance.
+COUNTERS = """
+SELECT instance, '{"commands":{"<UNKNOWN>":' || n || ',"find":{"failed":' || errors || ',"total":' || n || '},"Hello":{"failed":0,"total":' || n
+  || '},"aggregate":{"failed":2.0,"ok":' || clicks || ',"on":true},"idle":0,"flag":true,"note":"' || n || '","odd":{"total":true,"x":3},"ping":7.9,"words":{"a":"1"}},'
+  || '"aggStageCounters":{"$match":' || n || ',"$group":{"total":' || clicks || ',"$inner":{"$deep":' || errors || '}},"$none":0,"other":{"$sort":' || views || '},"list":[{"$hidden":1}]},'
+  || '"operatorCounters":{"expressions":{"$add":' || clicks || ',"$abs":0},"match":{"$eq":' || n || ',"$in":{"total":' || views || '}}}}' AS metrics
+FROM (SELECT 'node_' || CAST(user_id AS STRING) AS instance, CAST(count(*) AS STRING) AS n,
+  CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS STRING) AS errors,
+  CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS STRING) AS clicks,
+  CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS STRING) AS views
+  FROM events GROUP BY user_id) c
+"""
+
+# Inventory documents, one per instance.
+INVENTORY = """
+SELECT c_name AS instance, '{"hello":' || CASE c_custkey % 4 WHEN 0 THEN '{"msg":"isdbgrid","maxWireVersion":21}'
+    WHEN 1 THEN '{"setName":"rs' || CAST(c_nationkey AS STRING) || '","isWritablePrimary":true,"hosts":["h1","h2"]}'
+    WHEN 2 THEN '{"isWritablePrimary":true,"secondary":false}' ELSE '{}' END
+  || ',"buildInfo":{"version":"' || CAST(4 + c_nationkey % 4 AS STRING) || '.0","gitVersion":"g' || CAST(c_custkey AS STRING) || '","modules":["m1","m2"],"allocator":"tc"}'
+  || ',"hostInfo":{"system":{"hostname":"host' || CAST(c_custkey AS STRING) || '","numCores":' || CAST(2 + c_nationkey AS STRING) || ',"memSizeMB":1024,"cpuArch":"x86","os":{"name":"Linux","version":"8"}}}'
+  || ',"getDefaultRWConcern":{"defaultReadConcern":{"level":"local"}}'
+  || ',"serverStatus":{"uptime":' || CAST(c_custkey AS STRING) || ',"connections":{"current":5,"available":95},"mem":{"resident":64},"storageEngine":{"name":"wt"},"metrics":{"commands":{"find":1,"ping":2},"operatorCounters":{"x":{}}}}'
+  || ',"listDatabases":{"databases":[{"name":"admin","sizeOnDisk":10,"empty":false},{"name":"app_' || CAST(c_custkey % 3 AS STRING) || '","sizeOnDisk":' || CAST(c_custkey * 10 AS STRING) || '},{"name":" ","sizeOnDisk":1},{"name":"Local","empty":true}]}'
+  || ',"getShardMap":' || CASE c_custkey % 4 WHEN 0 THEN '{"map":{"shardB":"b","shardA":"a","config":"c"}}' WHEN 1 THEN '{"hosts":{"h2":"x","h1":"y"}}' ELSE '{}' END
+  || ',"errors":' || CASE WHEN c_custkey % 5 = 0 THEN '{"hostInfo":"denied","getShardMap":"no"}' ELSE '{}' END || '}' AS document
+FROM customer
+"""
+
+# Names that support rows, catalogue entries and rules speak about.
+_NAMES = [
+    ("command", "find"), ("command", "Aggregate"), ("command", "insert"), ("command", "update"), ("command", "findAndModify"),
+    ("command", "distinct"), ("command", "count"), ("command", "createIndexes"), ("command", "listDatabases"), ("command", "mapReduce"),
+    ("stage", "$match"), ("stage", "$project"), ("stage", "$group"), ("stage", "$Lookup"), ("stage", "$graphLookup"), ("stage", "$facet"),
+    ("stage", "$out"), ("stage", "$set"), ("stage", "$bucketAuto"),
+    ("operator", "$gt"), ("operator", "$in"), ("operator", "$regex"), ("operator", "$elemMatch"), ("operator", "$inc"), ("operator", "$push"),
+    ("operator", "$rename"), ("operator", "$cond"), ("operator", "$map"), ("operator", "$setField"), ("operator", "$regexMatch"), ("operator", "$expr"),
+]
+_SINCE = [
+    "19c", "26ai", "26ai. No-op (19c)", "No-op", "Not supported", "Always", "Partially supported 19c", "", "N/A", "21 c, 23AI",
+    "Yes (no-op in 23ai)", "limited", "26ai (19c)", "unsupported 19c", "not applicable",
+]
+_SECTIONS = ["Query and Write Operation", "Aggregation Pipeline Stages", "Update Operators", "Projection Operators", "Administration", ""]
+
+
+def _name_of(kind: str, key: str = "p_partkey") -> str:
+    arms = " ".join(f"WHEN {n} THEN {_text(name)}" for n, (k, name) in enumerate(_NAMES) if k == kind)
+    sign = "'$'" if kind != "command" else "''"
+    rest = {"command": 0, "stage": 1, "operator": 2}[kind]
+    return (
+        f"CASE {key} % 40 {arms} ELSE CASE WHEN {key} % 40 >= {len(_NAMES)} AND {key} % 3 = {rest} "
+        f"THEN {sign} || replace(p_name, ' ', '_') || '_' || CAST({key} % 97 AS STRING) ELSE '' END END"
+    )
+
+
+def _pick(values: list[str], key: str) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {n} THEN {_text(v)}" for n, v in enumerate(values)) + " END"
+
+
+# The target's support table: repeated names, mixed case, blanks.
+SUPPORT = f"""
+SELECT row_id, 1 + row_id % 6 AS table_index, section, command, stage, operator, support_since, normalized_status, p_brand
+FROM (SELECT p_partkey AS row_id, p_brand,
+  {_pick(_SECTIONS, "p_size")} AS section,
+  {_name_of("command")} AS command,
+  {_name_of("stage")} AS stage,
+  CASE WHEN p_partkey % 50 = 0 THEN '$extra' ELSE {_name_of("operator")} END AS operator,
+  {_pick(_SINCE, "(p_partkey + p_size)")} AS support_since,
+  CASE WHEN p_partkey % 7 = 0 THEN 'Other' WHEN p_partkey % 7 = 1 THEN '' ELSE 'Supported' END AS normalized_status
+  FROM part) s
+"""
+
+# The reference catalogue, before and after an update.
+CATALOG = f"""
+SELECT ordinal, entity_type, source_group, category, name, short_description, doc_url, source_page_url, source_label, '2024-01-01' AS last_synced_at
+FROM (SELECT p_partkey AS ordinal, p_name,
+  CASE p_partkey % 5 WHEN 0 THEN 'command' WHEN 1 THEN 'stage' ELSE 'operator' END AS entity_type,
+  CASE p_partkey % 5 WHEN 0 THEN 'command' WHEN 1 THEN 'aggregation_stage' WHEN 2 THEN 'query_operator' WHEN 3 THEN 'update_operator' ELSE 'expression_operator' END AS source_group,
+  p_type || ' ' || CAST(p_size % 4 AS STRING) AS category,
+  CASE p_partkey % 5 WHEN 0 THEN {_pick([n for k, n in _NAMES if k == "command"], "p_size")}
+    WHEN 1 THEN {_pick([n for k, n in _NAMES if k == "stage"], "p_size")}
+    WHEN 4 THEN '$' || replace(p_name, ' ', '_')
+    ELSE {_pick([n for k, n in _NAMES if k == "operator"], "p_size")} END AS name,
+  CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'About ' || p_name || CASE WHEN p_partkey % 8 = 0 THEN '  twice' ELSE '' END END AS short_description,
+  'http://docs.example.org/' || p_brand || '/' || CAST(p_partkey AS STRING) AS doc_url,
+  'http://docs.example.org/' || p_type AS source_page_url,
+  'Part ' || p_type AS source_label
+  FROM part) c
+"""
+
+# Supplemental feature lists, one JSON object per document.
+SUPPLEMENTAL = f"""
+SELECT 'list_' || CAST(s_suppkey AS STRING) AS source_ref,
+  '{{"$feat' || CAST(s_suppkey AS STRING) || '":{{"mongodb_doc_categories":[{{"category_level_0":"Aggregation Stages","category_level_1":"' || s_name || '"}},{{"category_level_0":"","category_level_1":" "}}],"oracledb_api_for_mongodb_details":{{"notes":"None"}},"should_be_ignored_as_per_josh":false}},'
+  || '"$op' || CAST(s_suppkey AS STRING) || '":{{"mongodb_doc_categories":[{{"category_level_0":"' || CASE s_suppkey % 4 WHEN 0 THEN 'Update Operators' WHEN 1 THEN 'Query and Projection Operators' WHEN 2 THEN 'Query Predicates' ELSE 'Misc' END || '","category_level_1":"n"}}],"oracledb_api_for_mongodb_details":{{"notes":"see ' || s_name || '"}}}},'
+  || '"cmd' || CAST(s_suppkey AS STRING) || '":{{"should_be_ignored_as_per_josh":true}},"Upper' || CAST(s_suppkey AS STRING) || '":{{}},"two words":{{}},"bare":1}}' AS document
+FROM supplier
+"""
+
+# Customer overrides: a fixed dimension, with repeated and disabled rows.
+OVERRIDES = [
+    ("operator", "$regex", "", "High", "first reason", "", "true"),
+    ("Operator", "$REGEX ", "", "Low", "checked with the team", "direct_use", "yes"),
+    ("command", "listIndexes", "application_api", "", "", "verify_semantics", "1"),
+    ("stage", "$merge", "ignore", "Ignore", "job moves elsewhere", "exclude_from_scope", "true"),
+    ("stage", "$group", "", "Blocker", "off", "", "false"),
+    ("expression", "$cond", "likely_admin", "", "", "", "TRUE"),
+]
+
+# Documentation pages with support tables, one per customer.
+SUPPORT_PAGES = """
+SELECT c_custkey AS page_id, 'http://docs.example.org/p/' || CAST(c_custkey AS STRING) || '/index.html' AS url,
+  '<html><body><h1>Guide &amp; ' || c_name || '</h1><table><tr><td>no</td></tr></table>'
+  || CASE WHEN c_custkey % 6 = 0 THEN '' ELSE '<h2 id="a">' || c_mktsegment || '</h2>' END
+  || '<table class="x"><tr><th>Command</th><th> support
+ Since </th><th>Note</th><th>Note</th></tr><tr><td><b>find</b></td><td>19c</td><td>n&nbsp;' || CAST(c_nationkey AS STRING) || '</td></tr><tr></tr>'
+  || '<tr><td>cmd' || CAST(c_custkey % 13 AS STRING) || '</td><td>' || CASE WHEN c_custkey % 2 = 0 THEN 'Not supported' ELSE '26ai' END || '</td><td>a</td><td>b</td><td>extra</td></tr><tr><td></td><td> </td></tr></table>'
+  || '<h3>Deep</h3><table><tr><th>OPERATOR</th><th>Support</th></tr><tr><td>$op' || CAST(c_custkey % 7 AS STRING) || '</td><td>yes</td></tr></table>'
+  || '<table><tr><th>stage</th><th>Support (Since)</th></tr></table></body></html>' AS html
+FROM customer
+"""
+
+# Documentation pages with reference tables, one per customer.
+REFERENCE_PAGES = """
+SELECT c_custkey AS page_id, 'http://docs.example.org/ref/' || c_mktsegment || '/page.html' AS url,
+  CASE c_custkey % 3 WHEN 0 THEN 'command' WHEN 1 THEN 'stage' ELSE 'operator' END AS entity_type,
+  CASE c_custkey % 3 WHEN 0 THEN 'command' WHEN 1 THEN 'aggregation_stage' ELSE 'query_operator' END AS source_group,
+  'Label ' || c_mktsegment AS source_label,
+  '<body>' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '<h4>Group ' || CAST(c_nationkey AS STRING) || '</h4>' END
+  || '<table><thead><tr><th>Name</th><th>Description</th></tr></thead><tbody><tr><td><a href="../' || c_mktsegment || '.html">n' || CAST(c_custkey % 17 AS STRING) || '</a></td><td>Does ' || c_name || '</td></tr>'
+  || '<tr><td><a class="k" href="#x">m' || CAST(c_custkey % 5 AS STRING) || '</a></td><td>Text</td></tr><tr><td>plain</td><td>No link</td></tr><tr><td>short</td></tr><tr><td></td><td>nameless</td></tr></tbody></table>'
+  || '<table><tr><th>Other</th></tr><tr><td>x</td></tr></table></body>' AS html
+FROM customer
+"""
+
+# Given pages with a version line added; the earlier snapshot lags behind.
+VERSIONED_PAGES = """
+SELECT page_id, url, html || CASE WHEN page_id % 4 = 3 THEN '' ELSE '<footer><p>Release 1.' || CAST(page_id % 10 AS STRING) || '</p><p>F' || CAST(10000 + page_id AS STRING) || '-0' || CAST(page_id % 3 AS STRING)
+  || ' March ' || CAST(2020 + page_id % 5 AS STRING) || '</p><p>This page reflects version 8.' || CAST(page_id % 3 AS STRING) || ' of Example</p></footer>' END AS html FROM pages
+"""
