@@ -12,7 +12,7 @@ from portlens.cases import checks, inputs
 from portlens.functions import naming, support as support_fn, text as text_fn
 from portlens.operators import assess as asm, catalog as cat, events as ev, reports as rep, slices, support as sup, usage as use, walk
 from portlens.plans import catalog_sync, usage_analysis
-from portlens.session import configure
+from portlens.session import configure, durable
 from portlens.sources import counters as cnt, evidence, inventory as inv, logs, pages as pg, profile as prof, rules as rul, snapshots, supplemental
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -77,6 +77,11 @@ class Inputs:
     def assessed(self) -> DataFrame:
         return asm.assess(self.mapped, self.rules, self.overrides, rul.rules_version())
 
+    @cached_property
+    def detail(self) -> DataFrame:
+        """The assessed table as a run stores it, for reports that read it more than once."""
+        return durable(self.assessed)
+
     @cached_property
     def baseline(self) -> DataFrame:
         return rep.api_baseline(self.assessed)
@@ -640,14 +645,14 @@ _FALLBACK = checks.fallback("kind", "name")
 def _(i: Inputs) -> DataFrame:
     tail = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_size").cast("string"))
     names = i.table("part").select(F.explode(F.transform(F.lit(list(_WORDS)), lambda w: F.concat(w, tail))).alias("name")).distinct()
-    return names.select("name", F.inline(F.array(asm.fallback(F.lit("command"), F.col("name")))))
+    return names.select("name", F.inline(F.array(asm.fallback(F.lit("command"), text_fn.match_key("name")))))
 
 
 @case("support_adjust", f"SELECT {_KEYS}, adjusted_complexity, complexity_adjustment_reason FROM adjusted")
 def _(i: Inputs) -> DataFrame:
     c = F.col
     ruled = asm.match_rules(i.mapped, i.rules)
-    change = asm.adjust_for_support(c("default_scope"), c("default_complexity"), c("target_support_status"), c("feature_type"), c("feature_name"))
+    change = asm.adjust_for_support(c("default_scope"), c("default_complexity"), c("_status"), c("_type"), c("_name"))
     return ruled.withColumn("a", change).select(*_KEYS.split(", "), c("a.complexity").alias("adjusted_complexity"), c("a.reason").alias("complexity_adjustment_reason"))
 
 
@@ -865,7 +870,7 @@ _DATABASE_SUMMARY = (
 
 @case("database_summary", _DATABASE_SUMMARY)
 def _(i: Inputs) -> DataFrame:
-    return rep.database_summary(i.assessed)
+    return rep.database_summary(i.detail)
 
 
 @case(
@@ -875,7 +880,7 @@ def _(i: Inputs) -> DataFrame:
 def _(i: Inputs) -> DataFrame:
     listed = inv.inventory_databases(i.view(inputs.INVENTORY)).filter("not is_system")
     sizes = listed.groupBy("database").agg(F.count(F.lit(1)).alias("instances"), F.sum("size_on_disk").alias("size_on_disk"))
-    return rep.database_summary(i.assessed, sizes)
+    return rep.database_summary(i.detail, sizes)
 
 
 def _value_counts(column: str, source: str = "support", label: str = "label") -> str:

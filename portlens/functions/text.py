@@ -25,7 +25,7 @@ def squash(value: ColumnOrName) -> Column:
 
 def clean_text(value: ColumnOrName) -> Column:
     """Squash after dropping mis-decoded, zero-width and byte-order marks."""
-    return squash(F.translate(blank(value), " Â​﻿", " "))
+    return squash(F.translate(blank(value), "\u00a0\u00c2\u200b\ufeff", " "))
 
 
 def match_key(value: ColumnOrName) -> Column:
@@ -61,7 +61,7 @@ def preview_list(values: ColumnOrName, limit: int = 5) -> Column:
 
 def rank_of(value: ColumnOrName, order: Sequence[str]) -> Column:
     """Position of a label in an ordered vocabulary; 0 for anything else."""
-    return F.greatest(F.array_position(F.lit(list(order)), squash(value)).cast("int") - 1, F.lit(0))
+    return F.greatest(F.coalesce(F.array_position(F.lit(list(order)), col(value)).cast("int"), F.lit(0)) - 1, F.lit(0))
 
 
 def higher(left: Column, right: Column, order: Sequence[str]) -> Column:
@@ -126,5 +126,5 @@ def checked_window(start: ColumnOrName, end: ColumnOrName) -> Column:
 def database_of_uri(uri: ColumnOrName, explicit: ColumnOrName) -> Column:
     """The explicit name, or the decoded path of a connection address."""
     path = F.regexp_extract(F.trim(blank(uri)), r"^[^:/?#]+://[^/?#]*/([^?#]*)", 1)
-    decoded = F.trim(F.try_url_decode(F.regexp_replace(F.ltrim(F.lit("/"), path), r"\+", "%2B")))
+    decoded = F.trim(F.try_url_decode(F.regexp_replace(F.ltrim(path, F.lit("/")), r"\+", "%2B")))
     return F.coalesce(F.nullif(F.trim(blank(explicit)), F.lit("")), decoded, F.lit(""))

@@ -64,8 +64,8 @@ def last_by_feature(table: DataFrame, alias: str) -> DataFrame:
     )
 
 
-def looks_administrative(name: Column) -> Column:
-    low = match_key(name)
+def looks_administrative(low: Column) -> Column:
+    """Whether a folded command name reads as administration."""
     return (
         low.isin(*fixed.ADMIN_COMMANDS)
         | contains_any(low, fixed.ADMIN_KEYWORDS)
@@ -73,14 +73,16 @@ def looks_administrative(name: Column) -> Column:
     )
 
 
-def fallback(feature_type: Column, feature_name: Column, platforms: Platforms = Platforms()) -> Column:
-    """Scope, complexity, reason, action and source where no rule matches."""
+def fallback(kind: Column, low: Column, platforms: Platforms = Platforms()) -> Column:
+    """Scope, complexity, reason, action and source where no rule matches.
+
+    Takes the folded type and name.
+    """
 
     def verdict(scope: str, complexity: Column | str, reason: str, action: Column | str, source: str = "heuristic_command") -> Column:
         fields = {"scope": scope, "complexity": complexity, "reason": platforms.say(reason), "action": action, "source": source}
         return F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])
 
-    low = match_key(feature_name)
     blocker = low.isin(*fixed.BLOCKER_COMMANDS)
     by_command = (
         F.when(low.isin(*fixed.NON_CORE_COMMANDS), verdict("ignore", "Ignore", fixed.REASON_NON_CORE, "exclude_from_scope"))
@@ -107,17 +109,23 @@ def fallback(feature_type: Column, feature_name: Column, platforms: Platforms =
         )
         .otherwise(verdict("application_api", "Medium", fixed.REASON_UNCLASSIFIED, "manual_assessment"))
     )
-    return F.when(match_key(feature_type) == "command", by_command).otherwise(
+    return F.when(kind == "command", by_command).otherwise(
         verdict("application_api", "Medium", fixed.REASON_NO_RULE, "manual_assessment", "fallback")
     )
 
 
 def match_rules(usage: DataFrame, rules: DataFrame, platforms: Platforms = Platforms()) -> DataFrame:
     """Add the default assessment: from the last matching rule, else the fallback."""
-    keyed = usage.withColumns({"_type": match_key("feature_type"), "_name": match_key("feature_name")})
+    keyed = usage.withColumns(
+        {
+            "_type": match_key("feature_type"),
+            "_name": match_key("feature_name"),
+            "_status": or_default("target_support_status", "Unknown"),
+        }
+    )
     joined = keyed.join(last_by_feature(rules, "_rule"), ["_type", "_name"], "left")
     matched = F.col("_rule").isNotNull()
-    joined = joined.withColumn("_else", fallback(F.col("feature_type"), F.col("feature_name"), platforms))
+    joined = joined.withColumn("_else", fallback(F.col("_type"), F.col("_name"), platforms))
 
     def pick(rule: str, default: str, otherwise: Column) -> Column:
         return F.when(matched, or_default(f"_rule.{rule}", default)).otherwise(otherwise)
@@ -137,13 +145,15 @@ def match_rules(usage: DataFrame, rules: DataFrame, platforms: Platforms = Platf
 
 
 def adjust_for_support(
-    scope: Column, complexity: Column, status: Column, feature_type: Column, feature_name: Column, platforms: Platforms = Platforms()
+    scope: Column, complexity: Column, status: Column, kind: Column, low: Column, platforms: Platforms = Platforms()
 ) -> Column:
-    """Struct (complexity, reason) once the support status is known."""
-    status = or_default(status, "Unknown")
+    """Struct (complexity, reason) once the support status is known.
+
+    Takes the folded type and name, and a status without gaps.
+    """
     blocker = F.lit(False)
-    for kind, name in fixed.BLOCKER_CANDIDATES:
-        blocker = blocker | ((match_key(feature_type) == kind) & (match_key(feature_name) == name.lower()))
+    for candidate, name in fixed.BLOCKER_CANDIDATES:
+        blocker = blocker | ((kind == candidate) & (low == name.lower()))
 
     def verdict(value: Column, reason: str) -> Column:
         return F.struct(value.alias("complexity"), F.lit(platforms.say(reason)).alias("reason"))
@@ -181,15 +191,14 @@ def apply_overrides(assessed: DataFrame, overrides: DataFrame | None) -> DataFra
 
 
 def necessity(scope: Column) -> Column:
-    return lookup(match_key(scope), fixed.NECESSITY, "Required")
+    return lookup(scope, fixed.NECESSITY, "Required")
 
 
 def necessity_reason(scope: Column, feature_name: Column) -> Column:
     name = or_default(feature_name, "this feature")
-    low = match_key(scope)
     return (
-        F.when(low == "application_api", F.format_string(fixed.NECESSITY_REQUIRED, name))
-        .when(low == "likely_admin", F.format_string(fixed.NECESSITY_CONDITIONAL, name))
+        F.when(scope == "application_api", F.format_string(fixed.NECESSITY_REQUIRED, name))
+        .when(scope == "likely_admin", F.format_string(fixed.NECESSITY_CONDITIONAL, name))
         .otherwise(F.format_string(fixed.NECESSITY_OUTSIDE, name))
     )
 
@@ -197,13 +206,15 @@ def necessity_reason(scope: Column, feature_name: Column) -> Column:
 def explanation(
     feature_type: Column,
     feature_name: Column,
+    low: Column,
     scope: Column,
     complexity: Column,
     status: Column,
     usage_count: Column,
     platforms: Platforms = Platforms(),
 ) -> Column:
-    name, low = squash(feature_name), match_key(feature_name)
+    """Why a feature has its complexity; `low` is its folded name."""
+    name = squash(feature_name)
     kind = or_default(feature_type, platforms.source)
     command = squash(feature_type) == "command"
     described = (
@@ -214,15 +225,14 @@ def explanation(
     )
     count = F.coalesce(usage_count, F.lit(0))
     observed = F.when(count > 0, F.format_string(fixed.EXPLAIN_USAGE, count)).otherwise("")
-    status = or_default(status, "Unknown")
 
     def graded(text: str) -> Column:
-        return F.concat(F.format_string(platforms.say(text), name, described, squash(complexity)), observed)
+        return F.concat(F.format_string(platforms.say(text), name, described, complexity), observed)
 
     unknown = F.concat(F.format_string(platforms.say(fixed.EXPLAIN_UNKNOWN), name, described), observed)
     return (
         F.when(
-            squash(scope).isin("ignore", "likely_admin"),
+            scope.isin("ignore", "likely_admin"),
             F.format_string(platforms.say(fixed.EXPLAIN_EXCLUDED), name, kind),
         )
         .when(status == "Not Supported", graded(fixed.EXPLAIN_UNSUPPORTED))
@@ -234,7 +244,7 @@ def explanation(
 
 def priority(complexity: Column, usage_count: Column, max_duration_ms: Column) -> Column:
     """Struct (priority, reason) from complexity, usage and latency."""
-    level = or_default(complexity, "Medium")
+    level = complexity
     used = F.coalesce(usage_count, F.lit(0))
     slow = F.coalesce(max_duration_ms, F.lit(0)) >= fixed.PRIORITY_SLOW_MS
 
@@ -268,7 +278,7 @@ def assess(
     c = F.col
     ruled = match_rules(usage, rules, platforms).withColumn("effective_scope", c("default_scope"))
     adjusted = adjust_for_support(
-        c("effective_scope"), c("default_complexity"), c("target_support_status"), c("feature_type"), c("feature_name"), platforms
+        c("effective_scope"), c("default_complexity"), c("_status"), c("_type"), c("_name"), platforms
     )
     ruled = (
         ruled.withColumn("_adjusted", adjusted)
@@ -283,9 +293,10 @@ def assess(
             "complexity_explanation": explanation(
                 c("feature_type"),
                 c("feature_name"),
+                c("_name"),
                 c("effective_scope"),
                 c("effective_complexity"),
-                c("target_support_status"),
+                c("_status"),
                 c("usage_count"),
                 platforms,
             ),

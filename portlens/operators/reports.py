@@ -262,10 +262,12 @@ def available_versions(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 def facet_options(frame: DataFrame, columns: list[str], split: tuple[str, ...] = ()) -> DataFrame:
     """Distinct values per column; columns in `split` hold comma lists."""
-    cells = []
-    for column in columns:
+
+    def cells_of(column: str) -> Column:
         values = F.split(blank(column), ",") if column in split else F.array(blank(column))
-        cells.append(F.transform(values, lambda v, c=column: F.struct(F.lit(c).alias("facet"), F.trim(v).alias("value"))))
+        return F.transform(values, lambda v: F.struct(F.lit(column).alias("facet"), F.trim(v).alias("value")))
+
+    cells = [cells_of(column) for column in columns]
     return frame.select(F.inline(F.flatten(F.array(*cells)))).filter(F.col("value") != "").distinct()
 
 

@@ -51,10 +51,9 @@ def small_table(spark: SparkSession, columns: tuple[str, ...], rows: list[tuple]
     """A literal table of a few rows, numbered in order as `ordinal`."""
     if not rows:
         return spark.createDataFrame([], ", ".join(f"{c} STRING" for c in columns) + ", ordinal BIGINT")
-    marks = ", ".join("(" + ", ".join(["?"] * len(columns)) + f", {n}L)" for n in range(len(rows)))
-    return spark.sql(
-        f"SELECT * FROM VALUES {marks} AS t({', '.join(columns)}, ordinal)", args=[v for row in rows for v in row]
-    )
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    lines = ", ".join("(" + ", ".join(map(quoted, row)) + f", {n}L)" for n, row in enumerate(rows))
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS t({', '.join(columns)}, ordinal)")
 
 
 def built_in_rules(spark: SparkSession) -> DataFrame:
@@ -63,7 +62,7 @@ def built_in_rules(spark: SparkSession) -> DataFrame:
 
 
 def _tidy(frame: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    present = {c.lstrip("﻿"): c for c in frame.columns}
+    present = {c.lstrip("\ufeff"): c for c in frame.columns}
     texts = [F.trim(blank(f"`{present[c]}`")).alias(c) if c in present else F.lit("").alias(c) for c in columns]
     return frame.select(*texts, *([] if "ordinal" not in frame.columns else ["ordinal"]))
 
