@@ -87,13 +87,6 @@ def contains_any(value: Column, parts: Sequence[str]) -> Column:
     return result
 
 
-def starts_with_any(value: Column, parts: Sequence[str]) -> Column:
-    result = F.lit(False)
-    for part in parts:
-        result = result | value.startswith(part)
-    return result
-
-
 def share(part: Column, total: Column) -> Column:
     """Percentage with two decimals; an empty total counts as one."""
     return F.round(part / F.greatest(total, F.lit(1)) * 100, 2)

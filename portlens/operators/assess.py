@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from portlens import fixed
 from portlens.functions.text import (
     blank,
-    contains_any,
     higher,
     lookup,
     lower_of,
@@ -17,7 +17,6 @@ from portlens.functions.text import (
     or_default,
     rank_of,
     squash,
-    starts_with_any,
 )
 
 
@@ -64,13 +63,18 @@ def last_by_feature(table: DataFrame, alias: str) -> DataFrame:
     )
 
 
+def _word(words: Sequence[str]) -> str:
+    """Pattern for exactly one of the words."""
+    return f"^({'|'.join(words)})$"
+
+
+def _start(words: Sequence[str]) -> str:
+    return f"^({'|'.join(words)})"
+
+
 def looks_administrative(low: Column) -> Column:
     """Whether a folded command name reads as administration."""
-    return (
-        low.isin(*fixed.ADMIN_COMMANDS)
-        | contains_any(low, fixed.ADMIN_KEYWORDS)
-        | starts_with_any(low, fixed.ADMIN_PREFIXES)
-    )
+    return low.rlike(_word(fixed.ADMIN_COMMANDS)) | low.rlike("|".join(fixed.ADMIN_KEYWORDS)) | low.rlike(_start(fixed.ADMIN_PREFIXES))
 
 
 def fallback(kind: Column, low: Column, platforms: Platforms = Platforms()) -> Column:
@@ -83,17 +87,17 @@ def fallback(kind: Column, low: Column, platforms: Platforms = Platforms()) -> C
         fields = {"scope": scope, "complexity": complexity, "reason": platforms.say(reason), "action": action, "source": source}
         return F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])
 
-    blocker = low.isin(*fixed.BLOCKER_COMMANDS)
+    blocker = low.rlike(_word(fixed.BLOCKER_COMMANDS))
     by_command = (
-        F.when(low.isin(*fixed.NON_CORE_COMMANDS), verdict("ignore", "Ignore", fixed.REASON_NON_CORE, "exclude_from_scope"))
+        F.when(low.rlike(_word(fixed.NON_CORE_COMMANDS)), verdict("ignore", "Ignore", fixed.REASON_NON_CORE, "exclude_from_scope"))
         .when(
-            low.isin(*fixed.OBJECT_MANAGEMENT_COMMANDS),
+            low.rlike(_word(fixed.OBJECT_MANAGEMENT_COMMANDS)),
             verdict("likely_admin", "Ignore", fixed.REASON_OBJECT_MANAGEMENT, "exclude_from_scope"),
         )
-        .when(low.isin(*fixed.LOW_COMMANDS), verdict("application_api", "Low", fixed.REASON_LOW, "direct_use"))
-        .when(low.isin(*fixed.MEDIUM_COMMANDS), verdict("application_api", "Medium", fixed.REASON_MEDIUM, "verify_semantics"))
+        .when(low.rlike(_word(fixed.LOW_COMMANDS)), verdict("application_api", "Low", fixed.REASON_LOW, "direct_use"))
+        .when(low.rlike(_word(fixed.MEDIUM_COMMANDS)), verdict("application_api", "Medium", fixed.REASON_MEDIUM, "verify_semantics"))
         .when(
-            low.isin(*fixed.HIGH_COMMANDS),
+            low.rlike(_word(fixed.HIGH_COMMANDS)),
             verdict(
                 "application_api",
                 F.when(blocker, "Blocker").otherwise("High"),
@@ -104,7 +108,7 @@ def fallback(kind: Column, low: Column, platforms: Platforms = Platforms()) -> C
         .when(looks_administrative(low), verdict("ignore", "Ignore", fixed.REASON_ADMIN, "exclude_from_scope"))
         .when(low.startswith("list"), verdict("likely_admin", "Ignore", fixed.REASON_LIST, "exclude_from_scope"))
         .when(
-            starts_with_any(low, fixed.SECURITY_PREFIXES),
+            low.rlike(_start(fixed.SECURITY_PREFIXES)),
             verdict("likely_admin", "Ignore", fixed.REASON_SECURITY, "exclude_from_scope"),
         )
         .otherwise(verdict("application_api", "Medium", fixed.REASON_UNCLASSIFIED, "manual_assessment"))
@@ -218,9 +222,9 @@ def explanation(
     kind = or_default(feature_type, platforms.source)
     command = squash(feature_type) == "command"
     described = (
-        F.when(command & low.isin(*fixed.LOW_COMMANDS), fixed.CLASS_LOW)
-        .when(command & low.isin(*fixed.MEDIUM_COMMANDS), fixed.CLASS_MEDIUM)
-        .when(command & low.isin(*fixed.HIGH_COMMANDS), fixed.CLASS_HIGH)
+        F.when(command & low.rlike(_word(fixed.LOW_COMMANDS)), fixed.CLASS_LOW)
+        .when(command & low.rlike(_word(fixed.MEDIUM_COMMANDS)), fixed.CLASS_MEDIUM)
+        .when(command & low.rlike(_word(fixed.HIGH_COMMANDS)), fixed.CLASS_HIGH)
         .otherwise(F.format_string(fixed.CLASS_OTHER, kind))
     )
     count = F.coalesce(usage_count, F.lit(0))
