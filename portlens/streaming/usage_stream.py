@@ -13,12 +13,12 @@ def usage_stream(profile: DataFrame, lateness: str = "10 minutes", every: str =
     """Usage per feature and place in tumbling windows of event time.
 
     Features are read from each record alone, so the only state is one row of
-    counts per group and open window.
+    counts per group and open window. Every record moves the watermark, also
+    those without features.
     """
-    events = normalize_events(scan_profile(profile))
+    events = normalize_events(scan_profile(profile.withWatermark("ts", lateness)))
     return (
         features(events)
-        .withWatermark("ts", lateness)
         .groupBy(F.window("ts", every).alias("period"), *USAGE_KEYS)
         .agg(
             F.count(F.lit(1)).alias("usage_count"),
