@@ -253,11 +253,11 @@ def database_summary_order() -> list[Column]:
 def available_versions(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Versions named anywhere in the columns, lowest first; defaults if none."""
     named = F.array_distinct(F.flatten(F.array(*[versions_in(c) for c in columns])))
-    found = frame.select(F.explode(named).alias("version")).distinct()
-    every = found.agg(F.collect_set("version").alias("v")).select(
-        F.explode(F.when(F.size("v") > 0, F.col("v")).otherwise(F.lit(list(fixed.DEFAULT_VERSIONS)))).alias("version")
-    )
-    return every.withColumn("version_rank", version_rank(F.col("version")))
+    found = frame.select(F.explode(named).alias("version"))
+    if found.isEmpty():
+        spark = frame.sparkSession
+        found = spark.range(1).select(F.explode(F.lit(list(fixed.DEFAULT_VERSIONS))).alias("version"))
+    return found.distinct().withColumn("version_rank", version_rank(F.col("version")))
 
 
 def facet_options(frame: DataFrame, columns: list[str], split: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from portlens.functions.text import blank, iso_text
 from portlens.operators.walk import command_parts, feature_names, feature_nodes
-from portlens.session import BROADCAST_ROWS, durable
+from portlens.session import BROADCAST_KEYS, BROADCAST_ROWS, durable
 
 USAGE_KEYS = ("feature_type", "feature_name", "command_name", "op_type", "database", "collection")
 USAGE_COLUMNS = (*USAGE_KEYS, "usage_count", "first_seen", "last_seen", "max_duration_ms", "sample_path", "sample_value")
@@ -90,14 +90,18 @@ def usage_counts(events: DataFrame) -> DataFrame:
 def attach_samples(usage: DataFrame, events: DataFrame) -> DataFrame:
     """Path and value of each feature in its sample event.
 
-    Only the sampled events are opened. `usage` is small next to `events`; it
-    is sent to the executors after its size has been checked, and joined by
-    key otherwise. Pass it stored (see `session.durable`), since it is read
-    twice.
+    Only the sampled events are opened, and found without moving the others:
+    by sending the usage rows to the executors while they are few, or else
+    their event keys alone. Beyond that the tables are joined by key. Pass
+    `usage` stored (see `session.durable`), since it is read several times.
     """
-    small = usage.count() <= BROADCAST_ROWS
-    picked = F.broadcast(usage) if small else usage
-    joined = events.select(F.col("event_key").alias("sample_event"), "command_doc").join(picked, "sample_event")
+    groups = usage.count()
+    documents = events.select(F.col("event_key").alias("sample_event"), "command_doc")
+    if groups <= BROADCAST_ROWS:
+        usage = F.broadcast(usage)
+    elif groups <= BROADCAST_KEYS:
+        documents = documents.join(F.broadcast(usage.select("sample_event").distinct()), "sample_event", "left_semi")
+    joined = documents.join(usage, "sample_event")
     mine = F.filter(
         feature_nodes("command_doc", "command_name"),
         lambda f: (f.feature_type == F.col("feature_type")) & (f.feature_name == F.col("feature_name")),

@@ -23,7 +23,7 @@ _FOUND = "array<struct<feature_type string, feature_name string, sample_path str
 
 # A key that starts with `$` and holds no escapes. The quote in front of it
 # must not be escaped itself: then it would be part of a text value.
-_KEY = r"""r'(?<!\\)"(\$[^"\\]*)":'"""
+_KEY = r"""r'(?<!\\)"(\$[^"\\]*)"\s*:'"""
 _WALKED_COMMANDS = "('find', 'update', 'delete', 'findAndModify', 'aggregate')"
 
 

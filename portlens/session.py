@@ -17,9 +17,12 @@ SETTINGS = {
 }
 
 # A side with at most this many rows is small enough to send to every executor:
-# the widest one sent (usage keys with one event key) stays under 200 MB.
+# the widest one sent (usage rows with one event key) stays under 200 MB.
 BROADCAST_ROWS = 500_000
 
+# As many bare 64-bit keys stay under about the same size.
+BROADCAST_KEYS = 5_000_000
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():

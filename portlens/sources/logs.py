@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from portlens import fixed
 from portlens.functions.text import ColumnOrName, blank, col
@@ -10,6 +10,11 @@ from portlens.operators.events import namespace_parts
 from portlens.sources.profile import is_system_database
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Log files as one `line` per row."""
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 def is_command_line(line: ColumnOrName) -> Column:
     return col(line).rlike(fixed.COMMAND_LOG_PATTERN) | col(line).contains(fixed.SLOW_QUERY_MARK)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from portlens import fixed
 from portlens.functions.text import blank, col
@@ -29,6 +29,28 @@ PROFILE_COLUMNS = (
 )
 
 
+def read_profile(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """Exported profiler records, one JSON object per line, or a Parquet table.
+
+    Nested documents are kept as JSON text in their own key order. Times may
+    be ISO text or `{"$date": ...}`. Records without an `event_key` get one
+    from their content.
+    """
+    if kind == "parquet":
+        raw = spark.read.parquet(path)
+    else:
+        # A field declared as text receives a nested document as its JSON text.
+        wanted = [c for c in PROFILE_COLUMNS if c != "event_key"]
+        raw = spark.read.schema(", ".join(f"`{c}` STRING" for c in wanted)).json(path)
+    names = {c.lower() for c in raw.columns}
+    if dict(raw.dtypes).get("ts") == "string":
+        moment = F.coalesce(F.get_json_object("ts", "$['$date']"), F.col("ts"))
+        raw = raw.withColumn("ts", F.try_to_timestamp(moment).cast("timestamp_ntz"))
+    if "event_key" not in names:
+        raw = raw.withColumn("event_key", F.xxhash64(*raw.columns))
+    return raw
+
+
 def is_system_database(name: Column | str) -> Column:
     return F.lower(F.trim(blank(name))).isin(*fixed.SYSTEM_DATABASES)
 

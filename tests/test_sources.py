@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from portlens.functions.text import checked_window, database_of_uri, json_or_blank, preview_list
-from portlens.operators.usage import as_evidence
+from portlens.operators import usage as usage_module
+from portlens.operators.events import normalize_events
+from portlens.operators.usage import as_evidence, usage_counts, usage_rollup
 from portlens.sources.counters import command_counters, counter_value, operator_counters, stage_counters
 from portlens.sources.evidence import choose_evidence, confidence
-from portlens.sources.logs import log_usage
-from portlens.sources.profile import PROFILE_COLUMNS, database_totals, newest, scan_profile
+from portlens.sources.logs import log_usage, read_log
+from portlens.sources.profile import PROFILE_COLUMNS, database_totals, newest, read_profile, scan_profile
 
 
 def profile_frame(spark, rows):
@@ -155,3 +157,34 @@ def test_small_texts(spark):
     assert [r[0] for r in frame.select(preview_list("v", 2)).collect()] == ["a, b ... (total 3)", ""]
     texts = spark.createDataFrame([('{"b":1,"a":[]}',), ("{}",), ("null",)], "j STRING").select(json_or_blank(F.parse_json("j")))
     assert [r[0] for r in texts.collect()] == ['{"a":[],"b":1}', "", ""]
+
+
+def test_exported_files(spark, tmp_path):
+    records = [
+        {"ts": {"$date": "2024-01-01T10:00:00.250Z"}, "ns": "a.c", "op": "query", "command": {"find": "c", "filter": {"z": {"$gt": 1}, "a": 2}}, "millis": 7},
+        {"ts": "2024-01-02T00:00:00", "ns": "a.c", "op": "update", "query": {"x": 1}, "updateobj": {"$set": {"y": 1}}},
+    ]
+    (tmp_path / "p.json").write_text("\n".join(json.dumps(r) for r in records))
+    frame = read_profile(spark, str(tmp_path / "p.json"))
+    rows = normalize_events(scan_profile(frame)).orderBy("ts").collect()
+    assert [r.command_name for r in rows] == ["find", "update"] and rows[0].ts == dt.datetime(2024, 1, 1, 10, 0, 0, 250000)
+    assert json.loads(rows[0].command_doc) == records[0]["command"] and rows[0].duration_ms == 7
+    assert list(json.loads(rows[0].command_doc)["filter"]) == ["z", "a"]
+    assert rows[0].event_key != rows[1].event_key
+    frame.write.parquet(str(tmp_path / "p.parquet"))
+    assert read_profile(spark, str(tmp_path / "p.parquet"), "parquet").count() == 2
+    (tmp_path / "log").write_text("one\ntwo")
+    assert [r.line for r in read_log(spark, str(tmp_path / "log")).collect()] == ["one", "two"]
+
+
+@pytest.mark.parametrize("rows, keys", [(0, 10**6), (0, 0)])
+def test_samples_do_not_depend_on_the_join(spark, monkeypatch, rows, keys):
+    records = [(n, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n % 50), f"db{n % 4}.c") for n in range(300)]
+    frame = profile_frame(spark, records).withColumns(
+        {"op": F.lit("query"), "command": F.format_string('{"find":"c","filter":{"a":{"$gt":%d}}}', "event_key")}
+    )
+    events = normalize_events(scan_profile(frame))
+    want = sorted(map(tuple, usage_rollup(events).collect()))
+    monkeypatch.setattr(usage_module, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(usage_module, "BROADCAST_KEYS", keys)
+    assert sorted(map(tuple, usage_rollup(events).collect())) == want and usage_counts(events).count() == len(want)

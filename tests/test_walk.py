@@ -68,7 +68,11 @@ def expected(command: str, doc: dict) -> list[tuple]:
 
 
 def run(spark, documents: list[tuple[str, dict]]):
-    rows = [(n, None, "app", "c", "command", command, json.dumps(doc, ensure_ascii=False), n) for n, (command, doc) in enumerate(documents)]
+    layouts = [dict(), dict(separators=(",", ":")), dict(indent=1, separators=(" ,", " : "))]
+    rows = [
+        (n, None, "app", "c", "command", command, json.dumps(doc, ensure_ascii=False, **layouts[n % 3]), n)
+        for n, (command, doc) in enumerate(documents)
+    ]
     events = spark.createDataFrame(rows, EVENTS)
     details = feature_details(events).select("event_key", "feature_type", "feature_name", "sample_path", "sample_value").collect()
     names = features(events).select("event_key", "feature_type", "feature_name").collect()
