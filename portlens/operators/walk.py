@@ -46,14 +46,15 @@ def _stages(pipeline: str, doc: str) -> str:
     can nest, so that many rounds visit all of it.
     """
     body = "get(map_values(from_json(g.text, 'map<string,string>')), 0)"
-    opened = (
-        "flatten(transform(s.open, p -> transform(p, (t, i) -> "
-        "named_struct('position', i, 'keys', json_object_keys(t), 'text', t))))"
-    )
-    level = (
-        f"transform(filter({opened}, o -> size(o.keys) > 0), o -> named_struct("
-        "'position', o.position, 'name', o.keys[0], 'single', size(o.keys) = 1, 'text', o.text))"
-    )
+
+    def named(texts: str) -> str:
+        opened = f"transform({texts}, (t, i) -> named_struct('position', i, 'keys', json_object_keys(t), 'text', t))"
+        return (
+            f"transform(filter({opened}, o -> size(o.keys) > 0), o -> named_struct("
+            "'position', o.position, 'name', o.keys[0], 'single', size(o.keys) = 1, 'text', o.text))"
+        )
+
+    level = f"flatten(transform(s.open, p -> {named('p')}))"
     nested = (
         "filter(CASE g.name "
         f"WHEN '$lookup' THEN array(from_json({body}, 'pipeline array<string>').pipeline) "
@@ -62,16 +63,12 @@ def _stages(pipeline: str, doc: str) -> str:
     )
     below = f"flatten(transform(filter(l, g -> g.name IN ('$lookup', '$facet')), g -> coalesce({nested}, {_none(_PIPELINES)})))"
     # `l` is bound by transforming a one-element array, so a level is opened once.
-    step = (
-        f"transform(array(CAST({level} AS {_STAGES})), l -> named_struct("
-        f"'open', CAST({below} AS {_PIPELINES}), 'seen', CAST(concat(s.seen, l) AS {_STAGES})))[0]"
-    )
-    rounds = (
-        f"sequence(0, CASE WHEN contains({doc}, '\"$lookup\"') OR contains({doc}, '\"$facet\"') "
-        f"THEN size(regexp_extract_all({doc}, r'(\"\\$(?:lookup|facet)\")', 1)) ELSE 0 END)"
-    )
-    start = f"named_struct('open', CAST(filter(array({pipeline}), p -> p IS NOT NULL) AS {_PIPELINES}), 'seen', {_none(_STAGES)})"
-    return f"aggregate({rounds}, {start}, (s, r) -> {step}, s -> s.seen)"
+    step = f"transform(array({level}), l -> named_struct('open', {below}, 'seen', concat(s.seen, l)))[0]"
+    nests = f"""(contains({doc}, '"$lookup"') OR contains({doc}, '"$facet"'))"""
+    rounds = f"""sequence(0, size(regexp_extract_all({doc}, r'("\$(?:lookup|facet)")', 1)))"""
+    start = f"named_struct('open', CAST(array({pipeline}) AS {_PIPELINES}), 'seen', {_none(_STAGES)})"
+    nested_too = f"aggregate({rounds}, {start}, (s, r) -> {step}, s -> s.seen)"
+    return f"CASE WHEN {pipeline} IS NULL THEN {_none(_STAGES)} WHEN {nests} THEN {nested_too} ELSE {named(pipeline)} END"
 
 
 # --- names from the text --------------------------------------------------
@@ -144,8 +141,8 @@ def feature_names(doc: str, command: str, parts: str) -> Column:
     own = f"IF({command} IN {_words(fixed.KNOWN_COMMANDS)}, {_typed("'command'", f'array({command})')}, {_none(_FEATURES)})"
     walked = f"transform({_feature_nodes(doc, command)}, f -> named_struct('feature_type', f.feature_type, 'feature_name', f.feature_name))"
     return F.expr(
-        f"CASE WHEN {command} IN {_WALKED_COMMANDS} AND {_needs_walk(doc)} THEN CAST({walked} AS {_FEATURES}) "
-        f"ELSE CAST(concat({own}, CASE WHEN {command} = 'aggregate' THEN {staged} ELSE {plain} END) AS {_FEATURES}) END"
+        f"CASE WHEN {command} IN {_WALKED_COMMANDS} AND {_needs_walk(doc)} THEN {walked} "
+        f"ELSE concat({own}, CASE WHEN {command} = 'aggregate' THEN {staged} ELSE {plain} END) END"
     )
 
 
@@ -180,10 +177,10 @@ def walk_sql(roots: str, text: str, arrays: bool = True) -> str:
     One level per round. A document is never deeper than it has opening
     brackets, so that many rounds visit all of it.
     """
-    level = f"CAST(flatten(transform(s.open, n -> {_children(arrays)})) AS {_NODES})"
+    level = f"flatten(transform(s.open, n -> {_children(arrays)}))"
     step = (
         f"transform(array({level}), l -> named_struct('open', l, "
-        f"'seen', CAST(concat(s.seen, filter(l, n -> startswith(n.key, '$'))) AS {_NODES})))[0]"
+        "'seen', concat(s.seen, filter(l, n -> startswith(n.key, '$')))))[0]"
     )
     start = f"named_struct('open', CAST(coalesce({roots}, array()) AS {_NODES}), 'seen', {_none(_NODES)})"
     rounds = f"sequence(0, coalesce(length({text}) - length(translate({text}, '{{[', '')), 0))"
