@@ -393,11 +393,11 @@ STEPS |= {
         array_to_string(list(v ORDER BY o) FILTER (WHERE f = 'p'), ' | ') AS baseline_source_ref, false AS admin_operational_flag, false AS ignore_candidate_from_source, false AS deprecated_flag, '' AS availability_notes, '' AS aliases_json
       FROM (SELECT feature_type, feature_name, f, v, min(ordinal) AS o FROM entries e, LATERAL (SELECT 'g' AS f, e.source_group AS v UNION ALL SELECT 'c', e.category UNION ALL SELECT 'd', e.short_description UNION ALL SELECT 'u', e.doc_url UNION ALL SELECT 'p', e.source_page_url) k
         WHERE v <> '' AND feature_name <> '' GROUP BY ALL) GROUP BY feature_type, feature_name""",
-    "listed": """SELECT source_ref, trim(t.key) AS feature_name, t.value AS payload, coalesce(json_extract(t.value, '$.mongodb_doc_categories[*]'), []) AS cats FROM supplemental s, json_each(s.document) t
+    "listed": """SELECT source_ref, trim(t.key) AS feature_name, t.value AS payload, coalesce(json_extract(t.value, '$.doc_categories[*]'), []) AS cats FROM supplemental s, json_each(s.document) t
       WHERE t.type = 'OBJECT' AND NOT contains(trim(t.key), ' ') AND (starts_with(trim(t.key), '$') OR lower(substr(trim(t.key), 1, 1)) = substr(trim(t.key), 1, 1))""",
     "listed_text": """SELECT *, lower(array_to_string(list_transform(cats, lambda c: trim((c->>'category_level_0') || ' ' || (c->>'category_level_1'))), ' | ')) AS words,
         array_to_string(list_filter(list_transform(cats, lambda c: trim(regexp_replace(trim(c->>'category_level_0') || ' / ' || trim(c->>'category_level_1'), '^[ /]+|[ /]+$', '', 'g'))), lambda x: x <> ''), ' | ') AS category,
-        trim(coalesce(payload->'oracledb_api_for_mongodb_details'->>'notes', '')) AS notes, coalesce(CAST(payload->>'should_be_ignored_as_per_josh' AS BOOLEAN), false) AS ignored FROM listed""",
+        trim(coalesce(payload->'target_details'->>'notes', '')) AS notes, coalesce(CAST(payload->>'ignore' AS BOOLEAN), false) AS ignored FROM listed""",
     "supplemental_rows": """SELECT CASE WHEN source_group = 'command' THEN 'command' WHEN source_group = 'aggregation_stage' THEN 'stage' ELSE 'operator' END AS feature_type, feature_name, source_group, category AS source_category,
         '' AS source_short_description, '' AS source_doc_url, '' AS source_manual_version, 'supplemental_json' AS baseline_source_kind, source_ref AS baseline_source_ref, ignored AS admin_operational_flag, ignored AS ignore_candidate_from_source, false AS deprecated_flag,
         array_to_string(list_filter([CASE WHEN notes <> '' AND lower(notes) <> 'none' THEN notes END, CASE WHEN category <> '' THEN 'Supplemental categories: ' || category END], lambda x: x IS NOT NULL), ' | ') AS availability_notes, '' AS aliases_json

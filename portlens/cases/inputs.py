@@ -268,9 +268,9 @@ FROM (SELECT p_partkey AS ordinal, p_name,
 # Supplemental feature lists, one JSON object per document.
 SUPPLEMENTAL = f"""
 SELECT 'list_' || CAST(s_suppkey AS STRING) AS source_ref,
-  '{{"$feat' || CAST(s_suppkey AS STRING) || '":{{"mongodb_doc_categories":[{{"category_level_0":"Aggregation Stages","category_level_1":"' || s_name || '"}},{{"category_level_0":"","category_level_1":" "}}],"oracledb_api_for_mongodb_details":{{"notes":"None"}},"should_be_ignored_as_per_josh":false}},'
-  || '"$op' || CAST(s_suppkey AS STRING) || '":{{"mongodb_doc_categories":[{{"category_level_0":"' || CASE s_suppkey % 4 WHEN 0 THEN 'Update Operators' WHEN 1 THEN 'Query and Projection Operators' WHEN 2 THEN 'Query Predicates' ELSE 'Misc' END || '","category_level_1":"n"}}],"oracledb_api_for_mongodb_details":{{"notes":"see ' || s_name || '"}}}},'
-  || '"cmd' || CAST(s_suppkey AS STRING) || '":{{"should_be_ignored_as_per_josh":true}},"Upper' || CAST(s_suppkey AS STRING) || '":{{}},"two words":{{}},"bare":1}}' AS document
+  '{{"$feat' || CAST(s_suppkey AS STRING) || '":{{"doc_categories":[{{"category_level_0":"Aggregation Stages","category_level_1":"' || s_name || '"}},{{"category_level_0":"","category_level_1":" "}}],"target_details":{{"notes":"None"}},"ignore":false}},'
+  || '"$op' || CAST(s_suppkey AS STRING) || '":{{"doc_categories":[{{"category_level_0":"' || CASE s_suppkey % 4 WHEN 0 THEN 'Update Operators' WHEN 1 THEN 'Query and Projection Operators' WHEN 2 THEN 'Query Predicates' ELSE 'Misc' END || '","category_level_1":"n"}}],"target_details":{{"notes":"see ' || s_name || '"}}}},'
+  || '"cmd' || CAST(s_suppkey AS STRING) || '":{{"ignore":true}},"Upper' || CAST(s_suppkey AS STRING) || '":{{}},"two words":{{}},"bare":1}}' AS document
 FROM supplier
 """
 

@@ -582,7 +582,7 @@ def _(i: Inputs) -> DataFrame:
 
 @case("database_of_uri", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'given' WHEN 1 THEN 'my db' WHEN 2 THEN '' ELSE lower(c_mktsegment) END AS database FROM customer")
 def _(i: Inputs) -> DataFrame:
-    uri = F.expr("CASE c_custkey % 4 WHEN 1 THEN 'mongodb://u:p@h:1,h2:2/my%20db?x=1' WHEN 2 THEN 'mongodb://h/' ELSE concat('mongodb+srv://h/', lower(c_mktsegment)) END")
+    uri = F.expr("CASE c_custkey % 4 WHEN 1 THEN 'db://u:p@h:1,h2:2/my%20db?x=1' WHEN 2 THEN 'db://h/' ELSE concat('db+srv://h/', lower(c_mktsegment)) END")
     rows = i.table("customer").select("c_custkey", uri.alias("uri"), F.when(F.col("c_custkey") % 4 == 0, " given ").otherwise("").alias("explicit"))
     return rows.select("c_custkey", text_fn.database_of_uri("uri", "explicit").alias("database"))
 

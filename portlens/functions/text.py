@@ -61,7 +61,7 @@ def preview_list(values: ColumnOrName, limit: int = 5) -> Column:
 
 def rank_of(value: ColumnOrName, order: Sequence[str]) -> Column:
     """Position of a label in an ordered vocabulary; 0 for anything else."""
-    return F.greatest(F.coalesce(F.array_position(F.lit(list(order)), col(value)).cast("int"), F.lit(0)) - 1, F.lit(0))
+    return F.greatest(F.coalesce(F.find_in_set(col(value), F.lit(",".join(order))), F.lit(0)) - 1, F.lit(0))
 
 
 def higher(left: Column, right: Column, order: Sequence[str]) -> Column:

@@ -145,7 +145,7 @@ def match_rules(usage: DataFrame, rules: DataFrame, platforms: Platforms = Platf
             "review_priority": pick("review_priority", "P1", F.lit("P1")),
             "rule_source": F.when(matched, "baseline").otherwise(F.col("_else.source")),
         }
-    ).drop("_rule", "_else")
+    )
 
 
 def adjust_for_support(
@@ -180,18 +180,18 @@ def adjust_for_support(
 def apply_overrides(assessed: DataFrame, overrides: DataFrame | None) -> DataFrame:
     """Each non-blank field of the last matching override replaces its value."""
     if overrides is None:
-        return assessed.withColumn("override_applied", F.lit(False))
+        return assessed.withColumns({"override_applied": F.lit(False), "effective_scope": F.col("default_scope"), "effective_complexity": F.col("_adjusted.complexity")})
     joined = assessed.join(last_by_feature(overrides, "_override"), ["_type", "_name"], "left")
     fields = {
-        "effective_scope": "override_scope",
-        "effective_complexity": "override_complexity",
-        "complexity_reason": "override_reason",
-        "recommended_action": "override_action",
+        "effective_scope": ("override_scope", "default_scope"),
+        "effective_complexity": ("override_complexity", "_adjusted.complexity"),
+        "complexity_reason": ("override_reason", "complexity_reason"),
+        "recommended_action": ("override_action", "recommended_action"),
     }
     return joined.withColumns(
-        {name: or_default(f"_override.{field}", F.col(name)) for name, field in fields.items()}
+        {name: or_default(f"_override.{field}", F.col(base)) for name, (field, base) in fields.items()}
         | {"override_applied": F.col("_override").isNotNull()}
-    ).drop("_override")
+    )
 
 
 def necessity(scope: Column) -> Column:
@@ -280,16 +280,9 @@ def assess(
     into scope leaves its complexity alone unless it sets that as well.
     """
     c = F.col
-    ruled = match_rules(usage, rules, platforms).withColumn("effective_scope", c("default_scope"))
-    adjusted = adjust_for_support(
-        c("effective_scope"), c("default_complexity"), c("_status"), c("_type"), c("_name"), platforms
-    )
-    ruled = (
-        ruled.withColumn("_adjusted", adjusted)
-        .withColumns({"effective_complexity": c("_adjusted.complexity"), "complexity_adjustment_reason": c("_adjusted.reason")})
-    )
-    final = apply_overrides(ruled, overrides)
-    final = final.withColumns(
+    adjusted = adjust_for_support(c("default_scope"), c("default_complexity"), c("_status"), c("_type"), c("_name"), platforms)
+    ruled = match_rules(usage, rules, platforms).withColumn("_adjusted", adjusted)
+    final = apply_overrides(ruled, overrides).withColumns(
         {
             "default_migration_necessity": necessity(c("default_scope")),
             "effective_migration_necessity": necessity(c("effective_scope")),
@@ -307,8 +300,13 @@ def assess(
             "_priority": priority(c("effective_complexity"), c("usage_count"), c("max_duration_ms")),
             "rules_version": F.lit(rules_version),
         }
-    ).withColumns({"migration_priority": c("_priority.priority"), "priority_reason": c("_priority.reason")})
-    return final.select(*usage.columns, *ASSESSMENT_COLUMNS)
+    )
+    parts = {
+        "complexity_adjustment_reason": "_adjusted.reason",
+        "migration_priority": "_priority.priority",
+        "priority_reason": "_priority.reason",
+    }
+    return final.select(*usage.columns, *[c(parts.get(name, name)).alias(name) for name in ASSESSMENT_COLUMNS])
 
 
 def complexity_rank(column: str = "effective_complexity") -> Column:

@@ -84,7 +84,8 @@ def usage_counts(events: DataFrame) -> DataFrame:
         )
     )
     newest = F.lit(_TOP_KEY).cast("decimal(20,0)") - F.pmod("_recency", F.lit(_SPAN).cast("decimal(20,0)"))
-    return rolled.withColumn("sample_event", newest.cast("bigint")).drop("_recency")
+    kept = [c for c in rolled.columns if c != "_recency"]
+    return rolled.select(*kept, newest.cast("bigint").alias("sample_event"))
 
 
 def attach_samples(usage: DataFrame, events: DataFrame) -> DataFrame:

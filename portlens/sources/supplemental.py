@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from portlens.functions.naming import feature_type_of, source_group_of
 from portlens.functions.text import blank, clean_text
 from portlens.operators.catalog import BASELINE_COLUMNS
 
-# Fields of an entry.
-CATEGORIES_FIELD = "mongodb_doc_categories"
-DETAILS_FIELD = "oracledb_api_for_mongodb_details"
-IGNORE_FIELD = "should_be_ignored_as_per_josh"
+
+@dataclass(frozen=True)
+class EntryFields:
+    """Field names of an entry; lists from different vendors differ in them."""
+
+    categories: str = "doc_categories"
+    details: str = "target_details"
+    ignore: str = "ignore"
 
 
 def _category(c: Column) -> Column:
@@ -19,7 +25,7 @@ def _category(c: Column) -> Column:
     return clean_text(F.regexp_replace(joined, r"^[ /]+|[ /]+$", ""))
 
 
-def supplemental_entries(documents: DataFrame) -> DataFrame:
+def supplemental_entries(documents: DataFrame, fields: EntryFields = EntryFields()) -> DataFrame:
     """Baseline rows of supplemental documents (columns: source_ref, document).
 
     Names with spaces, and capitalised names without `$`, are no features.
@@ -27,20 +33,20 @@ def supplemental_entries(documents: DataFrame) -> DataFrame:
     entries = documents.select("source_ref", F.explode(F.from_json("document", "map<string,string>")).alias("raw_name", "payload"))
     entries = entries.filter(F.json_object_keys(F.col("payload")).isNotNull())
     schema = (
-        f"{CATEGORIES_FIELD} ARRAY<STRUCT<category_level_0 STRING, category_level_1 STRING>>, "
-        f"{DETAILS_FIELD} STRUCT<notes STRING>, {IGNORE_FIELD} BOOLEAN"
+        f"`{fields.categories}` ARRAY<STRUCT<category_level_0 STRING, category_level_1 STRING>>, "
+        f"`{fields.details}` STRUCT<notes STRING>, `{fields.ignore}` BOOLEAN"
     )
     name = clean_text("raw_name")
     initial = F.substr(name, F.lit(1), F.lit(1))
     is_feature = ~name.contains(" ") & (name.startswith("$") | (F.lower(initial) == initial))
     opened = entries.filter(is_feature).select("source_ref", name.alias("feature_name"), F.from_json("payload", schema).alias("p"))
-    raw = F.col(f"p.{CATEGORIES_FIELD}")
+    raw = F.col(f"p.`{fields.categories}`")
     categories = F.coalesce(raw, F.filter(F.array(F.struct(F.lit("").alias("category_level_0"), F.lit("").alias("category_level_1"))), lambda x: F.lit(False)))
     texts = F.array_distinct(F.filter(F.transform(categories, _category), lambda t: t != ""))
     category = F.array_join(texts, " | ")
-    notes = clean_text(F.col(f"p.{DETAILS_FIELD}.notes"))
+    notes = clean_text(F.col(f"p.`{fields.details}`.notes"))
     group = source_group_of(F.col("feature_name"), categories)
-    ignore = F.coalesce(F.col(f"p.{IGNORE_FIELD}"), F.lit(False))
+    ignore = F.coalesce(F.col(f"p.`{fields.ignore}`"), F.lit(False))
     remarks = F.array(
         F.when((notes != "") & (F.lower(notes) != "none"), notes),
         F.when(category != "", F.concat(F.lit("Supplemental categories: "), category)),

@@ -16,7 +16,7 @@ from portlens.plans.catalog_sync import catalog_baseline, sync
 from portlens.sources.pages import page_metadata, reference_rows, resolve_link, support_rows, support_tables, text_lines
 from portlens.sources.rules import built_in_rules
 from portlens.sources.snapshots import load_catalog, load_run, load_table, save_catalog, save_run, save_table
-from portlens.sources.supplemental import supplemental_entries
+from portlens.sources.supplemental import EntryFields, supplemental_entries
 
 PAGE = """<h1>Top</h1><table><tr><th>Command</th><th>Support (Since)</th></tr>
 <tr><td>find</td><td>19c</td></tr><tr><td> </td><td></td></tr><tr><td>drop&nbsp;it</td><td>Not <b>supported</b></td><td>extra</td></tr></table>
@@ -112,7 +112,7 @@ def test_baseline_and_mapping(spark, tmp_path):
     )
     listed = supplemental_entries(
         spark.createDataFrame(
-            [("s.json", '{"find":{"mongodb_doc_categories":[{"category_level_0":"X","category_level_1":""}],"should_be_ignored_as_per_josh":true},"$new":{"mongodb_doc_categories":null},"Big":{},"a b":{}}')],
+            [("s.json", '{"find":{"doc_categories":[{"category_level_0":"X","category_level_1":""}],"ignore":true},"$new":{"doc_categories":null},"Big":{},"a b":{}}')],
             "source_ref STRING, document STRING",
         )
     )
@@ -170,3 +170,9 @@ def test_saved_runs(spark, tmp_path):
     assert '"ünï"' in load_table(spark, root, "metadata", "20240101_000000").first().metadata
     save_table(old.limit(0), root, "detail", "20240103_000000")
     assert load_table(spark, root, "detail", "20240102_000000").count() == 1
+
+
+def test_supplemental_field_names(spark):
+    documents = spark.createDataFrame([("r", '{"$a":{"cats":[{"category_level_0":"Update Operators"}],"skip":true}}')], "source_ref STRING, document STRING")
+    row = supplemental_entries(documents, EntryFields(categories="cats", ignore="skip")).first()
+    assert (row.source_group, row.admin_operational_flag) == ("update_operator", True)
