@@ -471,13 +471,13 @@ def _found_case(name: str, condition: str) -> None:
 
 _found_case("operator_walk", "feature_type = 'operator' AND command_name = 'find'")
 _found_case("expression_walk", "feature_type = 'expression'")
-_found_case("pipeline_stages", "feature_type = 'stage'")
+_found_case("aggregation_stages", "feature_type = 'stage'")
 _found_case("match_operators", "feature_type = 'operator' AND command_name = 'aggregate'")
 _found_case("write_operators", "feature_type = 'operator' AND command_name IN ('update', 'delete', 'findAndModify')")
 _found_case("command_features", "feature_type = 'command'")
 
 
-@case("nested_pipelines", "SELECT event_key, name, position FROM all_stages")
+@case("nested_stages", "SELECT event_key, name, position FROM all_stages")
 def _(i: Inputs) -> DataFrame:
     staged = F.expr(walk._stages("from_json(command_doc, 'pipeline array<string>').pipeline", "command_doc"))
     rows = i.events.filter("command_name = 'aggregate'").select("event_key", F.explode_outer(staged).alias("s"))
@@ -743,7 +743,7 @@ def _(i: Inputs) -> DataFrame:
 
 @case("compat_mapping_unloaded", "SELECT feature_type, feature_name, false AS target_matched, 'unmatched' AS target_match_type, '0.00' AS target_match_confidence, '' AS target_section, '' AS target_support_since, '' AS target_support_raw, 'target_feature_support_not_loaded' AS target_uncovered_reason FROM merged")
 def _(i: Inputs) -> DataFrame:
-    return cat.compatibility_mapping(i.merged, i.support.limit(0), support_loaded=False)
+    return cat.compatibility_mapping(i.merged, i.support.filter("false"), support_loaded=False)
 
 
 @case("mapping_usage", "SELECT * FROM mapping_usage")
@@ -1081,9 +1081,6 @@ def _(i: Inputs) -> DataFrame:
     return asm.excluded(i.assessed).select(*_KEYS.split(", "), "effective_scope")
 
 
-_COUNTER_FEATURES = "SELECT 'stage' AS feature_type, t.key AS feature_name, CAST(1 AS BIGINT) AS n FROM counters c, json_tree(c.metrics, '$.aggStageCounters') t WHERE starts_with(t.key, '$') AND NOT contains(t.fullkey, '[')"
-
-
 @case("level_split", "SELECT 'database' AS level, count(*) AS row_count, CAST(sum(usage_count) AS BIGINT) AS usage_count FROM counts UNION ALL SELECT 'instance', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT " + _COUNT.format(v="t.value") + " AS n FROM counters c, json_tree(c.metrics, '$.aggStageCounters') t WHERE starts_with(t.key, '$') AND NOT contains(t.fullkey, '[')) WHERE n > 0")
 def _(i: Inputs) -> DataFrame:
     both = use.as_evidence(i.counts, "profile").unionByName(

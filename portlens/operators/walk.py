@@ -65,7 +65,7 @@ def _stages(pipeline: str, doc: str) -> str:
     # `l` is bound by transforming a one-element array, so a level is opened once.
     step = f"transform(array({level}), l -> named_struct('open', {below}, 'seen', concat(s.seen, l)))[0]"
     nests = f"""(contains({doc}, '"$lookup"') OR contains({doc}, '"$facet"'))"""
-    rounds = f"""sequence(0, size(regexp_extract_all({doc}, r'("\$(?:lookup|facet)")', 1)))"""
+    rounds = rf"""sequence(0, size(regexp_extract_all({doc}, r'("\$(?:lookup|facet)")', 1)))"""
     start = f"named_struct('open', CAST(array({pipeline}) AS {_PIPELINES}), 'seen', {_none(_STAGES)})"
     nested_too = f"aggregate({rounds}, {start}, (s, r) -> {step}, s -> s.seen)"
     return f"CASE WHEN {pipeline} IS NULL THEN {_none(_STAGES)} WHEN {nests} THEN {nested_too} ELSE {named(pipeline)} END"
