@@ -8,9 +8,10 @@ import pytest
 import __spark_entry__ as entry
 from compare import TABLES, bag
 from conftest import DATA
+from portlens.cases.queries import check_sql, registered
 
-QUERIES = entry.queries()
-CHECKS = entry.oracle_sql()
+QUERIES = registered()
+CHECKS = check_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,7 @@ def base() -> duckdb.DuckDBPyConnection:
 
 def test_every_query_has_a_check() -> None:
     assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
