@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portlens.llm import checks, op01_mixing, op03_quality, op04_packing, op06_materialise, op07_fingerprint, op09_chat, op10_lines
+from portlens.llm import checks, op01_mixing, op02_toxicity, op03_quality, op04_packing, op06_materialise, op07_fingerprint, op09_chat, op10_lines
 from portlens.llm.common import table
 
 
@@ -23,6 +23,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": _over("documents", op01_mixing.query),
+        "op2_toxicity": lambda spark, sf_dir: op02_toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op3_quality": _over("documents", op03_quality.query),
         "op4_packing": _over("documents", op04_packing.query),
         "op6_materialise": _over("documents", op06_materialise.query),
