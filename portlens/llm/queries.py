@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portlens.llm import checks, op01_mixing, op02_toxicity, op03_quality, op04_packing, op06_materialise, op07_fingerprint, op09_chat, op10_lines
+from portlens.llm import checks, op01_mixing, op02_toxicity, op03_quality, op04_packing, op05_lm_score, op06_materialise, op07_fingerprint, op09_chat, op10_lines
 from portlens.llm.common import table
 
 
@@ -26,6 +26,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": lambda spark, sf_dir: op02_toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op3_quality": _over("documents", op03_quality.query),
         "op4_packing": _over("documents", op04_packing.query),
+        "op5_lm_score": _over("documents", op05_lm_score.query),
         "op6_materialise": _over("documents", op06_materialise.query),
         "op7_fingerprint": _over("documents", op07_fingerprint.query),
         "op9_chat": _over("conversations", op09_chat.query),

@@ -24,7 +24,7 @@ SPECIAL = "<|"
 PLAIN = regex.compile("[!-~\u00a1-\u024f\n]+")
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Numbers keys in the order in which they come."""
 
     def __init__(self) -> None:
@@ -90,8 +90,8 @@ class WordTokens:
         self._empty()
 
     def _empty(self) -> None:
-        self.words, self.word_ids = _Numbers(), _Ragged()
-        self.parts, self.part_ids = _Numbers(), _Ragged()
+        self.words, self.word_ids = Numbers(), _Ragged()
+        self.parts, self.part_ids = Numbers(), _Ragged()
         self.parts["\n"] = 0
         self.part_ids.extend_lists([[]])
 
