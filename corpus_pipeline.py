@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portlens.llm import op03_quality, op10_lines
-from portlens.llm.common import stored, table
+from portlens.llm import op01_mixing, op03_quality, op04_packing, op08_jaccard, op10_lines
+from portlens.llm.common import DOCUMENT, ship_code, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op10_lines.clean(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that the Jaccard join links."""
+    ship_code(spark)
+    return op08_jaccard.keep_one(docs.select(*DOCUMENT))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of all sources at their target weights; a document is there once for each round that takes words of it."""
+    ship_code(spark)
+    return op01_mixing.mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of token ids, with the ids."""
+    ship_code(spark)
+    return op04_packing.pack(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
     ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
 ]
 
 # Packing needs a tokenizer and mixing a keyed permutation; neither is SQL.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portlens.llm import checks, op01_mixing, op02_toxicity, op03_quality, op04_packing, op05_lm_score, op06_materialise, op07_fingerprint, op09_chat, op10_lines
+from portlens.llm import checks, op01_mixing, op02_toxicity, op03_quality, op04_packing, op05_lm_score, op06_materialise, op07_fingerprint, op08_jaccard, op09_chat, op10_lines
 from portlens.llm.common import table
 
 
@@ -29,6 +29,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lm_score": _over("documents", op05_lm_score.query),
         "op6_materialise": _over("documents", op06_materialise.query),
         "op7_fingerprint": _over("documents", op07_fingerprint.query),
+        "op8_jaccard_join": _over("documents", op08_jaccard.query),
         "op9_chat": _over("conversations", op09_chat.query),
         "op10_line_dedup": _over("documents", op10_lines.query),
         "pipeline": pipeline,
