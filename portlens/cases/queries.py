@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from portlens import fixed
 from portlens.cases import checks, inputs
@@ -26,13 +26,7 @@ class Inputs:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        # A table of few files would leave most cores idle in the steps that
-        # open each document; a large one has enough splits of its own.
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in ("events", "pages", "documents", "customer") and frame.rdd.getNumPartitions() < cores:
-            frame = frame.repartition(cores)
-        return frame
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, sql: str) -> DataFrame:
         for name in TABLES:
@@ -332,7 +326,13 @@ def _(i: Inputs) -> DataFrame:
 
 @case("support_rows", f"SELECT CAST(page_id * 1000000000 + table_index * 1000000 + row_index AS BIGINT) AS row_id, page_id, table_index, section, command, operator, '' AS stage, since AS support_since FROM ({_SUPPORT_ROWS})")
 def _(i: Inputs) -> DataFrame:
-    return pg.support_rows(i.view(inputs.SUPPORT_PAGES))
+    rows = pg.support_rows(i.view(inputs.SUPPORT_PAGES))
+    return rows.withColumn("row_id", _place_number("row_id", "table_index", "row_index"))
+
+
+def _place_number(place: str, table: str, row: str) -> Column:
+    """A place as one number, for tables as small as the check's."""
+    return (F.col(f"{place}.page_id") * 1_000_000_000 + F.col(f"{place}.{table}") * 1_000_000 + F.col(f"{place}.{row}")).cast("bigint")
 
 
 _REFERENCE_ROWS = """SELECT CAST(c_custkey * 1000000000 + r.row_no AS BIGINT) AS ordinal, CASE c_custkey % 3 WHEN 0 THEN 'command' WHEN 1 THEN 'stage' ELSE 'operator' END AS entity_type,
@@ -344,7 +344,8 @@ _REFERENCE_ROWS = """SELECT CAST(c_custkey * 1000000000 + r.row_no AS BIGINT) AS
 
 @case("reference_rows", _REFERENCE_ROWS)
 def _(i: Inputs) -> DataFrame:
-    return pg.reference_rows(i.view(inputs.REFERENCE_PAGES))
+    rows = pg.reference_rows(i.view(inputs.REFERENCE_PAGES))
+    return rows.withColumn("ordinal", _place_number("ordinal", "table_no", "row_no"))
 
 
 @case(
@@ -486,9 +487,7 @@ def _(i: Inputs) -> DataFrame:
 
 @case("feature_totals", "SELECT feature_type, feature_name, count(*) AS uses, count(DISTINCT event_key) AS events FROM feats GROUP BY ALL")
 def _(i: Inputs) -> DataFrame:
-    return use.features(i.events).groupBy("feature_type", "feature_name").agg(
-        F.count(F.lit(1)).alias("uses"), F.count_distinct("event_key").alias("events")
-    )
+    return use.feature_totals(i.events)
 
 
 @case("usage_counts", "SELECT * FROM counts")

@@ -142,32 +142,26 @@ SECURITY_PREFIXES = ("create", "drop", "grant", "revoke", "updateuser", "updater
 
 # Administrative commands, lower-cased.
 ADMIN_COMMANDS = (
-    """
-    abortmovecollection abortreshardcollection killop currentop listdatabases serverstatus dbstats
-    collstats usersinfo replsetgetstatus connectionstatus buildinfo getparameter hostinfo ping top
-    whatsmyuri getlog connpoolstats listcommands hello isdbgrid logout authenticate profile validate
-    validatedbmetadata datasize addshard addshardtozone analyzeshardkey appendoplognote applyops
-    balancercollectionstatus balancerstart balancerstatus balancerstop checkmetadataconsistency
-    cleanupreshardcollection clearjumboflag collmod compact compactstructuredencryptiondata
-    configurecollectionbalancing configurequeryanalyzer createrole createsearchindexes createuser
-    dbhash dropallrolesfromdatabase dropallusersfromdatabase dropconnections dropdatabase droprole
-    dropsearchindex dropuser enablesharding explain flushrouterconfig getauditconfig
-    getclusterparameter getcmdlineopts getdefaultrwconcern getshardmap grantprivilegestorole
-    grantrolestorole grantrolestouser invalidateusercache killallsessions killallsessionsbypattern
-    killcursors killsessions listcollections listindexes listshards lockinfo logapplicationmessage
-    logrotate mergeallchunksonshard mergechunks movechunk movecollection moveprimary moverange
-    plancacheclear plancacheclearfilters plancachelistfilters plancachesetfilter reindex
-    refinecollectionshardkey refreshsessions removeshard removeshardfromzone
-    replsetabortprimarycatchup replsetfreeze replsetgetconfig replsetinitiate replsetmaintenance
-    replsetreconfig replsetresizeoplog replsetstepdown replsetsyncfrom reshardcollection
-    revokeprivilegesfromrole revokerolesfromrole revokerolesfromuser rolesinfo rotatecertificates
-    setallowmigrations setauditconfig setclusterparameter setdefaultrwconcern
-    setfeaturecompatibilityversion setindexcommitquorum setparameter setuserwriteblockmode
-    shardcollection shardconnpoolstats shardingstate split transitionfromdedicatedconfigserver
-    transitiontodedicatedconfigserver unsetsharding unshardcollection updaterole updatesearchindex
-    updateuser updatezonekeyrange
-    """
-).split()
+    "abortmovecollection", "abortreshardcollection", "killop", "currentop", "listdatabases", "serverstatus", "dbstats", "collstats",
+    "usersinfo", "replsetgetstatus", "connectionstatus", "buildinfo", "getparameter", "hostinfo", "ping", "top", "whatsmyuri", "getlog",
+    "connpoolstats", "listcommands", "hello", "isdbgrid", "logout", "authenticate", "profile", "validate", "validatedbmetadata", "datasize",
+    "addshard", "addshardtozone", "analyzeshardkey", "appendoplognote", "applyops", "balancercollectionstatus", "balancerstart",
+    "balancerstatus", "balancerstop", "checkmetadataconsistency", "cleanupreshardcollection", "clearjumboflag", "collmod", "compact",
+    "compactstructuredencryptiondata", "configurecollectionbalancing", "configurequeryanalyzer", "createrole", "createsearchindexes",
+    "createuser", "dbhash", "dropallrolesfromdatabase", "dropallusersfromdatabase", "dropconnections", "dropdatabase", "droprole",
+    "dropsearchindex", "dropuser", "enablesharding", "explain", "flushrouterconfig", "getauditconfig", "getclusterparameter",
+    "getcmdlineopts", "getdefaultrwconcern", "getshardmap", "grantprivilegestorole", "grantrolestorole", "grantrolestouser",
+    "invalidateusercache", "killallsessions", "killallsessionsbypattern", "killcursors", "killsessions", "listcollections", "listindexes",
+    "listshards", "lockinfo", "logapplicationmessage", "logrotate", "mergeallchunksonshard", "mergechunks", "movechunk", "movecollection",
+    "moveprimary", "moverange", "plancacheclear", "plancacheclearfilters", "plancachelistfilters", "plancachesetfilter", "reindex",
+    "refinecollectionshardkey", "refreshsessions", "removeshard", "removeshardfromzone", "replsetabortprimarycatchup", "replsetfreeze",
+    "replsetgetconfig", "replsetinitiate", "replsetmaintenance", "replsetreconfig", "replsetresizeoplog", "replsetstepdown",
+    "replsetsyncfrom", "reshardcollection", "revokeprivilegesfromrole", "revokerolesfromrole", "revokerolesfromuser", "rolesinfo",
+    "rotatecertificates", "setallowmigrations", "setauditconfig", "setclusterparameter", "setdefaultrwconcern",
+    "setfeaturecompatibilityversion", "setindexcommitquorum", "setparameter", "setuserwriteblockmode", "shardcollection",
+    "shardconnpoolstats", "shardingstate", "split", "transitionfromdedicatedconfigserver", "transitiontodedicatedconfigserver",
+    "unsetsharding", "unshardcollection", "updaterole", "updatesearchindex", "updateuser", "updatezonekeyrange",
+)
 ADMIN_PREFIXES = ("createuser", "dropuser", "updateuser", "grant", "revoke", "shutdown", "setparameter", "fsync")
 ADMIN_KEYWORDS = (
     "shard",

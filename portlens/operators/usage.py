@@ -12,7 +12,8 @@ USAGE_KEYS = ("feature_type", "feature_name", "command_name", "op_type", "databa
 USAGE_COLUMNS = (*USAGE_KEYS, "usage_count", "first_seen", "last_seen", "max_duration_ms", "sample_path", "sample_value")
 
 _TOP_KEY = 9223372036854775807
-_SPAN = "10000000000000000000"
+# One more than the range of a 64-bit key, so that no key reaches into the time.
+_SPAN = "18446744073709551616"
 
 
 def _one_per_row(array: Column) -> Column:
@@ -43,6 +44,18 @@ def features(events: DataFrame) -> DataFrame:
     )
 
 
+def feature_totals(events: DataFrame) -> DataFrame:
+    """Uses of each feature and events that have it, counted inside each event first."""
+    names = events.withColumn("_parts", command_parts("command_doc"))
+    names = names.select(feature_names("command_doc", "command_name", "_parts").alias("all"))
+    times = F.transform(
+        F.array_distinct("all"),
+        lambda f: F.struct(f.feature_type.alias("feature_type"), f.feature_name.alias("feature_name"), F.size(F.filter("all", lambda x: x == f)).alias("n")),
+    )
+    each = names.select(_one_per_row(times)).filter(F.col("feature_name").isNotNull())
+    return each.groupBy("feature_type", "feature_name").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("events"))
+
+
 def feature_details(events: DataFrame) -> DataFrame:
     """One row per use of a feature, with its path and value."""
     return events.select(
@@ -89,27 +102,33 @@ def usage_counts(events: DataFrame) -> DataFrame:
 
 
 def attach_samples(usage: DataFrame, events: DataFrame) -> DataFrame:
-    """Path and value of each feature in its sample event.
+    """Path and value of each feature in its sample event; every usage row once.
 
     Only the sampled events are opened, and found without moving the others:
     by sending the usage rows to the executors while they are few, or else
-    their event keys alone. Beyond that the tables are joined by key. Pass
+    their event keys alone. Beyond that the tables are joined by key. Several
+    events may have the sampled key (equal records have equal content keys);
+    the first path counts. A group whose event is not found keeps its row. Pass
     `usage` stored (see `session.durable`), since it is read several times.
     """
     groups = usage.count()
     documents = events.select(F.col("event_key").alias("sample_event"), "command_doc")
+    wanted = usage.select("sample_event", *USAGE_KEYS)
     if groups <= BROADCAST_ROWS:
-        usage = F.broadcast(usage)
+        wanted = F.broadcast(wanted)
     elif groups <= BROADCAST_KEYS:
         documents = documents.join(F.broadcast(usage.select("sample_event").distinct()), "sample_event", "left_semi")
-    joined = documents.join(usage, "sample_event")
+    joined = documents.join(wanted, "sample_event")
     mine = F.filter(
         feature_nodes("command_doc", "command_name"),
         lambda f: (f.feature_type == F.col("feature_type")) & (f.feature_name == F.col("feature_name")),
     )
     first = F.array_min(F.transform(mine, lambda f: F.struct(f.sample_path, f.sample_value)))
+    found = joined.select(*[F.col(c).alias(f"_{c}") for c in USAGE_KEYS], first.alias("_sample"))
+    found = found.groupBy(*[f"_{c}" for c in USAGE_KEYS]).agg(F.min("_sample").alias("_sample"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in USAGE_KEYS]
     return (
-        joined.withColumn("_sample", first)
+        usage.join(found, same, "left")
         .withColumns({"sample_path": F.col("_sample.sample_path"), "sample_value": F.col("_sample.sample_value")})
         .select(*USAGE_COLUMNS)
     )

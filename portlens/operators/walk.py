@@ -43,7 +43,7 @@ def _stages(pipeline: str, doc: str) -> str:
 
     A stage is named by its first key in document order. Positions restart in
     each nested pipeline. Nesting is at most as deep as there are stages that
-    can nest, so that many rounds visit all of it.
+    can nest, and as the document, so that many rounds visit all of it.
     """
     body = "get(map_values(from_json(g.text, 'map<string,string>')), 0)"
 
@@ -65,7 +65,7 @@ def _stages(pipeline: str, doc: str) -> str:
     # `l` is bound by transforming a one-element array, so a level is opened once.
     step = f"transform(array({level}), l -> named_struct('open', {below}, 'seen', concat(s.seen, l)))[0]"
     nests = f"""(contains({doc}, '"$lookup"') OR contains({doc}, '"$facet"'))"""
-    rounds = rf"""sequence(0, size(regexp_extract_all({doc}, r'("\$(?:lookup|facet)")', 1)))"""
+    rounds = rf"""sequence(0, least(size(regexp_extract_all({doc}, r'("\$(?:lookup|facet)")', 1)), {depth_sql(doc)}))"""
     start = f"named_struct('open', CAST(array({pipeline}) AS {_PIPELINES}), 'seen', {_none(_STAGES)})"
     nested_too = f"aggregate({rounds}, {start}, (s, r) -> {step}, s -> s.seen)"
     return f"CASE WHEN {pipeline} IS NULL THEN {_none(_STAGES)} WHEN {nests} THEN {nested_too} ELSE {named(pipeline)} END"
@@ -108,14 +108,16 @@ def command_parts(doc: str) -> Column:
 
 
 def _needs_walk(doc: str) -> str:
-    return f"(contains({doc}, r'\\') OR contains({doc}, '\"$expr\"'))"
+    keys = f"regexp_extract_all({doc}, {_KEY}, 1)"
+    return f"(contains({doc}, r'\\') OR contains({doc}, '\"$expr\"') OR size({keys}) > size(array_distinct({keys})))"
 
 
 def needs_walk(doc: str) -> Column:
     """Documents whose features cannot be read from the text alone.
 
     Escapes can hide keys inside text values, and `$expr` turns what lies
-    below it from operators into expressions.
+    below it from operators into expressions. A key that occurs more than once
+    may be repeated in one object, where only the last one counts.
     """
     return F.expr(_needs_walk(doc))
 
@@ -171,11 +173,22 @@ def _children(arrays: bool) -> str:
     return f"coalesce({of_object}, {of_array}, {_none(_NODES)})"
 
 
+def depth_sql(text: str) -> str:
+    """SQL for the largest nesting depth of a JSON text, in one pass over its brackets.
+
+    Escapes go first, then text literals, then all but brackets.
+    """
+    plain = rf"replace(replace(coalesce({text}, ''), '\\\\', ''), '\\\"', '')"
+    brackets = rf"regexp_replace(regexp_replace({plain}, '\"[^\"]*\"', ''), '[^\\[\\]{{}}]+', '')"
+    after = "d.now + CASE WHEN c IN ('{', '[') THEN 1 WHEN c IN ('}', ']') THEN -1 ELSE 0 END"
+    step = f"named_struct('now', {after}, 'most', greatest(d.most, {after}))"
+    return f"aggregate(split({brackets}, ''), named_struct('now', 0, 'most', 0), (d, c) -> {step}, d -> d.most)"
+
+
 def walk_sql(roots: str, text: str, arrays: bool = True) -> str:
     """SQL for every node below the roots whose key starts with `$`.
 
-    One level per round. A document is never deeper than it has opening
-    brackets, so that many rounds visit all of it.
+    One level per round, and as many rounds as the document nests.
     """
     level = f"flatten(transform(s.open, n -> {_children(arrays)}))"
     step = (
@@ -183,8 +196,7 @@ def walk_sql(roots: str, text: str, arrays: bool = True) -> str:
         "'seen', concat(s.seen, filter(l, n -> startswith(n.key, '$')))))[0]"
     )
     start = f"named_struct('open', CAST(coalesce({roots}, array()) AS {_NODES}), 'seen', {_none(_NODES)})"
-    rounds = f"sequence(0, coalesce(length({text}) - length(translate({text}, '{{[', '')), 0))"
-    return f"aggregate({rounds}, {start}, (s, r) -> {step}, s -> s.seen)"
+    return f"aggregate(sequence(0, {depth_sql(text)}), {start}, (s, r) -> {step}, s -> s.seen)"
 
 
 def _indexed(items: str, prefix: str, fields: tuple[str, ...]) -> str:

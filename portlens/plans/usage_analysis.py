@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 
@@ -15,7 +15,7 @@ from portlens.session import durable
 from portlens.sources.counters import counter_usage
 from portlens.sources.evidence import choose_evidence
 from portlens.sources.logs import log_usage
-from portlens.sources.profile import DEFAULT_LIMIT, newest, scan_profile
+from portlens.sources.profile import database_totals, newest, scan_profile
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,8 @@ class Analysis:
     baseline: DataFrame
     hotspots: DataFrame
     excluded: DataFrame
+    # With a cap only: records used of each database, and whether it left some out.
+    totals: DataFrame | None = None
 
 
 def profile_usage(
@@ -36,10 +38,10 @@ def profile_usage(
     databases: list[str] | None = None,
     start: Column | None = None,
     end: Column | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     legacy_detection: bool = False,
 ) -> DataFrame:
-    """Usage table of profiler records; `limit` caps each database, None takes all."""
+    """Usage table of profiler records: of all, or with `limit` of the newest in each database."""
     records = scan_profile(profile, databases, start, end)
     if limit is not None:
         records = newest(records, limit)
@@ -67,22 +69,33 @@ def analyze(
     counters: DataFrame | None = None,
     strategy: str = "AUTO",
     databases: list[str] | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    start: Column | None = None,
+    end: Column | None = None,
+    limit: int | None = None,
+    legacy_detection: bool = False,
     filter_noise: bool = False,
     rules_version: str = "",
     platforms: Platforms = Platforms(),
 ) -> Analysis:
-    """Pick the best evidence, match it with the support table and assess it."""
+    """Pick the best evidence, match it with the support table and assess it.
+
+    The time window and the reading of commands hold for profiler records. All
+    records count; a `limit` takes the newest of each database, and `totals` then
+    says which databases it cut.
+    """
     candidates = {}
     if profile is not None:
-        candidates["PROFILE_ONLY"] = lambda: as_evidence(profile_usage(profile, databases, limit=limit), "profile")
+        candidates["PROFILE_ONLY"] = lambda: as_evidence(profile_usage(profile, databases, start, end, limit, legacy_detection), "profile")
     if log_lines is not None:
         candidates["LOG_ONLY"] = lambda: as_evidence(log_usage(log_lines, databases), "log")
     if counters is not None:
         candidates["METRICS_ONLY"] = lambda: as_evidence(counter_usage(counters, filter_noise), "counters")
     resolved, usage = choose_evidence(candidates, strategy)
     assessed = assess(map_support(usage, support), rules, overrides, rules_version, platforms)
-    return report(durable(assessed), resolved)
+    found = report(durable(assessed), resolved)
+    if limit is None or resolved != "PROFILE_ONLY":
+        return found
+    return replace(found, totals=database_totals(scan_profile(profile, databases, start, end), limit))
 
 
 def reassess(

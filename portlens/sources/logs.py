@@ -19,32 +19,33 @@ def is_command_line(line: ColumnOrName) -> Column:
     return col(line).rlike(fixed.COMMAND_LOG_PATTERN) | col(line).contains(fixed.SLOW_QUERY_MARK)
 
 
+def _name_of(command: Column, line: Column) -> Column:
+    """First key of a command document; else the first key-like token of the line."""
+    named = F.filter(F.transform(F.json_object_keys(command), F.trim), lambda k: (k != "") & ~k.isin("$db", "lsid") & ~k.startswith("$"))
+    token = F.regexp_extract(line, fixed.LOG_NAME_PATTERN, 1)
+    return F.coalesce(F.get(named, F.lit(0)), F.nullif(token, F.lit("")), F.lit("unknown"))
+
+
 def log_command_name(line: ColumnOrName) -> Column:
     """First key of the logged command; else the first key-like token."""
-    keys = F.json_object_keys(F.get_json_object(col(line), "$.attr.command"))
-    named = F.filter(
-        F.transform(keys, F.trim), lambda k: (k != "") & ~k.isin("$db", "lsid") & ~k.startswith("$")
-    )
-    token = F.regexp_extract(col(line), fixed.LOG_NAME_PATTERN, 1)
-    return F.coalesce(F.get(named, F.lit(0)), F.nullif(token, F.lit("")), F.lit("unknown"))
+    return _name_of(F.get_json_object(col(line), "$.attr.command"), col(line))
 
 
 def log_usage(lines: DataFrame, databases: list[str] | None = None) -> DataFrame:
     """One usage row per logged command; lines are not grouped.
 
-    Without a list, all databases but the system ones are taken.
+    A line is parsed once, and its `attr` once. Without a list, all databases
+    but the system ones are taken.
     """
-    wanted = lines.filter(is_command_line("line")).filter(F.json_object_keys(F.col("line")).isNotNull())
-    parsed = wanted.select(
-        "line",
-        F.get_json_object("line", "$.attr").alias("attr"),
-        blank(F.get_json_object("line", "$.attr.ns")).alias("ns"),
-        blank(F.get_json_object("line", "$.t.$date")).alias("seen"),
-    ).filter(F.json_object_keys(F.col("attr")).isNotNull() & F.col("ns").contains("."))
+    wanted = lines.filter(is_command_line("line"))
+    opened = wanted.select("line", F.from_json("line", "t STRUCT<`$date`: STRING>, attr STRING").alias("l"))
+    attr = F.from_json("l.attr", "ns STRING, command STRING").alias("a")
+    parsed = opened.filter(F.col("l.attr").isNotNull()).select("line", blank("l.t.`$date`").alias("seen"), "l.attr", attr)
+    parsed = parsed.filter(F.coalesce(F.col("a.ns"), F.lit("")).contains(".")).select("line", "seen", F.col("a.ns").alias("ns"), F.col("a.command").alias("command"))
     placed = parsed.withColumn("_place", namespace_parts("ns")).filter(F.col("_place.db_name") != "")
     owner = F.col("_place.db_name")
     kept = placed.filter(owner.isin(*databases) if databases else ~is_system_database(owner))
-    name = log_command_name("line")
+    name = _name_of(F.col("command"), F.col("line"))
     return kept.select(
         F.lit("command").alias("feature_type"),
         name.alias("feature_name"),
@@ -68,13 +69,12 @@ def log_counters(lines: DataFrame, databases: list[str]) -> DataFrame:
     """
     mentions = F.filter(F.lit(databases), lambda d: F.col("line").contains(d))
     candidates = F.when(is_command_line("line"), mentions).otherwise(F.array().cast("array<string>"))
-    counts = [
-        F.count_if(F.array_contains(F.col("found"), name)).alias(f"n{i}") for i, name in enumerate(databases)
-    ]
-    rows = F.array(*[F.struct(F.lit(name).alias("database"), F.col(f"n{i}").alias("log_matched_line_count")) for i, name in enumerate(databases)])
-    return (
-        lines.select(candidates.alias("found"))
-        .agg(F.count(F.lit(1)).alias("log_scanned_line_count"), *counts)
-        .select("log_scanned_line_count", F.inline(rows))
-        .select("database", "log_scanned_line_count", "log_matched_line_count")
+    # Every line counts once under no name, and once for each database it mentions.
+    each = lines.select(F.explode(F.concat(F.array(F.lit("")), candidates)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("n"))
+    of = lambda name: F.coalesce(F.element_at("n", name), F.lit(0).cast("bigint"))
+    rows = F.transform(
+        F.lit(databases),
+        lambda d: F.struct(d.alias("database"), of(F.lit("")).alias("log_scanned_line_count"), of(d).alias("log_matched_line_count")),
     )
+    return counts.select(F.inline(rows))

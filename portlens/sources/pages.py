@@ -6,6 +6,9 @@ gathered or shuffled.
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from portlens import fixed
@@ -16,15 +19,35 @@ _ROW = r"(?is)<tr\b[^>]*>(.*?)</tr>"
 _CELL = r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"
 _HEAD = r"(?is)<th\b[^>]*>(.*?)</th>"
 _LINK = r'(?is)<a\b[^>]*?\bhref\s*=\s*["\']([^"\']*)["\']'
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# Named character references, as the standard library lists them; a fixed space is a space.
+_NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+
+
+def _character(reference: Column) -> Column:
+    """The character that a reference stands for; the reference itself if it names none."""
+    name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    digits = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(
+        name.startswith("#"), F.substring(name, F.lit(2), F.length(name))
+    )
+    code = digits.cast("bigint")
+    code = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), code)
+    character = F.when(code == 0xA0, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    return F.coalesce(character, F.element_at(named, name), reference)
+
+
+def decoded(text: Column) -> Column:
+    """A text with its character references replaced, ampersands last, so that none is read twice."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)))
+    pairs = F.transform(found, lambda r: F.struct(r.alias("r"), _character(r).alias("c")))
+    ordered = F.concat(F.filter(pairs, lambda p: p.c != "&"), F.filter(pairs, lambda p: p.c == "&"))
+    return F.when(F.size(found) > 0, F.aggregate(ordered, text, lambda t, p: F.replace(t, p.r, p.c))).otherwise(text)
 
 
 def inner_text(html: ColumnOrName) -> Column:
-    """Text of a fragment: tags become spaces, common entities are decoded."""
-    text = F.regexp_replace(col(html), r"(?s)<[^>]*>", " ")
-    for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return clean_text(text)
+    """Text of a fragment: tags become spaces, character references are decoded."""
+    return clean_text(decoded(F.regexp_replace(col(html), r"(?s)<[^>]*>", " ")))
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -115,11 +138,11 @@ def support_tables(pages: DataFrame) -> DataFrame:
 def support_rows(pages: DataFrame) -> DataFrame:
     """Support tables in the fixed columns the rest of the library reads.
 
-    `row_id` follows page, table and row order.
+    `row_id` holds the place (page, table, row), and so follows page order.
     """
     cells = lambda name: F.coalesce(F.col("cells")[name], F.lit(""))
     return support_tables(pages).select(
-        (F.col("page_id").cast("bigint") * 1_000_000_000 + F.col("table_index") * 1_000_000 + F.col("row_index")).cast("bigint").alias("row_id"),
+        F.struct("page_id", "table_index", "row_index").alias("row_id"),
         "page_id",
         "table_index",
         "section",
@@ -155,7 +178,7 @@ def resolve_link(base: Column, link: Column) -> Column:
 
 
 def reference_rows(pages: DataFrame) -> DataFrame:
-    """Entries of reference tables, numbered in page, table and row order.
+    """Entries of reference tables; `ordinal` holds their place (page, table, row).
 
     `pages` says for each page what it documents: entity_type, source_group
     and source_label. A table counts when it has a Description column and one
@@ -181,7 +204,7 @@ def reference_rows(pages: DataFrame) -> DataFrame:
     ).withColumn("cells", _matches(F.col("row"), _CELL))
     cell = lambda at: F.get("cells", F.col(at).cast("int") - 1)
     return rows.select(
-        (F.col("page_id").cast("bigint") * 1_000_000_000 + F.col("table_no") * 1_000_000 + F.col("row_no")).cast("bigint").alias("ordinal"),
+        F.struct("page_id", "table_no", "row_no").alias("ordinal"),
         "entity_type",
         "source_group",
         F.when(F.col("heading") == "", F.col("source_label")).otherwise(F.col("heading")).alias("category"),
@@ -197,9 +220,7 @@ def text_lines(html: ColumnOrName) -> Column:
     """Visible text of a page, one line per text node."""
     visible = F.regexp_replace(col(html), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<!doctype[^>]*>", "")
     text = F.regexp_replace(visible, r"(?s)<[^>]*>", "\n")
-    for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.filter(F.transform(F.split(text, r"[\r\n]+"), clean_text), lambda line: line != "")
+    return F.filter(F.transform(F.split(decoded(text), r"[\r\n]+"), clean_text), lambda line: line != "")
 
 
 def page_metadata(pages: DataFrame, title_mark: str) -> DataFrame:

@@ -9,7 +9,8 @@ from portlens.functions.text import blank, col
 from portlens.operators.events import namespace_parts
 from portlens.session import small_side
 
-DEFAULT_LIMIT = 20_000
+# Parts into which the records of one database are dealt before the last ranking.
+RANKING_PARTS = 64
 
 PROFILE_COLUMNS = (
     "event_key",
@@ -94,7 +95,7 @@ def _cutoff(counts: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def database_totals(profile: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def database_totals(profile: DataFrame, limit: int) -> DataFrame:
     """Records per database and whether the cap leaves some of them out."""
     total = F.count(F.lit(1))
     return profile.groupBy(_owner().alias("db_name")).agg(
@@ -102,13 +103,13 @@ def database_totals(profile: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame
     )
 
 
-def newest(profile: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def newest(profile: DataFrame, limit: int) -> DataFrame:
     """The newest `limit` records of each database.
 
     Counting per hour, then per second inside the hour that matters, finds
-    the time from which on records can qualify. Only those are ranked, so the
-    ranking of one database sees little more than `limit` records however
-    many it has.
+    the time from which on records can qualify. Only those are ranked, first
+    in parts of a database and then what is left of the parts, so no task ranks
+    more than a part, also where records lack a time (they count as oldest).
     """
     owned = profile.withColumn("db_name", _owner())
 
@@ -133,5 +134,9 @@ def newest(profile: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
         .agg(F.max("bucket").alias("since"))
     )
     eligible = owned.join(small_side(seconds), "db_name", "left").filter(F.col("since").isNull() | (F.col("ts") >= F.col("since")))
-    rank = F.row_number().over(Window.partitionBy("db_name").orderBy(F.desc_nulls_last("ts"), F.asc("event_key")))
-    return eligible.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank", "since", "db_name")
+    order = [F.desc_nulls_last("ts"), F.asc("event_key")]
+    part = F.pmod(F.xxhash64("event_key", "ts", "command"), F.lit(RANKING_PARTS))
+    for keys in (["db_name", "_part"], ["db_name"]):
+        ranked = eligible.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        eligible = ranked.filter(F.col("_rank") <= limit).drop("_rank", "_part")
+    return eligible.drop("since", "db_name")

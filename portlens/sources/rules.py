@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from portlens import fixed
 from portlens.functions.text import blank, is_true, true_text
@@ -80,7 +80,10 @@ def normalize_overrides(overrides: DataFrame) -> DataFrame:
 
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return read.csv(path).withColumn("ordinal", F.monotonically_increasing_id())
+    numbered = Window.orderBy("_file", "_at")
+    placed = read.csv(path).withColumns({"_file": F.col("_metadata.file_name"), "_at": F.monotonically_increasing_id()})
+    # Files come in the order of their names. A list is written by hand and small; the row number is taken over all of it.
+    return placed.withColumn("ordinal", F.row_number().over(numbered).cast("bigint")).drop("_file", "_at")
 
 
 def read_rules(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
@@ -89,7 +92,7 @@ def read_rules(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
     rules = None
     for number, name in enumerate(manifest.get("files") or []):
         part = _tidy(_read_csv(spark, f"{folder}/{name}"), RULE_COLUMNS)
-        part = part.withColumn("ordinal", F.col("ordinal") + F.lit(number).cast("bigint") * 1_000_000_000)
+        part = part.withColumn("ordinal", F.struct(F.lit(number).alias("list"), F.col("ordinal").alias("row")))
         rules = part if rules is None else rules.unionByName(part, allowMissingColumns=True)
     if rules is None:
         rules = small_table(spark, RULE_COLUMNS, [])

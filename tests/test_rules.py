@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from portlens.sources.rules import (
     OVERRIDE_COLUMNS,
@@ -69,3 +70,20 @@ def test_override_round_trip(spark, tmp_path):
 
 def test_no_overrides(spark):
     assert normalize_overrides(small_table(spark, OVERRIDE_COLUMNS, [])).count() == 0
+
+
+def test_the_last_row_counts_across_files_and_parts(spark, tmp_path):
+    columns = ",".join(RULE_COLUMNS)
+
+    def lines(*names: str) -> str:
+        return columns + "\n" + "".join(f"$x,operator,query,high,false,{n},{n},,,,true\n" for n in names)
+
+    (tmp_path / "first").mkdir()
+    (tmp_path / "first" / "part-0000.csv").write_text(lines("Low"))
+    (tmp_path / "first" / "part-0001.csv").write_text(lines("High", "Medium"))
+    (tmp_path / "second.csv").write_text(lines("Blocker"))
+    for files, last in ((["first"], "Medium"), (["first", "second.csv"], "Blocker"), (["second.csv", "first"], "Medium")):
+        (tmp_path / "rules_manifest.json").write_text(json.dumps({"rules_version": "1", "files": files}))
+        rules, _ = read_rules(spark, str(tmp_path))
+        row = rules.groupBy("feature_name").agg(F.max_by("default_complexity", "ordinal").alias("last")).first()
+        assert row["last"] == last

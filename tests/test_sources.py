@@ -13,6 +13,7 @@ from portlens.operators.usage import as_evidence, usage_counts, usage_rollup
 from portlens.sources.counters import command_counters, counter_value, operator_counters, stage_counters
 from portlens.sources.evidence import choose_evidence, confidence
 from portlens.sources.logs import log_usage, read_log
+from portlens.sources.pages import inner_text
 from portlens.sources.profile import PROFILE_COLUMNS, database_totals, newest, read_profile, scan_profile
 
 
@@ -188,3 +189,14 @@ def test_samples_do_not_depend_on_the_join(spark, monkeypatch, rows, keys):
     monkeypatch.setattr(usage_module, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(usage_module, "BROADCAST_KEYS", keys)
     assert sorted(map(tuple, usage_rollup(events).collect())) == want and usage_counts(events).count() == len(want)
+
+
+def test_newest_of_records_without_times(spark):
+    rows = [(n, None, "hot.c") for n in range(300)] + [(1000 + n, dt.datetime(2024, 1, 1), "hot.c") for n in range(5)]
+    frame = profile_frame(spark, rows)
+    assert sorted(r.event_key for r in newest(frame, 20).collect()) == [*range(15), *range(1000, 1005)]
+
+
+def test_character_references(spark):
+    frame = spark.createDataFrame([("a&rsquo;s &#8212; b&#x27;c &amp;lt; &lt;p&gt; &nbsp;x &unknown; &#0; &#x1F600;",)], "h string")
+    assert frame.select(inner_text("h")).first()[0] == "a\u2019s \u2014 b'c &lt; <p> x &unknown; &#0; \U0001f600"

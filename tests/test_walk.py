@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import datetime as dt
 import json
+import time
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from portlens.operators.usage import USAGE_KEYS, feature_details, features, usage_rollup
+from portlens.operators.usage import USAGE_KEYS, feature_details, features, usage_counts, usage_rollup
 from portlens.operators.walk import needs_walk
 
 KNOWN = {"find", "aggregate", "insert", "update", "delete", "findAndModify", "distinct", "count", "createIndexes", "dropIndexes", "listIndexes"}
@@ -174,3 +176,39 @@ def test_hot_group(spark):
     assert set(USAGE_KEYS) <= set(next(iter(got.values())).asDict())
     assert got["$gt", "hot"].usage_count == 2 * 19_800 and got["$gt", "cold"].usage_count == 400
     assert got["$or", "hot"].max_duration_ms == 19_999
+
+
+def test_repeated_keys_count_once_by_either_way(spark):
+    docs = ['{"find":"c","filter":{"a":{"$gt":1,"$gt":2},"b":{"$gt":3}}}', '{"find":"c","filter":{"a":{"$gt":1,"$gt":2},"b":{"$gt":3},"t":"x\\\\y"}}']
+    rows = [(n, None, "app", "c", "query", "find", doc, n) for n, doc in enumerate(docs)]
+    events = spark.createDataFrame(rows, EVENTS)
+    found = [sorted((r.event_key, r.feature_name) for r in f(events).collect() if r.feature_type == "operator") for f in (features, feature_details)]
+    assert found[0] == found[1] == [(n, "$gt") for n in (0, 0, 1, 1)]
+
+
+def test_a_wide_update_is_walked_in_proportion(spark):
+    def seconds(items: int) -> float:
+        doc = json.dumps({"update": "c", "updates": [{"q": {"n": {"$eq": n}, "t": "a\\b"}, "u": {"$set": {"x": n}}} for n in range(items)]})
+        events = spark.createDataFrame([(1, None, "app", "c", "command", "update", doc, 1)], EVENTS)
+        start = time.perf_counter()
+        assert features(events).filter("feature_type = 'operator'").count() == 2 * items
+        return time.perf_counter() - start
+
+    seconds(50)
+    assert seconds(8000) < 6 * max(seconds(2000), 0.5)
+
+
+def test_every_group_is_rolled_up_once_for_any_key(spark):
+    when = dt.datetime(2024, 1, 1)
+    keys = [-(2**63), -(2**63) + 1, -(10**18), -1, 0, 1, 2**63 - 1]
+    rows = [(key, when + dt.timedelta(days=n // 2), "app", f"c{n % 3}", "query", "find", json.dumps({"find": "c", "filter": {f"f{n}": {"$gt": n}}}), n) for n, key in enumerate(keys)]
+    early = [(5, dt.datetime(1950, 1, 1), "old", "c", "query", "find", '{"find":"c","filter":{"a":{"$lt":1}}}', 1)]
+    untimed = [(-7, None, "none", "c", "query", "find", '{"find":"c","filter":{"a":{"$in":[]}}}', 1)]
+    events = spark.createDataFrame((rows + early + untimed) * 3, EVENTS)
+    counted = {tuple(r[c] for c in USAGE_KEYS): r.usage_count for r in usage_counts(events).collect()}
+    rolled = usage_rollup(events).collect()
+    assert len(rolled) == len(counted)
+    assert {tuple(r[c] for c in USAGE_KEYS): r.usage_count for r in rolled} == counted
+    newest = {r.collection: r.sample_path for r in rolled if r.feature_name == "$gt"}
+    assert newest == {"c0": "command.filter.f6.$gt", "c1": "command.filter.f4.$gt", "c2": "command.filter.f5.$gt"}
+    assert all(r.sample_value is not None for r in rolled)
