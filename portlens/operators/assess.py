@@ -317,9 +317,14 @@ def priority_rank(column: str = "migration_priority") -> Column:
     return rank_of(column, fixed.PRIORITY)
 
 
+def _place() -> list[Column]:
+    """Where a feature is used: the rest of the key, so that no tie is left open."""
+    return [F.asc(c) for c in ("command_name", "op_type", "database", "collection")]
+
+
 def assessed_order() -> list[Column]:
     """Hardest first, then most urgent, most used and by name."""
-    return [complexity_rank().desc(), priority_rank().desc(), F.desc("usage_count"), F.asc("feature_type"), F.asc("feature_name")]
+    return [complexity_rank().desc(), priority_rank().desc(), F.desc("usage_count"), F.asc("feature_type"), F.asc("feature_name"), *_place()]
 
 
 def is_hotspot(require_scope: bool = True) -> Column:
@@ -337,7 +342,15 @@ def hotspots(assessed: DataFrame) -> DataFrame:
 
 
 def hotspot_order() -> list[Column]:
-    return [priority_rank().desc(), complexity_rank().desc(), F.desc("usage_count"), F.desc_nulls_last("max_duration_ms")]
+    return [
+        priority_rank().desc(),
+        complexity_rank().desc(),
+        F.desc("usage_count"),
+        F.desc_nulls_last("max_duration_ms"),
+        F.asc("feature_type"),
+        F.asc("feature_name"),
+        *_place(),
+    ]
 
 
 def excluded(assessed: DataFrame) -> DataFrame:

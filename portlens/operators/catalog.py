@@ -322,11 +322,11 @@ def observe_baseline(baseline: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def show_overrides(baseline: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Fill the override columns from loaded overrides where a feature has one."""
+    """Fill the override columns from loaded overrides where a feature has one; of several, the last row counts."""
     fields = ("override_scope", "override_complexity", "override_action", "override_reason")
-    loaded = overrides.select(
-        "feature_type", "feature_name", *[F.col(f).alias(f"{f}_loaded") for f in fields], F.col("enabled").alias("override_enabled_loaded")
-    )
+    each = F.struct(*[F.col(f).alias(f"{f}_loaded") for f in fields], F.col("enabled").alias("override_enabled_loaded"))
+    order = F.col("ordinal") if "ordinal" in overrides.columns else F.struct(*fields)
+    loaded = overrides.groupBy("feature_type", "feature_name").agg(F.max_by(each, order).alias("_row")).select("feature_type", "feature_name", "_row.*")
     joined = baseline.join(loaded, ["feature_type", "feature_name"], "left")
     names = (*fields, "override_enabled")
     filled = joined.withColumns({f: F.coalesce(f"{f}_loaded", f) for f in names})

@@ -162,4 +162,4 @@ def evidence(assessed: DataFrame, **selected: str | None) -> DataFrame:
     kept = assessed
     for column, value in selected.items():
         kept = kept.filter(F.col(column).eqNullSafe(F.lit(value)))
-    return kept.orderBy(F.desc("usage_count"), "feature_type", "feature_name").limit(1)
+    return kept.orderBy(F.desc("usage_count"), "feature_type", "feature_name", "command_name", "op_type", "database", "collection").limit(1)
