@@ -19,6 +19,8 @@ component are skipped:
   2. every tile whose classes are still in several components is compared;
   3. of bands over several tiles, the classes outside the band's largest component
      are compared with all its classes, in tiles of bounded size.
+What the signatures of a step suspect is gathered into groups; exact sets meet once for
+each group, not for each tile or pair.
 Every linking pair is compared or already connected, so components are exact.
 
 A text without words, or null, has the empty set and links with nothing. Null ids are
@@ -41,8 +43,9 @@ from portlens.llm.shingles import shingle_hashes
 
 PERCENT = 75
 TILE = 256
-HEAVY = 8  # documents of one task that have a shingle
-MAX_HEAVY = 500_000
+HEAVY = 4  # documents of one task that have a shingle
+MAX_HEAVY = 1_000_000
+BROADCAST_ROWS = 1_000_000
 STEP = 2_000_000  # shingles a task holds at once
 PART = 1_000_000  # shingles a group of the candidate search holds
 MIN_BITS, MAX_BITS = 256, 1 << 17
@@ -188,25 +191,41 @@ def shared_lists(docs: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    width = int(min(MAX_BITS, max(MIN_BITS, 1 << int(2 * len(shingles) - 1).bit_length())))
+    width = min(MAX_BITS, max(MIN_BITS, 1 << (len(shingles) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
-def payload(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, n, bits, shingles) of the wanted classes, from one document of each."""
-    place = F.struct("no_id", "id", "text_hash")
-    one = found.where("n > 0").groupBy("class").agg(F.min(place).alias("p")).join(wanted, "class").select("p.*", F.col("class").alias("wanted"))
-    texts = keyed(docs).join(one, ["no_id", "id", "text_hash"])
-    schema = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("shingles", pa.binary())])
+def _sent(frame: DataFrame) -> DataFrame:
+    """A few numbers a row: sent to every executor while that is some tens of MB, so that texts stay where they are."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
+def signatures(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(class, n, bits) of the classes of places (no_id, id, text_hash, class), from one document of each."""
+    schema = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            sets = sets_of(batch.column("text").to_pylist())
+            yield rows(schema, (batch.column("class"), map(len, sets), map(signature, sets)))
+
+    texts = keyed(docs).join(_sent(places), ["no_id", "id", "text_hash"])
+    return texts.select("text", "class").mapInArrow(run, "class long, n long, bits binary")
+
+
+def with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (no_id, id, text_hash, class, tile, root) with their n, bits and shingles, for an exact comparison."""
+    schema = pa.schema([("tile", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("root", pa.int64()), ("side", pa.int32()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
             sets = sets_of(batch.column("text").to_pylist())
-            yield rows(schema, (batch.column("wanted"), map(len, sets), map(signature, sets), [s.tobytes() for s in sets]))
+            yield rows(schema, (batch.column("tile"), batch.column("class"), map(len, sets), map(signature, sets), batch.column("root"), [EITHER] * len(sets), [s.tobytes() for s in sets]))
 
-    return texts.select("text", "wanted").mapInArrow(run, "class long, n long, bits binary, shingles binary")
+    texts = keyed(docs).join(_sent(members), ["no_id", "id", "text_hash"])
+    return texts.select("text", "class", "tile", "root").mapInArrow(run, "tile long, class long, n long, bits binary, root long, side int, shingles binary")
 
 
 class Tile:
@@ -240,31 +259,35 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _top(parent: dict | list, x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
 def linked(tile: Tile) -> Iterator[tuple[int, int]]:
     """Links that join components of the tile; needs its shingles."""
     parent = {r: r for r in tile.root}
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     sets = [np.frombuffer(s, np.uint64) for s in tile.shingles]
     for i in range(1, len(sets)):
         for j in tile.possible(i).tolist():
-            a, b = top(tile.root[i]), top(tile.root[j])
+            a, b = _top(parent, tile.root[i]), _top(parent, tile.root[j])
             if a != b and overlap(sets[j], sets[i]) >= needed(int(tile.n[i]), int(tile.n[j])):
                 parent[max(a, b)] = min(a, b)
                 yield tile.classes[i], tile.classes[j]
 
 
 def suspected(tile: Tile) -> Iterator[tuple[int, int]]:
-    """Pairs of different components that signatures don't rule out."""
-    for i in range(1, len(tile.classes)):
+    """Pairs of different components that signatures don't rule out, as far as they join two groups of suspects."""
+    parent = list(range(len(tile.classes)))
+    for i in range(1, len(parent)):
         for j in tile.possible(i).tolist():
             if tile.root[i] != tile.root[j]:
-                yield tile.classes[i], tile.classes[j]
+                a, b = (_top(parent, x) for x in (i, j))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    yield tile.classes[i], tile.classes[j]
 
 
 def in_tiles(members: DataFrame, exact: bool) -> DataFrame:
@@ -296,22 +319,24 @@ def in_tiles(members: DataFrame, exact: bool) -> DataFrame:
     return members.select(*columns).repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, by exact intersection."""
-    one = pairs.distinct().join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("first")).dropDuplicates(["a"]), "a")
-    two = one.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("second")).dropDuplicates(["b"]), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
-            sets_a, sets_b = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("first", "second"))
-            keep = [overlap(x, y) >= needed(len(x), len(y)) for x, y in zip(sets_a, sets_b, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def verified(docs: DataFrame, suspects: DataFrame, places: DataFrame, now: DataFrame | None) -> DataFrame:
+    """Links among the groups that suspects (a, b) form, by exact intersection.
 
-    return two.select("a", "b", "first", "second").mapInArrow(run, "a long, b long")
+    A group larger than MEMBERS is cut into parts, and every two parts are one tile.
+    """
+    groups = stored(components(suspects), "suspects")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    parts = groups.join(sizes, "component").withColumn("x", F.pmod(F.xxhash64("node"), F.col("parts")))
+    # A group of one part is one tile; else a part meets each of the parts, and so itself.
+    spread = parts.select("component", F.col("node").alias("class"), "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("y"))
+    tiles = spread.select("class", F.xxhash64("component", F.least("x", "y"), F.greatest("x", "y")).alias("tile"))
+    return in_tiles(with_sets(docs, stored(rooted(tiles, now).join(places, "class"), "suspected")), exact=True)
 
 
-def rooted(members: DataFrame, found: DataFrame) -> DataFrame:
+def rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
     """Members with their present component as `root`: their own class while unlinked."""
+    if found is None:
+        return members.withColumn("root", F.col("class"))
     return members.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
 
 
@@ -323,17 +348,18 @@ def link_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     tiles = raw.groupBy("tile").agg(F.first("members").alias("members"), F.sum("times").alias("times"))
     flat = stored(tiles.select("tile", "times", F.explode("members").alias("class")), "members")
     chosen = flat.groupBy("class").agg(F.max_by("tile", F.struct("times", "tile")).alias("tile"))
-    sets = stored(payload(docs, found, chosen.select("class")), "sets")
+    place = F.min(F.struct("no_id", "id", "text_hash")).alias("p")
+    places = stored(found.where("n > 0").groupBy("class").agg(place).join(chosen, "class").select("p.*", "class"), "places")
+    signs = stored(signatures(docs, places), "signatures")
 
-    one_each = chosen.join(sets, "class").withColumn("root", F.col("class")).withColumn("side", F.lit(EITHER))
-    links = stored(in_tiles(one_each, exact=True), "links1")
+    one_each = chosen.join(signs, "class").withColumn("root", F.col("class")).withColumn("side", F.lit(EITHER))
+    links = stored(verified(docs, in_tiles(one_each, exact=False), places, None), "links1")
     now = stored(components(links), "components1")
 
-    signs = sets.select("class", "n", "bits")
     open_tiles = rooted(flat.select("tile", "class"), now)
     split = open_tiles.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("tile")
     again = open_tiles.join(split, "tile").join(signs, "class").withColumn("side", F.lit(EITHER))
-    links = stored(links.unionByName(verified(in_tiles(again, exact=False), sets)), "links2")
+    links = stored(links.unionByName(verified(docs, in_tiles(again, exact=False), places, now)), "links2")
     now = stored(components(links), "components2")
 
     # Of the bands with the same tiles, one is enough.
@@ -341,7 +367,7 @@ def link_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     same = pieces.groupBy("band").agg(F.count("*").alias("k"), F.sum(F.xxhash64("tile").cast("decimal(20,0)")).alias("all"))
     pieces = pieces.join(same.groupBy("k", "all").agg(F.min("band").alias("band")).select("band"), "band")
     wide = stored(rooted(pieces.select("band", F.explode("members").alias("class")).distinct(), now), "wide")
-    links = stored(links.unionByName(verified(across(wide, signs), sets)), "links3")
+    links = stored(links.unionByName(verified(docs, across(wide, signs), places, now)), "links3")
     return components(links)
 
 
