@@ -1,8 +1,8 @@
 """Toxic passages: maximum-scoring segments over token log-odds, with extreme-value calibration.
 
 Learning. Words (lower-cased, outer punctuation off) of the labelled training documents
-are counted by class, once for each document; of copies, found by equal least shingle
-hash, one document counts. A word's log-odds are its posterior under a Dirichlet prior whose
+are counted by class, once for each document; of documents with an equal text and an
+equal label, one counts. A word's log-odds are its posterior under a Dirichlet prior whose
 mean is the log-odds of its first five letters, theirs that of its first four, theirs 0,
 so unseen forms of a known stem are scored by the stem. Only log-odds that differ from
 their prior by Z standard errors enter the table; any other word takes the longest stem
@@ -32,8 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from portlens.llm.common import byte_words, remainder, rows, slices, stored
-from portlens.llm.shingles import shingle_hashes
+from portlens.llm.common import byte_words, remainder, rows, slices, stored, text_or_empty
 
 FOLDS = 5
 STRENGTH = 5.0
@@ -51,19 +50,9 @@ def _bare(word: bytes) -> str:
     return word.decode("utf-8", "replace").strip(_EDGES)
 
 
-def one_of_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id): of the documents with the same least shingle hash, the one with the smallest id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            hashes, owner = shingle_hashes(batch.column("text").to_pylist())
-            least = np.full(batch.num_rows, np.uint64(2**64 - 1))
-            np.minimum.at(least, owner, hashes)
-            yield rows(pa.schema([("doc_id", batch.schema.field("doc_id").type), ("least", pa.int64())]), (batch.column("doc_id"), least.view(np.int64)))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    each = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, least long")
-    return each.groupBy("least").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+def one_of_copies(training: DataFrame) -> DataFrame:
+    """Of rows with an equal text and an equal label, one; a text with both labels counts once for each."""
+    return training.withColumn("copy", F.sha2(text_or_empty(), 256)).dropDuplicates(["copy", "toxic"]).drop("copy")
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -252,8 +241,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = _small(marked)
     training = docs.select("doc_id", "text").where(remainder("doc_id", FOLDS) != 0).join(marked, "doc_id")
-    chosen = training.join(_small(stored(one_of_copies(training), "chosen")), "doc_id")
-    words = stored(word_counts(chosen), "words")
+    words = stored(word_counts(one_of_copies(training)), "words")
     odds, _ = log_odds(words)
     odds = stored(odds.where(F.abs("z") >= Z), "odds")
     cut = Z

@@ -170,3 +170,14 @@ def test_pipeline_against_its_parts(spark):
     from test_llm_tokens import token_ids
 
     assert pieces.groupBy().sum("length").first()[0] == sum(len(t) + 1 for t in token_ids([r.text for r in docs.collect()]))
+
+
+def test_only_equal_texts_of_one_label_count_once(make):  # noqa: F811
+    # The five documents share their least shingle hash or have the same words; two are copies.
+    near = [prose(4, 60) + " " + word for word in ("one", "two", "three")]
+    rows = [(1, near[0]), (2, near[0]), (3, near[0]), (4, near[1]), (5, near[2]), (6, None), (7, "")]
+    training = make(rows).selectExpr("doc_id", "text", "cast(doc_id = 3 as int) as toxic")
+    kept = sorted((r.text or "", r.toxic) for r in op02_toxicity.one_of_copies(training).collect())
+    assert kept == sorted([(near[0], 0), (near[0], 1), (near[1], 0), (near[2], 0), ("", 0)])
+    counts = {r.word: (r.toxic, r.clean) for r in op02_toxicity.word_counts(op02_toxicity.one_of_copies(training)).collect()}
+    assert counts["one"] == (1, 1) and counts["two"] == (0, 1) and counts["three"] == (0, 1)
