@@ -6,8 +6,9 @@ equal label, one counts. A word's log-odds are its posterior under a Dirichlet p
 mean is the log-odds of its first five letters, theirs that of its first four, theirs 0,
 so unseen forms of a known stem are scored by the stem. Only log-odds that differ from
 their prior by Z standard errors enter the table; any other word takes the longest stem
-in it, or 0. The table has at most MAX_FEATURES entries: if more are significant, Z is
-raised until it fits.
+in it, or 0. Z is the same at every size and the table holds every significant entry: one
+of up to MAX_FEATURES entries is sent to every task; a larger one stays rows, and the
+distinct words of the texts meet it by a join.
 
 Scoring. A token's score is its log-odds less a constant drift. One pass over a text
 finds all maximal scoring segments. A segment of score S in a text of n tokens has
@@ -30,15 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from portlens.llm.common import byte_words, remainder, rows, slices, stored, text_or_empty
+from portlens.llm.tokens import Numbers
 
 FOLDS = 5
 STRENGTH = 5.0
 Z = 3.5
 DRIFT = 0.3
+# Entries of a table that is sent to every task; a larger one is joined. Scores are the same.
 MAX_FEATURES = 200_000
+CHUNK_WORDS = 300_000
 BROADCAST_LABELS = 2_000_000
 REMEMBERED = 300_000
 STEMS = (5, 4)
@@ -172,6 +177,14 @@ def segments(scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     return [(first, last, high - low) for first, last, low, high in held]
 
 
+_ENTRY = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])
+_ENTRIES = "array<struct<first:int,last:int,score:double>>"
+
+
+def _entries(scores: np.ndarray, drift: float) -> list[dict]:
+    return [{"first": a, "last": b, "score": s} for a, b, s in segments(scores, drift)]
+
+
 def passages(docs: DataFrame, features: list[tuple[int, str, float]], drift: float = DRIFT) -> DataFrame:
     """(doc_id, n_tokens, segments): the toxic-leaning passages of whole texts, as word ranges with their scores."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -179,18 +192,70 @@ def passages(docs: DataFrame, features: list[tuple[int, str, float]], drift: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered = _Remembered(Weights(shared.value, drift))
-        entry = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])
         for batch in slices(batches, 256):
             lengths, found = [], []
             for text in batch.column("text").to_pylist():
                 words = byte_words(text)
                 scores = np.fromiter(map(remembered.__getitem__, words), np.float64, len(words))
                 lengths.append(len(words))
-                found.append([{"first": a, "last": b, "score": s} for a, b, s in segments(scores, drift)])
-            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("n_tokens", pa.int64()), ("segments", pa.list_(entry))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(found, pa.list_(entry))], schema=schema)
+                found.append(_entries(scores, drift))
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("n_tokens", pa.int64()), ("segments", pa.list_(_ENTRY))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(found, pa.list_(_ENTRY))], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, segments {_ENTRIES}")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, segments array<struct<first:int,last:int,score:double>>")
+
+def word_odds(words: DataFrame, odds: DataFrame, small: bool) -> DataFrame:
+    """Rows with a bare word, and its log-odds: its own, its longest stem's in the table, or 0."""
+    found = []
+    for size in (0, *STEMS):
+        name = f"odds_{size}"
+        level = odds.where(F.col("level") == size).select(F.col("feature").alias(f"stem_{size}"), F.col("odds").alias(name))
+        key = F.substring("word", 1, size) if size else F.col("word")
+        words = words.join(F.broadcast(level) if small else level, key == F.col(f"stem_{size}"), "left").drop(f"stem_{size}")
+        found.append(name)
+    return words.withColumn("odds", F.coalesce(*found, F.lit(0.0))).drop(*found)
+
+
+def joined_passages(docs: DataFrame, odds: DataFrame, drift: float = DRIFT) -> DataFrame:
+    """The same as passages, with a table that stays rows.
+
+    A task numbers the words of its documents chunk by chunk; every distinct word meets the
+    table once and its odds go back to the chunks that have it, whose documents are scored.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chunk, numbers, schema = TaskContext.get().partitionId() << 20, 0, Numbers(), None
+
+        def words() -> pa.RecordBatch:
+            n = len(numbers)
+            return rows(schema, ([part + chunk] * n, [None] * n, [None] * n, range(n), map(_bare, numbers)))
+
+        for batch in slices(batches, 256):
+            schema = pa.schema([("chunk", pa.int64()), ("doc_id", batch.schema.field("doc_id").type), ("numbers", pa.binary()), ("number", pa.int32()), ("word", pa.string())])
+            index = [numbers.of(byte_words(text)).astype("<u4").tobytes() for text in batch.column("text").to_pylist()]
+            numbers.new.clear()
+            n = len(index)
+            yield rows(schema, ([part + chunk] * n, batch.column("doc_id"), index, [None] * n, [None] * n))
+            if len(numbers) > CHUNK_WORDS:
+                yield words()
+                chunk, numbers = chunk + 1, Numbers()
+        if len(numbers):
+            yield words()
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        values = np.zeros(right.num_rows)
+        values[right.column("number").to_numpy()] = right.column("odds").to_numpy()
+        index = [np.frombuffer(x, "<u4") for x in left.column("numbers").to_pylist()]
+        arrays = [left.column("doc_id").combine_chunks(), pa.array(map(len, index), pa.int64()), pa.array([_entries(values[x], drift) for x in index], pa.list_(_ENTRY))]
+        return pa.Table.from_arrays(arrays, schema=pa.schema([("doc_id", left.schema.field("doc_id").type), ("n_tokens", pa.int64()), ("segments", pa.list_(_ENTRY))]))
+
+    all_rows = stored(docs.select("doc_id", "text").mapInArrow(encode, f"chunk long, doc_id {kind}, numbers binary, number int, word string"), "encoded")
+    places = all_rows.where("number is not null").groupBy("word").agg(F.collect_list(F.struct("chunk", "number")).alias("places"))
+    valued = word_odds(places, odds, False).select("odds", F.inline("places")).withColumnRenamed("chunk", "piece")
+    documents = all_rows.where("numbers is not null").select("chunk", "doc_id", "numbers")
+    return documents.groupBy("chunk").cogroup(valued.groupBy("piece")).applyInArrow(scored, f"doc_id {kind}, n_tokens long, segments {_ENTRIES}")
 
 
 def solve_lambda(histogram: list[tuple[float, float]]) -> float:
@@ -244,13 +309,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     words = stored(word_counts(one_of_copies(training)), "words")
     odds, _ = log_odds(words)
     odds = stored(odds.where(F.abs("z") >= Z), "odds")
-    cut = Z
-    if odds.count() > MAX_FEATURES:
-        share = MAX_FEATURES / odds.count()
-        cut = odds.select(F.percentile_approx(F.abs("z"), F.lit(1 - 0.9 * share), F.lit(100_000))).first()[0]
-    features = [tuple(r) for r in odds.where(F.abs("z") >= cut).select("level", "feature", "odds").limit(MAX_FEATURES).collect()]
-    found = stored(passages(docs, features), "passages")
-    rate = solve_lambda(_clean_scores(words, features))
+    small = odds.count() <= MAX_FEATURES
+    if small:
+        features = [tuple(r) for r in odds.select("level", "feature", "odds").collect()]
+    found = stored(passages(docs, features) if small else joined_passages(docs, odds), "passages")
+    rate = solve_lambda(_clean_scores(words, odds, small))
     training_scored = found.where(remainder("doc_id", FOLDS) != 0).join(marked, "doc_id")
     clean = training_scored.where("toxic = 0")
     typical = clean.select(F.explode("segments.score").alias("s")).agg(F.percentile_approx("s", 0.5), F.count("*")).first()
@@ -269,19 +332,10 @@ def _small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_LABELS else frame
 
 
-def _clean_scores(words: DataFrame, features: list[tuple[int, str, float]]) -> list[tuple[float, float]]:
+def _clean_scores(words: DataFrame, odds: DataFrame, small: bool) -> list[tuple[float, float]]:
     """(score, count) of the clean training tokens, in steps of a hundredth."""
-    shared = words.sparkSession.sparkContext.broadcast(features)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, counts = Weights(shared.value, DRIFT), Counter()
-        for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("clean").to_pylist(), strict=True):
-                counts[round(weights.odds(word.encode()) - DRIFT, 2)] += n
-        yield rows(pa.schema([("score", pa.float64()), ("n", pa.int64())]), (counts.keys(), counts.values()))
-
-    each = words.select("word", "clean").mapInArrow(run, "score double, n long")
-    return [tuple(r) for r in each.groupBy("score").agg(F.sum("n")).collect()]
+    each = word_odds(words, odds, small).groupBy(F.round(F.col("odds") - DRIFT, 2).alias("score")).agg(F.sum("clean"))
+    return [tuple(r) for r in each.collect()]
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

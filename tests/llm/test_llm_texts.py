@@ -181,3 +181,18 @@ def test_only_equal_texts_of_one_label_count_once(make):  # noqa: F811
     assert kept == sorted([(near[0], 0), (near[0], 1), (near[1], 0), (near[2], 0), ("", 0)])
     counts = {r.word: (r.toxic, r.clean) for r in op02_toxicity.word_counts(op02_toxicity.one_of_copies(training)).collect()}
     assert counts["one"] == (1, 1) and counts["two"] == (0, 1) and counts["three"] == (0, 1)
+
+
+def test_a_table_of_any_size_gives_the_same_toxicity_scores(make, spark, monkeypatch):  # noqa: F811
+    bad = ["grumbo", "vexlor", "snarkel"]
+    rows = [(n, prose(n, 60) + (f" {bad[n % 3]} {bad[(n + 1) % 3]}s (Grumbo)" if n % 6 == 0 else "")) for n in range(200)] + [(1000, None), (1001, ""), (1002, "-- ?")]
+    labels = spark.createDataFrame([(n, 1, int(n % 6 == 0)) for n in range(200)], "doc_id long, quality int, toxic int")
+
+    def found() -> dict:
+        return {r.doc_id: (r.n_tokens, [(s.first, s.last, round(s.score, 9)) for s in r.segments], round(r.score, 9)) for r in op02_toxicity.score(make(rows), labels).collect()}
+
+    whole = found()
+    # More significant entries than a table for every task may have, and several chunks for a task.
+    monkeypatch.setattr(op02_toxicity, "MAX_FEATURES", 2)
+    monkeypatch.setattr(op02_toxicity, "CHUNK_WORDS", 50, raising=False)
+    assert found() == whole
