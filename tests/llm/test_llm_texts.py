@@ -196,3 +196,17 @@ def test_a_table_of_any_size_gives_the_same_toxicity_scores(make, spark, monkeyp
     monkeypatch.setattr(op02_toxicity, "MAX_FEATURES", 2)
     monkeypatch.setattr(op02_toxicity, "CHUNK_WORDS", 50, raising=False)
     assert found() == whole
+
+
+def test_the_mixer_learns_from_every_position():
+    from portlens.llm import mixing_model as model
+
+    words, code = [b"a", b"bc", b"d", b"efghi"], model.prefix_code(np.zeros(256, np.int64))
+    classes, counts = np.zeros(4, np.int64), np.array([5, 1, 3, 2])
+    table, mixer = np.zeros((model.SLOTS, 2), np.float32), model.Mixer()
+    model.count_into(table, words, classes, counts, code)
+    before = mixer.refined.sum()
+    model.learn(mixer, table, words, classes, counts, code, np.zeros_like(mixer.weights))
+    # Weights of all positions sum to one; each has eight bits under this code.
+    assert set(code[1].tolist()) == {8}
+    assert mixer.refined.sum() - before == pytest.approx(8 * len(words))
