@@ -202,11 +202,39 @@ def test_the_mixer_learns_from_every_position():
     from portlens.llm import mixing_model as model
 
     words, code = [b"a", b"bc", b"d", b"efghi"], model.prefix_code(np.zeros(256, np.int64))
-    classes, counts = np.zeros(4, np.int64), np.array([5, 1, 3, 2])
-    table, mixer = np.zeros((model.SLOTS, 2), np.float32), model.Mixer()
-    model.count_into(table, words, classes, counts, code)
+    positions, counts, mixer = model.Positions(words, np.zeros(4, np.int64), code), np.array([5, 1, 3, 2]), model.Mixer()
+    entries = positions.entries(3)
+    found = model.bit_counts(entries.keys, entries.bytes, entries.weights(positions, counts), code)
     before = mixer.refined.sum()
-    model.learn(mixer, table, words, classes, counts, code, np.zeros_like(mixer.weights))
+    model.learn(mixer, positions, entries, found, counts, np.zeros_like(mixer.weights), len(words))
     # Weights of all positions sum to one; each has eight bits under this code.
     assert set(code[1].tolist()) == {8}
     assert mixer.refined.sum() - before == pytest.approx(8 * len(words))
+
+
+def test_no_context_shares_its_counts(spark):
+    from portlens.llm import mixing_model as model
+
+    generator = np.random.default_rng(1)
+    words = sorted({bytes(generator.integers(97, 123, 10, dtype=np.uint8)) for _ in range(20_000)})
+    code = model.prefix_code(np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256))
+    positions, counts = model.Positions(words, np.zeros(len(words), np.int64), code), np.arange(len(words)) % 4
+    entries = positions.entries(5)
+    found = np.zeros((int(entries.lengths.sum()), 2), np.int64)
+    weights, bits = entries.weights(positions, counts), entries.starts[:, None] + np.arange(int(code[1].max()))
+    for shard in range(5):
+        own = entries.shard == shard
+        rows = bits[own][np.arange(bits.shape[1]) < entries.lengths[own][:, None]]
+        found[rows] = model.bit_counts(entries.keys[own], entries.bytes[own], weights[own], code)
+    # The whole word so far: every prefix and the bits after it, counted by hand.
+    wanted: Counter = Counter()
+    spelled = [[(w[:n], format(int(code[0][b]), f"0{int(code[1][b])}b")) for n, b in enumerate(w + b"\x01")] for w in words]
+    for word, n in zip(spelled, counts.tolist(), strict=True):
+        for prefix, said in word:
+            for d in range(len(said)):
+                wanted[prefix, said[: d + 1]] += n
+    at = entries.at[4]
+    for place, (prefix, said) in enumerate(x for word in spelled for x in word):
+        for d in range(len(said)):
+            got = found[entries.starts[at[place]] + d].tolist()
+            assert got == [wanted[prefix, said[:d] + bit] for bit in "01"]
