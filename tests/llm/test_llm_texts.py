@@ -238,3 +238,17 @@ def test_no_context_shares_its_counts(spark):
         for d in range(len(said)):
             got = found[entries.starts[at[place]] + d].tolist()
             assert got == [wanted[prefix, said[:d] + bit] for bit in "01"]
+
+
+def test_classes_and_byte_code_come_from_all_training_documents(make):  # noqa: F811
+    # One script in a single document of many: it gets a centre of its own and its bytes are in the code.
+    chosen = next(i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 10)
+    rows = [(n, "aaaa bbbb cccc" if n % 2 else "dddd eeee") for n in range(5000)] + [(chosen, "漢" * 4000)]
+    found, code = op05_lm_score.fit_classes(make(rows))
+    profile = op05_lm_score.byte_profile(["漢"])
+    assert ((found - profile) ** 2).sum(axis=1).min() < 1e-9 and len(found) == 3
+    wanted: Counter = Counter()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            wanted.update(b"".join(w + b"\x01" for w in text.encode().split()))
+    assert code[1].tolist() == op05_lm_score.model.prefix_code(np.array([wanted[b] for b in range(256)]))[1].tolist()
