@@ -192,8 +192,9 @@ def test_a_table_of_any_size_gives_the_same_toxicity_scores(make, spark, monkeyp
         return {r.doc_id: (r.n_tokens, [(s.first, s.last, round(s.score, 9)) for s in r.segments], round(r.score, 9)) for r in op02_toxicity.score(make(rows), labels).collect()}
 
     whole = found()
+    assert any(segments for _, segments, _ in whole.values())
     # More significant entries than a table for every task may have, and several chunks for a task.
-    monkeypatch.setattr(op02_toxicity, "MAX_FEATURES", 2)
+    monkeypatch.setattr(op02_toxicity, "MAX_FEATURES", 0)
     monkeypatch.setattr(op02_toxicity, "CHUNK_WORDS", 50, raising=False)
     assert found() == whole
 
