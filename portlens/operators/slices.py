@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from portlens import fixed
 from portlens.functions.text import blank
 from portlens.operators.assess import complexity_rank, priority_rank
+from portlens.operators.usage import USAGE_KEYS
 
 _SUPPORT_SEARCH = ("command", "operator", "stage", "source_short_description", "source_doc_url")
 _USAGE_SEARCH = (
@@ -162,4 +163,4 @@ def evidence(assessed: DataFrame, **selected: str | None) -> DataFrame:
     kept = assessed
     for column, value in selected.items():
         kept = kept.filter(F.col(column).eqNullSafe(F.lit(value)))
-    return kept.orderBy(F.desc("usage_count"), "feature_type", "feature_name", "command_name", "op_type", "database", "collection").limit(1)
+    return kept.orderBy(F.desc("usage_count"), *[c for c in USAGE_KEYS if c in assessed.columns]).limit(1)
