@@ -108,4 +108,36 @@ SELECT docs.doc_id, CASE WHEN removed.n IS NULL THEN docs.text ELSE coalesce(kep
 FROM docs LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
 """
 
-SQL = {"op3_quality": QUALITY, "op9_chat": CHAT, "op10_line_dedup": LINES}
+PHRASES = r"""
+WITH spelled AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w != '') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), places AS (
+  SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM spelled)
+), ones AS (
+  SELECT lang, x AS g, count(*) AS f FROM places GROUP BY ALL
+), twos AS (
+  SELECT lang, x || ' ' || y AS g, x, y, count(*) AS f FROM places WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), threes AS (
+  SELECT lang, x || ' ' || y || ' ' || z AS g, x, x || ' ' || y AS xy, y || ' ' || z AS yz, z, count(*) AS f FROM places WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT t.lang, t.g, 2 AS k, t.f AS a, 1 AS c, p.f AS l, q.f AS r FROM twos t JOIN ones p ON p.lang = t.lang AND p.g = x JOIN ones q ON q.lang = t.lang AND q.g = y
+  UNION ALL
+  SELECT t.lang, t.g, 3, t.f, 1, p.f, q.f FROM threes t JOIN ones p ON p.lang = t.lang AND p.g = t.x JOIN twos q ON q.lang = t.lang AND q.g = yz
+  UNION ALL
+  SELECT t.lang, t.g, 3, t.f, 2, p.f, q.f FROM threes t JOIN twos p ON p.lang = t.lang AND p.g = xy JOIN ones q ON q.lang = t.lang AND q.g = z
+), scored AS (
+  SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1
+), longer AS (
+  SELECT lang, g, max(f) AS most FROM (SELECT lang, xy AS g, f FROM threes UNION ALL SELECT lang, yz, f FROM threes) GROUP BY lang, g
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN longer m USING (lang, g) WHERE k = 3 OR most IS NULL OR 100 * most < 50 * a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, score FROM kept
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM ones GROUP BY lang
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op3_quality": QUALITY, "op9_chat": CHAT, "op10_line_dedup": LINES, "op13_collocations": PHRASES}

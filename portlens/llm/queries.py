@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portlens.llm import checks, op01_mixing, op02_toxicity, op03_quality, op04_packing, op05_lm_score, op06_materialise, op07_fingerprint, op08_jaccard, op09_chat, op10_lines
+from portlens.llm import checks, op01_mixing, op02_toxicity, op03_quality, op04_packing, op05_lm_score, op06_materialise, op07_fingerprint, op08_jaccard, op09_chat, op10_lines, op13_collocations
 from portlens.llm.common import table
 
 
@@ -32,6 +32,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": _over("documents", op08_jaccard.query),
         "op9_chat": _over("conversations", op09_chat.query),
         "op10_line_dedup": _over("documents", op10_lines.query),
+        "op13_collocations": _over("documents", op13_collocations.query),
         "pipeline": pipeline,
     }
 
