@@ -20,14 +20,16 @@ rows. Extra columns are left out.
 
 How it runs. One pass counts the words and gives each (lang, word) a 64-bit hash, checked
 to be unlike all others; a second sends the edges as three hashes, added up in each task
-first. Edges meet by node. A node that could hold more than 1/(4 * parts) of all words is
-one whose words both do; these words, at most 4 * parts, are known to every task, and the
-edges of such nodes are dealt over several keys by their third word.
+first. Edges meet by their first word, so that one task has the flow of a word and of all
+its nodes, and only what occurs `least` times goes on. A word that holds 1/(4 * parts) of
+all words or more is heavy; these, at most 4 * parts, are known to every task. Their edges
+are dealt by the second word too, and by the third where the second is heavy as well, and
+partial sums of words and nodes are added up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
 from portlens.llm.common import rows, slices, stored, text_or_empty
+from portlens.llm.shingles import mixed
 from portlens.llm.tokens import Numbers
 
 LEAST = 10
@@ -43,7 +46,7 @@ PER_LANG = 2000
 PERCENT = 50
 CHUNK = 24 << 20  # bytes of text a task counts at once
 PART = 2_000_000  # words whose edges one task adds up
-SHARE = 4  # a word is heavy from 1 / (SHARE * parts) of all words
+SHARE = 4  # a word is heavy from 1 / (SHARE * parts) of all words on
 NO_LANG = "und"
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO_END = bytes.maketrans(_ENDS, b"." * len(_ENDS))
@@ -111,7 +114,11 @@ def dictionary(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def edges(docs: DataFrame, seed: int, heavy: np.ndarray, salts: int) -> DataFrame:
-    """(w1, w2, w3, salt, n): edges added up in each task. `salt` is 0, or a number by the third word at a heavy node."""
+    """(w1, w2, w3, salt, n): edges added up in each task.
+
+    `salt` is 0 for a light first word. For a heavy one it is a positive number by the second
+    word, and where that is heavy too, a negative one by the second and third.
+    """
     schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("w3", pa.int64()), ("salt", pa.int32()), ("n", pa.int32())])
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -132,12 +139,53 @@ def edges(docs: DataFrame, seed: int, heavy: np.ndarray, salts: int) -> DataFram
                 part = found[at : at + 100_000]
                 node, c = np.divmod(part, size)
                 a, b = np.divmod(node if names is None else names[node], size)
-                salt = np.where(hot[a] & hot[b], 1 + (hashes[c].view(np.uint64) % np.uint64(salts)).astype(np.int64), 0)
+                rest = mixed(np.where(hot[b], hashes[b] ^ (hashes[c] << 1), hashes[b]).view(np.uint64)) % np.uint64(salts)
+                salt = np.where(hot[a], (1 + rest.astype(np.int64)) * np.where(hot[b], -1, 1), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[a]), pa.array(hashes[b]), pa.array(hashes[c]), pa.array(salt.astype(np.int32)), pa.array(times[at : at + 100_000].astype(np.int32))], schema=schema)
 
     return _texts(docs).mapInArrow(run, "w1 long, w2 long, w3 long, salt int, n int")
 
 
+def _sums(values: list[np.ndarray], times: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sums of sorted rows by equal values."""
+    new = reduce(np.logical_or, (np.diff(v, prepend=v[:1] - 1) != 0 for v in values))
+    at = np.flatnonzero(new)
+    return [v[at] for v in values], np.add.reduceat(times, at) if len(at) else times
+
+
+def _met(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds up the edges of a task: those that occur `least` times, and the flow of nodes and words.
+
+    A word or node that lies in several tasks gives what it has in each.
+    """
+    schema = pa.schema([("size", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("w3", pa.int64()), ("f", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(i).to_numpy() for i in range(5)] for batch in batches]
+        if not held:
+            return
+        w1, w2, w3, salt, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((w3, w2, w1))
+        w1, w2, w3, salt, n = w1[order], w2[order], w3[order], salt[order], n[order].astype(np.int64)
+        (x, y, z), f = _sums([w1, w2, w3], n)
+        nodes, node_flow = _sums([w1, w2, (salt < 0).astype(np.int8)], n)
+        words, word_flow = _sums([w1, (salt != 0).astype(np.int8)], n)
+        none = np.zeros(0, np.int64)
+        for size, values, flow, some in (
+            (3, (x, y, z), f, (f >= least) & (z != 0)),
+            (2, (*nodes[:2], none), node_flow, ((node_flow >= least) | (nodes[2] > 0)) & (nodes[1] != 0)),
+            (1, (words[0], none, none), word_flow, (word_flow >= least) | (words[1] > 0)),
+        ):
+            at = np.flatnonzero(some)
+            for k in range(0, len(at), 100_000):
+                part = at[k : k + 100_000]
+                filled = [v[part] if len(v) else np.zeros(len(part), np.int64) for v in values]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), size, np.int32)), *map(pa.array, filled), pa.array(flow[part])], schema=schema)
+
+    return run
+
+
 def graph(docs: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
     """(size, w1, w2, w3, f): words, nodes and edges that occur `least` times; a missing word is 0.
 
@@ -147,17 +195,9 @@ def graph(docs: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame
     total = words.agg(F.sum("n")).first()[0] or 0
     parts = max(16, total // PART + 1)
     heavy = np.array([r[0] for r in words.where(F.col("n") * (SHARE * parts) >= total).select("hash").collect()], np.int64)
-    raw = edges(docs, seed, heavy, SHARE * parts)
-    # What is dealt by node serves the edges and the nodes; only sums go further.
-    met = raw.repartition(parts, "w1", "w2", "salt").groupBy("w1", "w2", "w3", "salt").agg(F.sum("n").alias("f"))
-    flow = met.groupBy("w1", "w2", "salt").agg(F.sum("f").alias("f")).where((F.col("salt") > 0) | (F.col("f") >= least))
-    nodes = flow.groupBy("w1", "w2").agg(F.sum("f").alias("f"))
-    single = met.groupBy("w1").agg(F.sum("f").alias("f"))
-    none = F.lit(0).cast("long")
-    found = met.where("w3 != 0").select(F.lit(3).alias("size"), *_EDGE, "f")
-    found = found.unionByName(nodes.where("w2 != 0").select(F.lit(2).alias("size"), "w1", "w2", none.alias("w3"), "f"))
-    found = found.unionByName(single.select(F.lit(1).alias("size"), "w1", none.alias("w2"), none.alias("w3"), "f"))
-    return found.where(F.col("f") >= least)
+    dealt = edges(docs, seed, heavy, SHARE * parts).repartition(parts, "w1", "salt")
+    found = dealt.mapInArrow(_met(least), "size int, w1 long, w2 long, w3 long, f long")
+    return found.groupBy("size", *_EDGE).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def unary_paths(grams: DataFrame) -> DataFrame:
