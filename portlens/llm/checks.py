@@ -139,5 +139,27 @@ WITH spelled AS (
 )
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+LEAKS = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(ws), 10) AS k, array_to_string(ws[i:i + 9], ' ') AS w FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)
+), sizes AS (
+  SELECT DISTINCT k FROM windows
+), places AS (
+  SELECT r, k, i, array_to_string(ws[i:i + k - 1], ' ') AS w FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs), sizes WHERE i + k - 1 <= len(ws)
+), hits AS (
+  SELECT r, places.k, i, item FROM places JOIN windows USING (w) WHERE windows.k = places.k
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, k, i FROM hits)) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
 
-SQL = {"op3_quality": QUALITY, "op9_chat": CHAT, "op10_line_dedup": LINES, "op13_collocations": PHRASES}
+SQL = {"op3_quality": QUALITY, "op9_chat": CHAT, "op10_line_dedup": LINES, "op11_decontaminate": LEAKS, "op13_collocations": PHRASES}
