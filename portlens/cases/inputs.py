@@ -7,112 +7,105 @@ table; only the rule and override dimensions are fixed.
 
 from __future__ import annotations
 
+import re
+
 
 def _text(literal: str) -> str:
     return "'" + literal.replace("'", "''") + "'"
 
 
 def _doc(template: str) -> str:
-    """SQL for a JSON document; `@N@` is the event amount, `@K@` its key."""
-    sql = _text(template)
+    """SQL for a JSON document; `@N@` is the event amount, `@K@` its key, `@c1@` and the like picked parts. None is NULL."""
+    cut = re.split(r"@(\w+)@|(\\)", template)
     # A backslash inside a literal would mean different things to the two engines.
-    sql = sql.replace("\\", "' || chr(92) || '")
-    sql = sql.replace("@N@", "' || CAST(CAST(floor(value) AS BIGINT) AS STRING) || '")
-    return sql.replace("@K@", "' || CAST(event_id AS STRING) || '")
+    values = {"N": "amount", "K": "CAST(event_id AS STRING)"}
+    parts = []
+    for at in range(0, len(cut), 3):
+        name, back = cut[at - 2 : at] if at else (None, None)
+        parts += [values.get(name, name)] if name else ["chr(92)"] if back else []
+        parts += [_text(cut[at])] if cut[at] or len(cut) == 1 else []
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+
+
+# A small grammar of calls to a made-up weather service: what a document holds is
+# picked by the event's key, so that parts come together in many ways. Keys are
+# sorted inside each value so that sample payloads read the same in both engines;
+# the order of top-level keys is the order a driver sends.
+_CONDITIONS = [
+    '{"low":{"$lt":@N@}}', '{"name":{"$options":"m","$regex":"port$"}}', '{"sky":{"$nin":["XX","YY"]}}', '{"masts":{"$elemMatch":{"built":{"$gte":1950},"kind":{"$all":["steel"]}}}}',
+    '{"height":{"$gt":3,"$ne":77}}', '{"closed":{"$exists":true}}', '{"mast":{"$not":{"$size":2}}}', '{"owner":{"$in":["navy","city"]}}', '{"at":{"$type":"date"}}', '{"peak":{"$gte":@N@,"$lte":900}}',
+    '{"$nor":[{"kind":"buoy"},{"high":{"$mod":[4,0]}}]}', '{"plain":@N@}', '{"where":{"$geoWithin":{"$box":[[0,0],[@N@,9]]}}}',
+]
+_VALUES = [
+    '{"$avg":["$low","$high"]}', '{"$cond":[{"$gt":["$peak",@N@]},"storm","calm"]}', '{"$toUpper":"$name"}', '{"$switch":{"branches":[{"case":{"$lt":["$low",0]},"then":{"$abs":"$low"}}],"default":0}}',
+    '{"$map":{"as":"p","in":{"$substrCP":["$$p",0,2]},"input":"$parts"}}', '{"$regexMatch":{"input":"$name","regex":"bay"}}', '{"$setField":{"field":"t","input":{"k":"$kind"},"value":"$owner"}}',
+    '{"$reduce":{"in":{"$add":["$$value","$$this.km"]},"initialValue":0,"input":"$up"}}', '{"$isoWeek":"$at"}', '"$low"', '{"$divide":["$high",{"$max":[@N@,1]}]}',
+]
+_STEPS = [
+    '{"$match":@c1@}', '{"$set":{"feel":@v1@}}', '{"$group":{"_id":"$day","worst":@v2@}}', '{"$unwind":"$days"}', '{"$sort":{"top":-1}}', '{"$limit":9}', '{"$project":{"a":@v2@,"b":1}}', '{"$addFields":{"week":@v1@}}',
+    '{"$bucketAuto":{"buckets":7,"groupBy":"$high"}}', '{"$graphLookup":{"as":"up","connectFromField":"into","connectToField":"_id","from":"rivers","startWith":"$into"}}', '{"$count":"n"}', '{"$unset":"marks"}',
+    '{"$match":{"$and":[@c2@,@c1@]}}', '{"$sample":{"size":2}}', '{"$replaceRoot":{"newRoot":"$site"}}',
+]
+_NESTS = [
+    '{"$lookup":{"as":"site","foreignField":"_id","from":"stations","localField":"station","pipeline":[@s3@,{"$facet":{"far":[@s1@,{"$skip":4}],"near":[{"$limit":6}]}}]}}',
+    '{"$facet":{"days":[@s1@,{"$sort":{"top":-1}}],"total":[{"$match":{"low":{"$lte":30}}},{"$count":"n"}]}}',
+    '{"$lookup":{"as":"a","from":"x","pipeline":[{"$lookup":{"as":"b","from":"y","pipeline":[{"$match":{"v":{"$gt":@N@}}},@s3@]}}]}}',
+    '{"$unionWith":{"coll":"squalls","pipeline":[{"$match":{"peak":{"$gt":60}}}]}}', '{}', '"loose"', '{"bare":{"$floor":2}}', '{"$redact":{"$cond":[true,"$$KEEP","$$PRUNE"]}}', '{"$lookup":"broken"}',
+]
+_ENDS = ['{"$out":"all_gusts"}', '{"$merge":{"into":"worst_days","on":"_id"}}', '{"$limit":5}', '{"$count":"n"}', '{"$match":{"low":{"$lte":30}}}', '{"$sort":{"x":1}}']
+_CHANGES = [
+    '{"$inc":{"checks":1}}', '{"$push":{"log":"old"},"$set":{"state":"aged"}}', '{"$currentDate":{"seen":true},"$max":{"age":12}}', '{"$rename":{"maker":"brand"}}', '{"$pull":{"log":{"kind":{"$in":["noise"]}}}}',
+    '{"$min":{"age":5},"$unset":{"spare":""}}', '{"whole":"document"}', '{"$addToSet":{"tags":{"$each":["a","b"]}}}', '{"$mul":{"gain":@N@}}',
+]
 
+# The parts of an event's document: name, list, and how the key picks from it. Later ones hold earlier ones.
+_GRAMMAR = [
+    [("c1", _CONDITIONS, "event_id * 5"), ("c2", _CONDITIONS, "event_id * 7 + 3"), ("c3", _CONDITIONS, "event_id + 8"), ("v1", _VALUES, "event_id * 3 + 1"), ("v2", _VALUES, "event_id * 9 + 4"), ("u1", _CHANGES, "event_id * 2"), ("u2", _CHANGES, "event_id * 5 + 3")],
+    [("s1", _STEPS, "event_id * 7"), ("s2", _STEPS, "event_id * 11 + 2"), ("s3", _STEPS, "event_id * 2 + 5")],
+    [("n1", _NESTS, "event_id * 4 + 1"), ("e1", _ENDS, "event_id * 5 + 2")],
+]
 
-# One call per entry of a made-up weather service: (operation, command, query, updateobj).
-# Keys are sorted inside each value so that sample payloads read the same in
-# both engines; the order of top-level keys is the order a driver sends.
+# Wide documents: many objects that hold the same keys.
 _WIDE = ",".join(f'{{"q":{{"slot":{{"$eq":{n}}}}},"u":{{"$mul":{{"gain":{n}}}}}}}' for n in range(40))
+# (operation, command, query, updateobj) of each kind of call.
 WORKLOAD = [
+    ("query", '{"find":"stations","filter":{"$or":[@c1@,@c2@]},"projection":{"name":1,"parts":{"$slice":-3}},"lsid":{"id":"w1"},"$db":"weather"}', None, None),
+    ("command", '{"aggregate":"gusts","pipeline":[@s1@,@s2@],"cursor":{}}', None, None),
+    ("query", '{"find":"gusts","filter":@c3@,"limit":@N@}', None, None),
+    ("command", '{"aggregate":"readings","pipeline":[@s2@,@n1@,@e1@],"cursor":{}}', None, None),
+    ("update", '{"q":@c2@,"u":@u1@,"multi":false}', None, None),
+    ("command", '{"update":"sensors","updates":[{"multi":true,"q":@c1@,"u":@u1@},{"q":@c3@,"u":@u2@},"not an object"],"ordered":true}', None, None),
+    ("command", '{"count":"gusts","query":@c1@}', None, None),
+    ("command", '{"aggregate":"stations","pipeline":[@s3@],"cursor":{}}', None, None),
+    ("command", '{"delete":"gusts","deletes":[{"limit":0,"q":@c2@}],"ordered":true}', None, None),
+    ("getmore", '{"getMore":@K@,"collection":"readings"}', None, None),
+    ("query", '{"find":"readings","filter":{"$expr":{"$lt":[@v1@,{"$multiply":["$high",@v2@]}]}},"projection":{"low":1}}', None, None),
+    ("command", '{"findAndModify":"sensors","query":@c1@,"update":@u2@,"new":false}', None, None),
+    ("command", '{"aggregate":"rivers","pipeline":[@s1@,@s3@,@n1@,@s2@,@e1@],"cursor":{}}', None, None),
+    ("query", None, "@c2@", None),
     ("command", '{"insert":"gusts","documents":[{"_id":@K@,"peak":@N@,"path":[{"lat":1,"lon":2}],"marks":[]}],"ordered":false}', None, None),
-    (
-        "query",
-        '{"find":"stations","filter":{"$or":[{"height":{"$lte":@N@}},{"country":{"$nin":["XX","YY"]}}],"$nor":[{"closed":{"$exists":true}}],'
-        '"$and":[{"height":{"$gt":3,"$ne":77}},{"owner":{"$in":["navy","city"]}}],"mast":{"$not":{"$lt":2}},'
-        '"masts":{"$elemMatch":{"built":{"$gte":1950},"kind":{"$all":["steel"]}}},"name":{"$options":"m","$regex":"port$"},"parts":{"$size":2}},'
-        '"projection":{"name":1,"parts":{"$slice":-3}},"lsid":{"id":"w1"},"$db":"weather"}',
-        None,
-        None,
-    ),
-    ("query", '{"find":"readings","filter":{"$expr":{"$lt":["$low",{"$multiply":["$high",{"$divide":[@N@,100]}]}]}},"projection":{"low":1}}', None, None),
-    (
-        "command",
-        '{"aggregate":"readings","pipeline":[{"$match":{"high":{"$gte":@N@},"sky":{"$in":["rain","hail"]}}},'
-        '{"$addFields":{"feel":{"$switch":{"branches":[{"case":{"$lt":["$low",0]},"then":{"$abs":"$low"}}],"default":{"$avg":["$low","$high"]}}},'
-        '"week":{"$isoWeek":"$at"}}},'
-        '{"$lookup":{"as":"site","foreignField":"_id","from":"stations","localField":"station",'
-        '"pipeline":[{"$set":{"title":{"$toUpper":"$name"}}},{"$facet":{"far":[{"$match":{"height":{"$ne":0}}},{"$skip":4}],"near":[{"$limit":6}]}}]}},'
-        '{"$facet":{"days":[{"$group":{"_id":"$day","mean":{"$avg":"$low"},"top":{"$max":"$high"}}},{"$sort":{"top":-1}}],'
-        '"total":[{"$match":{"low":{"$lte":30}}},{"$count":"n"}]}},{"$unwind":"$days"}],"cursor":{}}',
-        None,
-        None,
-    ),
-    ("command", '{"aggregate":"readings","pipeline":[{"$bucketAuto":{"buckets":7,"groupBy":"$high"}}],"cursor":{}}', None, None),
-    (
-        "command",
-        '{"aggregate":"rivers","pipeline":[{"$graphLookup":{"as":"upstream","connectFromField":"into","connectToField":"_id","from":"rivers","startWith":"$into"}},'
-        '{"$project":{"length":{"$reduce":{"in":{"$add":["$$value","$$this.km"]},"initialValue":0,"input":"$upstream"}}}}],"cursor":{}}',
-        None,
-        None,
-    ),
-    (
-        "command",
-        '{"aggregate":"stations","pipeline":[{"$project":{"coast":{"$regexMatch":{"input":"$name","regex":"bay"}},'
-        '"code":{"$map":{"as":"p","in":{"$substrCP":["$$p",0,2]},"input":"$parts"}},"tag":{"$setField":{"field":"t","input":{"k":"$kind"},"value":"$owner"}}}}],"cursor":{}}',
-        None,
-        None,
-    ),
-    (
-        "command",
-        '{"aggregate":"gusts","pipeline":[{"$set":{"class":{"$cond":[{"$gt":["$peak",@N@]},"storm","calm"]}}},{"$unset":"marks"},'
-        '{"$sort":{"peak":1}},{"$limit":9}],"cursor":{}}',
-        None,
-        None,
-    ),
-    ("command", '{"aggregate":"gusts","pipeline":[{"$group":{"_id":"$day","worst":{"$max":"$peak"}}},{"$merge":{"into":"worst_days","on":"_id"}}],"cursor":{}}', None, None),
-    (
-        "command",
-        '{"aggregate":"gusts","pipeline":[{"$unionWith":{"coll":"squalls","pipeline":[{"$match":{"peak":{"$gt":60}}}]}},{},"loose",{"bare":{"$floor":2}},{"$out":"all_gusts"}],"cursor":{}}',
-        None,
-        None,
-    ),
-    (
-        "command",
-        '{"aggregate":"readings","pipeline":[{"$lookup":{"as":"a","from":"x","pipeline":[{"$lookup":{"as":"b","from":"y","pipeline":[{"$match":{"v":{"$gt":@N@}}},{"$sample":{"size":2}}]}}]}}],"cursor":{}}',
-        None,
-        None,
-    ),
     ("query", '{"find":"notes","filter":{"text":{"$ne":"said \\"$gt\\": twice"},"value":{"$lt":@N@}},"projection":{"text":1}}', None, None),
+    ("command", '{"distinct":"readings","key":"sky","query":@c3@}', None, None),
     ("command", '{"update":"sensors","updates":[' + _WIDE + '],"ordered":false}', None, None),
-    (
-        "command",
-        '{"update":"sensors","updates":[{"multi":true,"q":{"age":{"$gte":@N@}},"u":{"$currentDate":{"seen":true},"$inc":{"checks":1},"$max":{"age":12},'
-        '"$push":{"log":"old"},"$rename":{"maker":"brand"},"$set":{"state":"aged"},"$unset":{"spare":""}}},'
-        '{"q":{"state":{"$eq":"lost"}},"u":{"$pull":{"log":{"kind":{"$in":["noise"]}}}}},"not an object"],"ordered":true}',
-        None,
-        None,
-    ),
-    ("command", '{"delete":"gusts","deletes":[{"limit":0,"q":{"peak":{"$lt":@N@}}}],"ordered":true}', None, None),
-    ("command", '{"findAndModify":"sensors","query":{"state":{"$in":["aged"]}},"update":{"$min":{"age":5},"$set":{"state":"kept"}},"new":false}', None, None),
-    ("command", '{"distinct":"readings","key":"sky","query":{"low":{"$lt":0}}}', None, None),
-    ("command", '{"count":"gusts","query":{"peak":{"$gte":90}}}', None, None),
-    ("command", '{"listIndexes":"stations"}', None, None),
+    ("command", '{"aggregate":"gusts","pipeline":[@s2@,@s1@,@e1@],"cursor":{}}', None, None),
+    ("update", None, '{"_id":@K@}', "@u1@"),
     ("command", '{"createIndexes":"stations","indexes":[{"key":{"country":1},"name":"by_country"}]}', None, None),
+    ("remove", "{}", "@c1@", None),
+    ("command", '{"listIndexes":"stations"}', None, None),
     ("command", '{"dropIndexes":"stations","index":"by_country"}', None, None),
-    ("query", None, '{"peak":{"$lte":@N@}}', None),
-    ("update", None, '{"_id":@K@}', '{"$set":{"checked":true}}'),
-    ("update", '{"q":{"low":{"$gt":@N@}},"u":{"$inc":{"hits":2}},"multi":false}', None, None),
-    ("remove", "{}", '{"sky":{"$exists":true}}', None),
     ("command", '{"lsid":{"id":"w2"},"$clusterTime":3,"hello":1,"comment":"check"}', None, None),
-    ("getmore", '{"getMore":@K@,"collection":"readings"}', None, None),
-    ("command", '{"$db":"weather","lsid":{"id":"w3"}}', None, None),
     ("insert", "", None, None),
+    ("command", '{"$db":"weather","lsid":{"id":"w3"}}', None, None),
     ("query", '{"find":"system.profile","filter":{"ts":{"$gte":5}}}', None, None),
 ]
 
 
+def _picked(source: str, level: list[tuple[str, list[str], str]]) -> str:
+    """SQL for a source with one more level of parts."""
+    arms = lambda values: " ".join(f"WHEN {n} THEN {_doc(v)}" for n, v in enumerate(values))
+    return "SELECT *, " + ", ".join(f"CASE ({key}) % {len(values)} {arms(values)} END AS {name}" for name, values, key in level) + f" FROM {source}"
+
+
 def _choose(column: int) -> str:
     arms = []
     for number, entry in enumerate(WORKLOAD):
@@ -122,7 +115,10 @@ def _choose(column: int) -> str:
 
 
 _SELF_READ = len(WORKLOAD) - 1
-_NO_NAMESPACE = len(WORKLOAD) - 3
+_NO_NAMESPACE = len(WORKLOAD) - 4
+_DEALT = "(SELECT *, CAST(CAST(floor(value) AS BIGINT) AS STRING) AS amount FROM events) e0"
+for _number, _level in enumerate(_GRAMMAR, 1):
+    _DEALT = f"({_picked(_DEALT, _level)}) e{_number}"
 
 PROFILE = f"""
 SELECT event_id AS event_key, ts,
@@ -141,9 +137,37 @@ SELECT event_id AS event_key, ts,
   CASE WHEN event_type = 'view' THEN NULL ELSE CAST(floor(value * 2) AS BIGINT) END AS keysExamined,
   CASE WHEN event_type = 'error' THEN CAST(event_id % 100 AS BIGINT) END AS errCode,
   CASE WHEN event_type = 'error' THEN 'failed ' || CAST(event_id % 100 AS STRING) WHEN event_type = 'click' THEN '' END AS errMsg
-FROM events
+FROM {_DEALT}
 """
 
+# Documents whose keys occur again, in one object or across objects, with the
+# features that a reader who keeps the last of a repeated key finds:
+# (command, document, features).
+SHAPES = [
+    ("find", '{"find":"c","filter":{"a":{"$gt":1,"$gt":@N@},"b":{"$gt":2}}}', ["operator $gt", "operator $gt"]),
+    ("find", '{"find":"c","filter":{"a":{"$gt":1},"b":{"$gt":2},"d":{"$gt":@N@}}}', ["operator $gt"] * 3),
+    ("find", '{"find":"c","filter":{"a":{"$gt":1},"a":{"$lt":@N@}}}', ["operator $lt"]),
+    ("find", '{"find":"c","filter":{"$or":[{"a":{"$in":[1]}}],"$or":[{"a":{"$nin":[{"$or":@N@}]}}]}}', ["operator $or", "operator $nin", "operator $or"]),
+    ("find", '{"find":"c","filter":{"$and":[{"$and":[{"$and":[{"x":@N@}]}]}]}}', ["operator $and"] * 3),
+    ("find", '{"find":"c", "filter" : {"a":{"$ne" :1, "$ne" :2 ,"$eq":{"$ne":@N@}}}}', ["operator $ne", "operator $eq", "operator $ne"]),
+    ("aggregate", '{"aggregate":"c","pipeline":[{"$match":{"a":{"$gt":1}}},{"$match":{"a":{"$gt":@N@}}}]}', ["stage $match", "operator $gt"] * 2),
+    ("aggregate", '{"aggregate":"c","pipeline":[{"$match":{"a":{"$gt":1,"$gt":2}}},{"$limit":@N@}]}', ["stage $match", "operator $gt", "stage $limit"]),
+    ("aggregate", '{"aggregate":"c","pipeline":[{"$set":{"x":{"$add":[{"$add":[1,2]},{"$add":[@N@]}]}}}]}', ["stage $set"] + ["expression $add"] * 3),
+    ("aggregate", '{"aggregate":"c","pipeline":[{"$lookup":{"from":"d","pipeline":[{"$lookup":{"from":"e","pipeline":[{"$lookup":{"from":"f","pipeline":[{"$lookup":{"pipeline":[{"$limit":@N@}]}}]}}]}}]}}]}', ["stage $lookup"] * 4 + ["stage $limit"]),
+    ("aggregate", '{"aggregate":"c","pipeline":[{"$facet":{"a":[{"$count":"n"}],"a":[{"$limit":1},{"$skip":@N@}]}}]}', ["stage $facet", "stage $limit", "stage $skip"]),
+    ("update", '{"update":"c","updates":[{"q":{"a":{"$gt":1}},"u":{"$set":{"b":1},"$set":{"b":@N@}}},{"q":{"a":{"$gt":1}},"u":{"$set":{"b":1}}}]}', ["operator $gt", "operator $set"] * 2),
+    ("delete", '{"delete":"c","deletes":[{"q":{"a":{"$lt":1}}},{"q":{"a":{"$lt":@N@}}}]}', ["operator $lt"] * 2),
+    ("findAndModify", '{"findAndModify":"c","query":{"a":{"$in":[1],"$in":[@N@]}},"update":{"$inc":{"a":1}}}', ["operator $in", "operator $inc"]),
+    ("aggregate", '{"aggregate":"c","pipeline":[{"$match":{"$expr":{"$gt":["$a",{"$abs":@N@}]}}},{"$match":{"t":"said \\"$lt\\": no"}}]}', ["stage $match", "operator $expr", "expression $gt", "expression $abs", "stage $match"]),
+]
+SHAPE_EVENTS = (
+    f"SELECT event_id AS event_key, ts, 'app' AS db_name, 'c' AS collection_name, 'command' AS op, CAST(floor(value) AS BIGINT) AS duration_ms, CASE event_id % {len(SHAPES)} "
+    + " ".join(f"WHEN {n} THEN '{command}'" for n, (command, _, _) in enumerate(SHAPES))
+    + f" END AS command_name, CASE event_id % {len(SHAPES)} "
+    + " ".join(f"WHEN {n} THEN {_doc(document)}" for n, (_, document, _) in enumerate(SHAPES))
+    + " END AS command_doc FROM (SELECT *, CAST(CAST(floor(value) AS BIGINT) AS STRING) AS amount FROM events) e"
+)
+
 # Server log lines: candidates, other components, broken JSON, odd shapes.
 LOG_LINES = """
 SELECT event_id AS line_no, CASE event_id % 10

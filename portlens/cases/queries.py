@@ -490,6 +490,19 @@ def _(i: Inputs) -> DataFrame:
     return use.feature_totals(i.events)
 
 
+_SHAPE_FEATURES = ", ".join(
+    f"({n}, '{kind}', '{name}')" for n, (command, _, found) in enumerate(inputs.SHAPES) for kind, name in [("command", command), *[f.split() for f in found]]
+)
+
+
+@case(
+    "walk_shapes",
+    f"SELECT feature_type, feature_name, count(*) AS uses, count(DISTINCT event_id) AS events FROM events, (VALUES {_SHAPE_FEATURES}) s(shape, feature_type, feature_name) WHERE event_id % {len(inputs.SHAPES)} = shape GROUP BY ALL",
+)
+def _(i: Inputs) -> DataFrame:
+    return use.feature_totals(i.view(inputs.SHAPE_EVENTS))
+
+
 @case("usage_counts", "SELECT * FROM counts")
 def _(i: Inputs) -> DataFrame:
     return i.counts

@@ -24,6 +24,7 @@ _FOUND = "array<struct<feature_type string, feature_name string, sample_path str
 # A key that starts with `$` and holds no escapes. The quote in front of it
 # must not be escaped itself: then it would be part of a text value.
 _KEY = r"""r'(?<!\\)"(\$[^"\\]*)"\s*:'"""
+_FEW_ROUNDS = 3
 _WALKED_COMMANDS = "('find', 'update', 'delete', 'findAndModify', 'aggregate')"
 
 
@@ -55,17 +56,24 @@ def _stages(pipeline: str, doc: str) -> str:
         )
 
     level = f"flatten(transform(s.open, p -> {named('p')}))"
+    # Of branches with one name the last counts.
+    branches = (
+        f"transform(array(map_entries(from_json({body}, 'map<string,string>'))), m -> transform(filter(m, (e, i) -> "
+        "NOT exists(slice(m, i + 2, size(m)), x -> x.key = e.key)), e -> from_json(e.value, 'array<string>')))[0]"
+    )
     nested = (
         "filter(CASE g.name "
         f"WHEN '$lookup' THEN array(from_json({body}, 'pipeline array<string>').pipeline) "
-        f"WHEN '$facet' THEN transform(map_values(from_json({body}, 'map<string,string>')), b -> from_json(b, 'array<string>')) "
+        f"WHEN '$facet' THEN {branches} "
         "END, p -> p IS NOT NULL)"
     )
     below = f"flatten(transform(filter(l, g -> g.name IN ('$lookup', '$facet')), g -> coalesce({nested}, {_none(_PIPELINES)})))"
     # `l` is bound by transforming a one-element array, so a level is opened once.
     step = f"transform(array({level}), l -> named_struct('open', {below}, 'seen', concat(s.seen, l)))[0]"
     nests = f"""(contains({doc}, '"$lookup"') OR contains({doc}, '"$facet"'))"""
-    rounds = rf"""sequence(0, least(size(regexp_extract_all({doc}, r'("\$(?:lookup|facet)")', 1)), {depth_sql(doc)}))"""
+    # The depth matters only where many stages can nest: else their number is bound enough.
+    able = rf"""size(regexp_extract_all({doc}, r'("\$(?:lookup|facet)")', 1))"""
+    rounds = f"sequence(0, transform(array({able}), k -> IF(k <= {_FEW_ROUNDS}, k, least(k, {depth_sql(doc)})))[0])"
     start = f"named_struct('open', CAST(array({pipeline}) AS {_PIPELINES}), 'seen', {_none(_STAGES)})"
     nested_too = f"aggregate({rounds}, {start}, (s, r) -> {step}, s -> s.seen)"
     return f"CASE WHEN {pipeline} IS NULL THEN {_none(_STAGES)} WHEN {nests} THEN {nested_too} ELSE {named(pipeline)} END"
@@ -108,16 +116,27 @@ def command_parts(doc: str) -> Column:
 
 
 def _needs_walk(doc: str) -> str:
-    keys = f"regexp_extract_all({doc}, {_KEY}, 1)"
-    return f"(contains({doc}, r'\\') OR contains({doc}, '\"$expr\"') OR size({keys}) > size(array_distinct({keys})))"
+    """SQL for `needs_walk`.
+
+    VARIANT keeps the last of a repeated key, so the document written out again
+    has fewer `$` keys exactly where an object repeats a key. Only documents in
+    which some key occurs twice at all are read for that.
+    """
+    written = f"size(regexp_extract_all(to_json(try_parse_json({doc})), {_KEY}, 1))"
+    names = rf"""regexp_extract_all({doc}, r'"([^"]*)"\s*:', 1)"""
+    # `k` and `n` are bound by transforming one-element arrays, so each is read once.
+    lost = f"transform(array(size({_keys(doc)})), n -> n > 0 AND coalesce({written}, -1) != n)[0]"
+    twice = f"transform(array({names}), k -> size(k) > size(array_distinct(k)))[0]"
+    return f"(contains({doc}, r'\\') OR contains({doc}, '\"$expr\"') OR ({twice} AND {lost}))"
 
 
 def needs_walk(doc: str) -> Column:
     """Documents whose features cannot be read from the text alone.
 
     Escapes can hide keys inside text values, and `$expr` turns what lies
-    below it from operators into expressions. A key that occurs more than once
-    may be repeated in one object, where only the last one counts.
+    below it from operators into expressions. Of a key repeated in one object
+    only the last one counts, with what lies below it; keys that occur again
+    in another object are no such case.
     """
     return F.expr(_needs_walk(doc))
 
@@ -176,13 +195,16 @@ def _children(arrays: bool) -> str:
 def depth_sql(text: str) -> str:
     """SQL for the largest nesting depth of a JSON text, in one pass over its brackets.
 
-    Escapes go first, then text literals, then all but brackets.
+    Escapes go first, then text literals, then all but brackets. What is folded are
+    runs of opening and of closing brackets; after a run of opening ones the depth
+    is largest.
     """
     plain = rf"replace(replace(coalesce({text}, ''), '\\\\', ''), '\\\"', '')"
     brackets = rf"regexp_replace(regexp_replace({plain}, '\"[^\"]*\"', ''), '[^\\[\\]{{}}]+', '')"
-    after = "d.now + CASE WHEN c IN ('{', '[') THEN 1 WHEN c IN ('}', ']') THEN -1 ELSE 0 END"
-    step = f"named_struct('now', {after}, 'most', greatest(d.most, {after}))"
-    return f"aggregate(split({brackets}, ''), named_struct('now', 0, 'most', 0), (d, c) -> {step}, d -> d.most)"
+    runs = rf"regexp_extract_all({brackets}, r'([\[{{]+|[\]}}]+)', 1)"
+    after = "d.now + IF(left(c, 1) IN ('{', '['), length(c), -length(c))"
+    step = f"transform(array({after}), x -> named_struct('now', x, 'most', greatest(d.most, x)))[0]"
+    return f"aggregate({runs}, named_struct('now', 0, 'most', 0), (d, c) -> {step}, d -> d.most)"
 
 
 def walk_sql(roots: str, text: str, arrays: bool = True) -> str:

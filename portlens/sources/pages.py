@@ -14,35 +14,42 @@ from pyspark.sql import Column, DataFrame, functions as F
 from portlens import fixed
 from portlens.functions.text import ColumnOrName, clean_text, col
 
-_TABLE = r"(?is)(<table\b.*?</table>)"
 _ROW = r"(?is)<tr\b[^>]*>(.*?)</tr>"
 _CELL = r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"
 _HEAD = r"(?is)<th\b[^>]*>(.*?)</th>"
 _LINK = r'(?is)<a\b[^>]*?\bhref\s*=\s*["\']([^"\']*)["\']'
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# What follows an ampersand in a character reference, up to the semicolon.
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 # Named character references, as the standard library lists them; a fixed space is a space.
 _NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
-def _character(reference: Column) -> Column:
-    """The character that a reference stands for; the reference itself if it names none."""
-    name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+def _character(name: Column) -> Column:
+    """The character that a reference of this name stands for; NULL if there is none."""
     digits = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(
         name.startswith("#"), F.substring(name, F.lit(2), F.length(name))
     )
     code = digits.cast("bigint")
     code = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), code)
     character = F.when(code == 0xA0, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    # A constant: the optimizer reads it once.
     named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
-    return F.coalesce(character, F.element_at(named, name), reference)
+    return F.when(name.startswith("#"), character).otherwise(F.element_at(named, name))
 
 
 def decoded(text: Column) -> Column:
-    """A text with its character references replaced, ampersands last, so that none is read twice."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)))
-    pairs = F.transform(found, lambda r: F.struct(r.alias("r"), _character(r).alias("c")))
-    ordered = F.concat(F.filter(pairs, lambda p: p.c != "&"), F.filter(pairs, lambda p: p.c == "&"))
-    return F.when(F.size(found) > 0, F.aggregate(ordered, text, lambda t, p: F.replace(t, p.r, p.c))).otherwise(text)
+    """A text with its character references replaced, each read once.
+
+    The text is cut at its ampersands, so it is computed once and no character
+    that came out of a reference is read as part of another.
+    """
+    named = F.transform(F.split(text, "&"), lambda p, i: F.struct(p.alias("p"), F.when(i > 0, F.regexp_extract(p, _REFERENCE, 1)).alias("name")))
+
+    def joined(x: Column) -> Column:
+        rest = F.substring(x["p"], F.length(x["name"]) + 2, F.length(x["p"]))
+        return F.when(x["name"].isNull(), x["p"]).otherwise(F.coalesce(F.when(x["name"] != "", F.concat(_character(x["name"]), rest)), F.concat(F.lit("&"), x["p"])))
+
+    return F.array_join(F.transform(named, joined), "")
 
 
 def inner_text(html: ColumnOrName) -> Column:
@@ -55,19 +62,42 @@ def _matches(text: Column, pattern: str) -> Column:
 
 
 def tables_under_headings(html: ColumnOrName, lowest: int) -> Column:
-    """Array of (heading, html) for every table, in page order.
+    """Array of (heading, html) for every table, in the order of their opening tags.
 
-    The heading is the nearest one above the table, down to level `lowest`.
-    The page is cut before each heading, so a piece holds one heading and the
-    tables that follow it.
+    The heading is the nearest one above the table, down to level `lowest`. The
+    page is cut before each heading and each opening and closing table tag, and
+    the pieces are folded with the tables that are open at each. A table inside
+    a cell is a table of its own; in the outer one its text is part of the cell,
+    without tags. A table that is never closed ends with what it lies in.
     """
-    pieces = F.split(col(html), rf"(?i)(?=<h[1-{lowest}]\b)")
-
-    def tables_of(piece: Column) -> Column:
-        heading = inner_text(F.regexp_extract(piece, rf"(?is)^<h[1-{lowest}]\b[^>]*>(.*?)</h[1-{lowest}]>", 1))
-        return F.transform(_matches(piece, _TABLE), lambda t: F.struct(heading.alias("heading"), t.alias("html")))
+    pieces = F.split(col(html), rf"(?i)(?=<h[1-{lowest}]\b|</?table\b)")
+    begin = F.expr(
+        "named_struct('open', CAST(array() AS array<int>), 'n', 0, 'heading', '', 'heads', CAST(array() AS array<string>), "
+        "'parts', CAST(array() AS array<struct<open: array<int>, html: string>>))"
+    )
 
-    return F.flatten(F.transform(pieces, tables_of))
+    def step(s: Column, piece: Column) -> Column:
+        tag = F.lower(F.substring(piece, 1, 7))
+        opens, closes = tag.startswith("<table"), tag == "</table"
+        now = F.when(opens, F.concat(s["open"], F.array(s["n"]))).when(closes, F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0)))).otherwise(s["open"])
+        return F.get(F.transform(F.array(now), lambda x: F.struct(
+            x.alias("open"),
+            F.when(opens, s["n"] + 1).otherwise(s["n"]).alias("n"),
+            F.when(tag.rlike(r"^<h[1-9]"), piece).otherwise(s["heading"]).alias("heading"),
+            F.when(opens, F.concat(s["heads"], F.array(s["heading"]))).otherwise(s["heads"]).alias("heads"),
+            F.when(F.size(x) > 0, F.concat(s["parts"], F.array(F.struct(x.alias("open"), piece.alias("html"))))).otherwise(s["parts"]).alias("parts"),
+        )), F.lit(0))
+
+    def found(s: Column) -> Column:
+        def table(head: Column, t: Column) -> Column:
+            mine = F.filter(s["parts"], lambda p: F.array_contains(p["open"], t))
+            texts = F.transform(mine, lambda p: F.when(F.element_at(p["open"], -1) == t, p["html"]).otherwise(F.regexp_replace(p["html"], r"(?s)<[^>]*>", " ")))
+            heading = inner_text(F.regexp_extract(head, rf"(?is)^<h[1-{lowest}]\b[^>]*>(.*?)</h[1-{lowest}]>", 1))
+            return F.struct(heading.alias("heading"), F.array_join(texts, "").alias("html"))
+
+        return F.transform(s["heads"], table)
+
+    return F.aggregate(pieces, begin, step, found)
 
 
 def _rows_of(table: Column) -> Column:
