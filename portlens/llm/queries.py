@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portlens.llm import checks, op01_mixing, op02_toxicity, op03_quality, op04_packing, op05_lm_score, op06_materialise, op07_fingerprint, op08_jaccard, op09_chat, op10_lines, op11_decontaminate, op13_collocations
+from portlens.llm import checks, op01_mixing, op02_toxicity, op03_quality, op04_packing, op05_lm_score, op06_materialise, op07_fingerprint, op08_jaccard, op09_chat, op10_lines, op11_decontaminate, op12_alignment, op13_collocations
 from portlens.llm.common import table
 
 
@@ -33,6 +33,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat": _over("conversations", op09_chat.query),
         "op10_line_dedup": _over("documents", op10_lines.query),
         "op11_decontaminate": lambda spark, sf_dir: op11_decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op12_alignment": _over("documents", op12_alignment.query),
         "op13_collocations": _over("documents", op13_collocations.query),
         "pipeline": pipeline,
     }

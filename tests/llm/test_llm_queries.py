@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator() -> None:
-    assert sorted(int(name[2:].split("_")[0]) for name in registered() if name != "pipeline") == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in registered() if name != "pipeline") == list(range(1, 14))
     assert set(check_sql()) <= set(registered())
 
 
