@@ -56,7 +56,7 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs the reading of a file and not
-    the work before it. The files go when the application ends.
+    the work before it. The files go by `release`, or when the application ends.
     """
     spark = frame.sparkSession
     folder = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
@@ -64,7 +64,17 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     frame.write.parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(schema).parquet(folder)
+    written = spark.read.schema(schema).parquet(folder)
+    written.stored_at = folder
+    return written
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of stored tables, once all that is made of them is stored itself."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(column: str = "text") -> Column:

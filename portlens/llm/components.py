@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from portlens.llm.common import stored
+from portlens.llm.common import release, stored
 
 MAX_ROUNDS = 60
 
@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a != b").distinct(), "links")
+        last, edges = edges, stored(small.where("a != b").distinct(), "links")
+        release(last)
         after = _mark(edges)
         if after == before:
             break

@@ -13,14 +13,15 @@ of up to TILE classes is a tile, a longer one is cut into several.
 
 Comparing. In a tile, signatures (shingles hashed to a bitmap; the widths follow the sizes
 and fold to the narrower one) bound the overlap from above: |A and B| <= (|A| + |B| -
-differing bits) / 2. Pairs that pass are intersected exactly. Pairs already in one
-component are skipped:
+differing bits) / 2. Pairs that pass are suspects and are intersected exactly. Pairs already
+in one component are skipped:
   1. every class goes to the one tile that most of its shingles have in common;
   2. every tile whose classes are still in several components is compared;
   3. of bands over several tiles, the classes outside the band's largest component
      are compared with all its classes, in tiles of bounded size.
-What the signatures of a step suspect is gathered into groups; exact sets meet once for
-each group, not for each tile or pair.
+A tile first gives the likeliest suspects that would join its components, then, if it still
+has several, all that are left. Sets are sent to suspect pairs only, once for each pair, the
+set of a class with many partners once for MEMBERS of them.
 Every linking pair is compared or already connected, so components are exact.
 
 A text without words, or null, has the empty set and links with nothing. Null ids are
@@ -45,10 +46,12 @@ PERCENT = 75
 TILE = 256
 HEAVY = 4  # documents of one task that have a shingle
 MAX_HEAVY = 1_000_000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000
 STEP = 2_000_000  # shingles a task holds at once
 PART = 1_000_000  # shingles a group of the candidate search holds
-MIN_BITS, MAX_BITS = 256, 1 << 17
+BITS = 8  # of a signature, for each shingle
+MIN_BITS, MAX_BITS = 512, 1 << 19
+HUB, LEAF = 0, 1
 # Two members of a band's tile are not compared; outsiders are, with all.
 OUTSIDER, MEMBER, EITHER = 0, 1, 2
 MEMBERS = 1024  # members in a tile with outsiders
@@ -191,15 +194,15 @@ def shared_lists(docs: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    width = min(MAX_BITS, max(MIN_BITS, 1 << (len(shingles) - 1).bit_length()))
+    width = min(MAX_BITS, max(MIN_BITS, BITS << (len(shingles) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
-def _sent(frame: DataFrame) -> DataFrame:
+def _sent(frame: DataFrame, rows: int) -> DataFrame:
     """A few numbers a row: sent to every executor while that is some tens of MB, so that texts stay where they are."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
 
 
 def signatures(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -211,23 +214,10 @@ def signatures(docs: DataFrame, places: DataFrame) -> DataFrame:
             sets = sets_of(batch.column("text").to_pylist())
             yield rows(schema, (batch.column("class"), map(len, sets), map(signature, sets)))
 
-    texts = keyed(docs).join(_sent(places), ["no_id", "id", "text_hash"])
+    texts = keyed(docs).join(_sent(places, places.count()), ["no_id", "id", "text_hash"])
     return texts.select("text", "class").mapInArrow(run, "class long, n long, bits binary")
 
 
-def with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Members (no_id, id, text_hash, class, tile, root) with their n, bits and shingles, for an exact comparison."""
-    schema = pa.schema([("tile", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("root", pa.int64()), ("side", pa.int32()), ("shingles", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
-            sets = sets_of(batch.column("text").to_pylist())
-            yield rows(schema, (batch.column("tile"), batch.column("class"), map(len, sets), map(signature, sets), batch.column("root"), [EITHER] * len(sets), [s.tobytes() for s in sets]))
-
-    texts = keyed(docs).join(_sent(members), ["no_id", "id", "text_hash"])
-    return texts.select("text", "class", "tile", "root").mapInArrow(run, "tile long, class long, n long, bits binary, root long, side int, shingles binary")
-
-
 class Tile:
     """Classes to compare, with sizes, signatures and present components."""
 
@@ -236,21 +226,21 @@ class Tile:
         self.classes = order
         self.n = np.array([members[c][0] for c in order], np.int64)
         bits = [np.frombuffer(members[c][1], np.uint8) for c in order]
-        self.root = [members[c][2] for c in order]
+        self.root = np.array([members[c][2] for c in order], np.int64)
         self.side = np.array([members[c][3] for c in order])
-        self.shingles = [members[c][4] for c in order]
         width = min(map(len, bits))
         self.bits = np.array([np.bitwise_or.reduce(b.reshape(-1, width), axis=0) for b in bits])
         self.bits = self.bits.view(np.uint64)
 
-    def possible(self, i: int) -> np.ndarray:
-        """Earlier, so smaller, classes that may link with the i-th by size and signature."""
+    def possible(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Earlier, so smaller, classes of other components that may link with the i-th by size and signature, and how far their bound is above what is needed."""
         low = int(np.searchsorted(self.n, -(-PERCENT * int(self.n[i]) // 100)))
-        near = np.arange(low, i)
+        near = low + np.flatnonzero(self.root[low:i] != self.root[i])
         if self.side[i] == MEMBER:
             near = near[self.side[near] != MEMBER]
         differ = np.bitwise_count(self.bits[near] ^ self.bits[i]).sum(axis=1).astype(np.int64)
-        return near[(self.n[near] + self.n[i] - differ) // 2 >= needed(self.n[near], self.n[i])]
+        spare = (self.n[near] + self.n[i] - differ) // 2 - needed(self.n[near], self.n[i])
+        return near[spare >= 0], spare[spare >= 0] / self.n[i]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -259,51 +249,44 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _top(parent: dict | list, x: int) -> int:
+def _top(parent: dict, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
         x = parent[x]
     return x
 
 
-def linked(tile: Tile) -> Iterator[tuple[int, int]]:
-    """Links that join components of the tile; needs its shingles."""
-    parent = {r: r for r in tile.root}
-    sets = [np.frombuffer(s, np.uint64) for s in tile.shingles]
-    for i in range(1, len(sets)):
-        for j in tile.possible(i).tolist():
-            a, b = _top(parent, tile.root[i]), _top(parent, tile.root[j])
-            if a != b and overlap(sets[j], sets[i]) >= needed(int(tile.n[i]), int(tile.n[j])):
-                parent[max(a, b)] = min(a, b)
-                yield tile.classes[i], tile.classes[j]
-
-
-def suspected(tile: Tile) -> Iterator[tuple[int, int]]:
-    """Pairs of different components that signatures don't rule out, as far as they join two groups of suspects."""
-    parent = list(range(len(tile.classes)))
-    for i in range(1, len(parent)):
-        for j in tile.possible(i).tolist():
-            if tile.root[i] != tile.root[j]:
-                a, b = (_top(parent, x) for x in (i, j))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    yield tile.classes[i], tile.classes[j]
-
-
-def in_tiles(members: DataFrame, exact: bool) -> DataFrame:
-    """(a, b) of the tiles of (tile, class, n, bits, root, side[, shingles]), each in one task at a time."""
-    columns = ["tile", "class", "n", "bits", "root", "side"] + ["shingles"] * exact
+def suspected(tile: Tile, every: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of different components that signatures don't rule out: all, or the likeliest that join components."""
+    found = [(near, spare) for near, spare in map(tile.possible, range(len(tile.classes)))]
+    if every:
+        for i, (near, _) in enumerate(found):
+            yield from ((tile.classes[i], tile.classes[j]) for j in near.tolist())
+        return
+    first = np.concatenate([near for near, _ in found])
+    second = np.repeat(np.arange(len(found)), [len(near) for near, _ in found])
+    order = np.argsort(-np.concatenate([spare for _, spare in found]), kind="stable")
+    root = tile.root.tolist()
+    parent = {r: r for r in root}
+    for j, i in zip(first[order].tolist(), second[order].tolist(), strict=True):
+        a, b = _top(parent, root[i]), _top(parent, root[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            yield tile.classes[i], tile.classes[j]
+
+
+def suspects(members: DataFrame, every: bool) -> DataFrame:
+    """Suspect pairs (a, b), a < b, of the tiles of (tile, class, n, bits, root, side), each in one task at a time."""
+    columns = ["tile", "class", "n", "bits", "root", "side"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, {}, []
         for batch in slices(batches, 1000):
-            values = [batch.column(c).to_pylist() for c in columns]
-            values += [[None] * batch.num_rows] * (not exact)
-            for tile, name, *rest in zip(*values, strict=True):
+            for tile, name, *rest in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if tile != now:
                     if len(held) > 1:
-                        out += (linked if exact else suspected)(Tile(held))
+                        out += suspected(Tile(held), every)
                     now, held = tile, {}
                 # A class on both sides of a tile stays on the first, the side of the outsiders.
                 if name not in held or rest[3] < held[name][3]:
@@ -312,25 +295,55 @@ def in_tiles(members: DataFrame, exact: bool) -> DataFrame:
                 yield rows(schema, zip(*out, strict=True))
                 out = []
         if len(held) > 1:
-            out += (linked if exact else suspected)(Tile(held))
+            out += suspected(Tile(held), every)
         if out:
             yield rows(schema, zip(*out, strict=True))
 
-    return members.select(*columns).repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    found = members.select(*columns).repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(docs: DataFrame, suspects: DataFrame, places: DataFrame, now: DataFrame | None) -> DataFrame:
-    """Links among the groups that suspects (a, b) form, by exact intersection.
+def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link, by exact intersection.
 
-    A group larger than MEMBERS is cut into parts, and every two parts are one tile.
+    The partner of more pairs is the pair's hub. A hub meets up to MEMBERS leaves in a
+    group: its set comes first, and theirs pass by. A leaf has few hubs: of m pairs
+    at most the root of 2 m.
     """
-    groups = stored(components(suspects), "suspects")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    parts = groups.join(sizes, "component").withColumn("x", F.pmod(F.xxhash64("node"), F.col("parts")))
-    # A group of one part is one tile; else a part meets each of the parts, and so itself.
-    spread = parts.select("component", F.col("node").alias("class"), "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("y"))
-    tiles = spread.select("class", F.xxhash64("component", F.least("x", "y"), F.greatest("x", "y")).alias("tile"))
-    return in_tiles(with_sets(docs, stored(rooted(tiles, now).join(places, "class"), "suspected")), exact=True)
+    schema = pa.schema([("group", pa.int64()), ("side", pa.int32()), ("class", pa.int64()), ("shingles", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            found = sets_of(batch.column("text").to_pylist())
+            for name, own, groups in zip(batch.column("class").to_pylist(), found, batch.column("groups").to_pylist(), strict=True):
+                yield rows(schema, ([g["group"] for g in groups], [g["side"] for g in groups], [name] * len(groups), [own.tobytes()] * len(groups)))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = hub = first = None
+        for batch in slices(batches, 128):
+            out = []
+            for now, side, name, own in zip(*(batch.column(c).to_pylist() for c in schema.names), strict=True):
+                own = np.frombuffer(own, np.uint64)
+                if side == HUB:
+                    group, hub, first = now, name, own
+                elif now == group and overlap(own, first) >= needed(len(own), len(first)):
+                    out.append((hub, name))
+            if out:
+                yield rows(pa.schema([("a", pa.int64()), ("b", pa.int64())]), zip(*out, strict=True))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("k"))
+    of = lambda end: ends.select(F.col("class").alias(end), F.col("k").alias(f"k_{end}"))
+    a_first = F.struct(F.col("k_a"), F.col("a")) > F.struct(F.col("k_b"), F.col("b"))
+    told = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("leaf"))
+    parts = told.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    told = told.join(parts, "hub").withColumn("group", F.xxhash64("hub", F.pmod(F.xxhash64("leaf"), F.col("parts"))))
+    hubs = told.select(F.col("hub").alias("class"), "group", F.lit(HUB).alias("side")).distinct()
+    members = hubs.unionByName(told.select(F.col("leaf").alias("class"), "group", F.lit(LEAF).alias("side")))
+    members = stored(members.groupBy("class").agg(F.collect_list(F.struct("group", "side")).alias("groups")).join(places, "class"), "members")
+    sent = members.agg(F.sum(F.size("groups"))).first()[0] or 0
+    texts = keyed(docs).join(_sent(members, sent), ["no_id", "id", "text_hash"])
+    whole = texts.select("text", "class", "groups").mapInArrow(sets, "group long, side int, class long, shingles binary")
+    return whole.repartition("group").sortWithinPartitions("group", "side").mapInArrow(met, "a long, b long")
 
 
 def rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -340,8 +353,32 @@ def rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return members.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
 
 
-def link_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, component) of the classes that link with another."""
+class Search:
+    """Links found so far, the components that they make, and the pairs compared."""
+
+    def __init__(self, docs: DataFrame, places: DataFrame) -> None:
+        self.docs, self.places = docs, places
+        self.now: DataFrame | None = None
+        self.links: DataFrame | None = None
+        self.compared: DataFrame | None = None
+
+    def compare(self, pairs: DataFrame) -> bool:
+        """Intersect those of the pairs (a, b) that were not compared before; whether there are pairs at all."""
+        pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            return False
+        if self.compared is not None:
+            pairs = stored(pairs.join(self.compared, ["a", "b"], "left_anti"), "pairs")
+        self.compared = pairs if self.compared is None else self.compared.unionByName(pairs)
+        found = stored(verified(self.docs, pairs, self.places), "found")
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.now = stored(components(self.links), "components")
+        return True
+
+
+def link_classes(docs: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(node, component) of the classes that link with another; None if none does."""
     total = found.agg(F.sum(F.col("n") / 4 + 2)).first()[0] or 0
     raw = shared_lists(docs, heavy_shingles(found), max(16, int(total / PART) + 1))
     raw = stored(raw.withColumn("tile", F.xxhash64("members")), "lists")
@@ -349,29 +386,35 @@ def link_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     flat = stored(tiles.select("tile", "times", F.explode("members").alias("class")), "members")
     chosen = flat.groupBy("class").agg(F.max_by("tile", F.struct("times", "tile")).alias("tile"))
     place = F.min(F.struct("no_id", "id", "text_hash")).alias("p")
-    places = stored(found.where("n > 0").groupBy("class").agg(place).join(chosen, "class").select("p.*", "class"), "places")
-    signs = stored(signatures(docs, places), "signatures")
-
-    one_each = chosen.join(signs, "class").withColumn("root", F.col("class")).withColumn("side", F.lit(EITHER))
-    links = stored(verified(docs, in_tiles(one_each, exact=False), places, None), "links1")
-    now = stored(components(links), "components1")
-
-    open_tiles = rooted(flat.select("tile", "class"), now)
-    split = open_tiles.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("tile")
-    again = open_tiles.join(split, "tile").join(signs, "class").withColumn("side", F.lit(EITHER))
-    links = stored(links.unionByName(verified(docs, in_tiles(again, exact=False), places, now)), "links2")
-    now = stored(components(links), "components2")
+    places = stored(found.where("n > 0").groupBy("class").agg(place).join(chosen, "class").select("p.*", "class", "tile"), "places")
+    signs = stored(signatures(docs, places.drop("tile")), "signatures")
+    search = Search(docs, places.drop("tile"))
+
+    one_each = places.select("class", "tile").join(signs, "class").withColumn("root", F.col("class")).withColumn("side", F.lit(EITHER))
+    search.compare(suspects(one_each, every=False))
+
+    for every in (False, True):
+        open_tiles = rooted(flat.select("tile", "class"), search.now)
+        split = stored(open_tiles.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("tile"), "open")
+        if split.isEmpty():
+            break
+        again = open_tiles.join(split, "tile").join(signs, "class").withColumn("side", F.lit(EITHER))
+        if not search.compare(suspects(again, every)):
+            break
 
     # Of the bands with the same tiles, one is enough.
     pieces = raw.where("band is not null").select("band", "tile", "members")
     same = pieces.groupBy("band").agg(F.count("*").alias("k"), F.sum(F.xxhash64("tile").cast("decimal(20,0)")).alias("all"))
     pieces = pieces.join(same.groupBy("k", "all").agg(F.min("band").alias("band")).select("band"), "band")
-    wide = stored(rooted(pieces.select("band", F.explode("members").alias("class")).distinct(), now), "wide")
-    links = stored(links.unionByName(verified(docs, across(wide, signs), places, now)), "links3")
-    return components(links)
+    bands = stored(pieces.select("band", F.explode("members").alias("class")).distinct(), "bands")
+    for every in (False, True):
+        wide = stored(rooted(bands, search.now), "wide")
+        if not search.compare(across(wide, signs, every)):
+            break
+    return search.now
 
 
-def across(wide: DataFrame, signs: DataFrame) -> DataFrame:
+def across(wide: DataFrame, signs: DataFrame, every: bool) -> DataFrame:
     """Suspected pairs of bands (band, class, root) over several tiles: outsiders of the largest component against all."""
     shares = wide.groupBy("band", "root").agg(F.count("*").alias("k"))
     main = shares.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most")).where("all > most")
@@ -381,7 +424,7 @@ def across(wide: DataFrame, signs: DataFrame) -> DataFrame:
     outside = each.where("root != main").select("class", "root", "band", dealt(F.col("o")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"), F.lit(OUTSIDER).alias("side"))
     inside = each.select("class", "root", "band", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("x"), dealt(F.col("m")).alias("y"), F.lit(MEMBER).alias("side"))
     both = outside.unionByName(inside).withColumn("tile", F.xxhash64("band", "x", "y"))
-    return in_tiles(both.join(signs, "class"), exact=False)
+    return suspects(both.join(signs, "class"), every)
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -391,8 +434,7 @@ def clusters(docs: DataFrame) -> DataFrame:
     place = F.struct("no_id", "id", "text_hash")
     some = found.where("n > 0")
     least = some.groupBy("class").agg(F.min(place).alias("place"))
-    joined = least.join(link_classes(docs, found).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    joined = stored(joined, "least")
+    joined = stored(rooted(least, link_classes(docs, found)).withColumnRenamed("root", "component"), "least")
     low = joined.groupBy("component").agg(F.min("place").alias("low"))
     named = joined.join(low, "component").select("class", "low")
     documents = found.where("n is not null").select("no_id", "id", "text_hash", "n", "class")
@@ -405,7 +447,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     chosen = clusters(docs).where((F.col("n") == 0) | (F.struct("no_id", "id", "text_hash") == F.col("low")))
     chosen = chosen.select("no_id", "id", "text_hash", "n").distinct()
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_or_empty()).alias("text_hash"))
-    copy = F.row_number().over(Window.partitionBy("no_id", "id", "text_hash").orderBy(F.lit(0)))
+    # Of rows equal in id and text the least by all columns stays.
+    copy = F.row_number().over(Window.partitionBy("no_id", "id", "text_hash").orderBy(F.to_json("row")))
     return marked.join(chosen, ["no_id", "id", "text_hash"]).withColumn("copy", copy).where("n = 0 or copy = 1").select("row.*")
 
 
