@@ -36,7 +36,7 @@ from portlens.llm.common import slices, stored, text_or_empty
 from portlens.llm.tokens import Numbers
 
 WINDOW = 10
-SEGMENT = 24 << 20  # bytes of text
+SEGMENT = 8 << 20  # bytes of text
 BLOCK = 100_000  # queries that go to a task at once
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
