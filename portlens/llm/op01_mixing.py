@@ -6,7 +6,9 @@ shard a multinomial draw says how many slots each source gets; its probabilities
 what is left of each source's target, so that the whole mix meets the targets. The
 k-th slot of a source maps through a pseudorandom permutation of the source's block
 numbers, keyed anew for each round through all blocks, and slots and blocks are joined
-by (source, block). Slots inside a shard are permuted too.
+by (source, block). Slots inside a shard are permuted too. The last slot of a source takes
+only as many words of its block as its target lacks, so that small sources meet theirs too
+(beyond MANY blocks to within one block).
 
 Targets: sources in code-point order, null last, weigh 3, 1, 2, repeating, and share
 SHARE of all words; a target ends at LIMIT times its source's words, and the excess is
@@ -15,8 +17,7 @@ source are taken, so no document is taken more often than that.
 
 A document's size is its number of words (null text: 0). Documents without words are
 taken 0 words and have a row all the same. Repeated rows are separate documents; null
-doc_ids are ordinary. An empty table gives an empty mix. Extra columns are carried by
-`mixed`, except names that it adds (_position, _size, _source), which are replaced.
+doc_ids are ordinary. An empty table gives an empty mix. Extra columns are left out.
 
 A source's documents are ordered by (bucket of the id's hash, id), and their positions
 come from sums over buckets and a running sum inside each, so a source with a third of
@@ -42,6 +43,7 @@ SHARE = 1.5
 LIMIT = 2
 WEIGHTS = (3, 1, 2)
 MAX_SOURCES = 20_000
+MANY = 1 << 16
 SEED = 11
 _WORDS = rb"[^\x20\x09-\x0D]+"
 
@@ -78,6 +80,24 @@ def draw(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return counts
 
 
+def _key(source: int | np.ndarray, turn: int | np.ndarray, seed: int = SEED) -> int | np.ndarray:
+    """Key of the permutation of a source's blocks in a round."""
+    return (source + 1) * 131_071 + turn * 8_191 + seed
+
+
+def _slots(source: int, size: int, target: int, blocks: int) -> tuple[int, int]:
+    """Slots that give a source's target, and the words of the last one."""
+    turns, left = divmod(target, size) if size else (0, 0)
+    if not left:
+        return turns * blocks, BLOCK
+    if blocks > MANY:
+        return turns * blocks + -(-left // BLOCK), left - (left - 1) // BLOCK * BLOCK
+    order = permuted(np.arange(blocks), np.full(blocks, blocks), np.full(blocks, _key(source, turns)))
+    ends = np.cumsum(np.where(order == blocks - 1, size - (blocks - 1) * BLOCK, BLOCK))
+    last = int(np.searchsorted(ends, left))
+    return turns * blocks + last + 1, left - (int(ends[last - 1]) if last else 0)
+
+
 class Sources:
     """The per-source numbers: words, target, blocks and slots, in the order of the names."""
 
@@ -89,7 +109,9 @@ class Sources:
         self.sizes = [int(n) for _, n in found]
         self.targets = targets(self.sizes, [weights[i % len(weights)] for i in range(len(found))], share, limit)
         self.blocks = [-(-n // BLOCK) for n in self.sizes]
-        self.slots = [min(int(limit * b), round(t / n * b)) if n else 0 for n, t, b in zip(self.sizes, self.targets, self.blocks, strict=True)]
+        # Slots of each source, and the words that its last one takes.
+        ends = [_slots(i, n, round(t), b) for i, (n, t, b) in enumerate(zip(self.sizes, self.targets, self.blocks, strict=True))]
+        self.slots, self.cuts = [e[0] for e in ends], [e[1] for e in ends]
 
     def frame(self, spark: SparkSession) -> DataFrame:
         listed = [(i, *x) for i, x in enumerate(zip(self.names, self.sizes, self.targets, strict=True))]
@@ -117,13 +139,14 @@ def placed(docs: DataFrame, share: float = SHARE, limit: float = LIMIT, weights:
 
 
 def slots(spark: SparkSession, sources: Sources, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(shard, slot, _source, block, round): what every slot of the mix takes."""
+    """(shard, slot, _source, block, round, words): what every slot of the mix takes, at most so many words of a block."""
     counts = draw(sources.slots, shards, seed)
     before = np.cumsum(counts, axis=0) - counts
     ends = np.cumsum(counts, axis=1)
     starts = np.concatenate([[0], np.cumsum(counts.sum(axis=1))])
     blocks = np.array(sources.blocks, dtype=np.int64)
-    schema = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("_source", pa.int32()), ("block", pa.int64()), ("round", pa.int32())])
+    last, cuts = np.array(sources.slots, dtype=np.int64) - 1, np.array(sources.cuts, dtype=np.int64)
+    schema = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("_source", pa.int32()), ("block", pa.int64()), ("round", pa.int32()), ("words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,10 +160,10 @@ def slots(spark: SparkSession, sources: Sources, shards: int = SHARDS, seed: int
                 source[at] = np.searchsorted(ends[s], place[at], side="right")
                 rank[at] = place[at] - (ends[s] - counts[s])[source[at]] + before[s][source[at]]
             turn, index = np.divmod(rank, blocks[source])
-            block = permuted(index, blocks[source], (source + 1) * 131_071 + turn * 8_191 + seed)
-            yield rows(schema, (shard, inside, source, block, turn))
+            block = permuted(index, blocks[source], _key(source, turn, seed))
+            yield rows(schema, (shard, inside, source, block, turn, np.where(rank == last[source], cuts[source], BLOCK)))
 
-    return spark.range(int(starts[-1])).mapInArrow(run, "shard int, slot long, _source int, block long, round int")
+    return spark.range(int(starts[-1])).mapInArrow(run, "shard int, slot long, _source int, block long, round int, words long")
 
 
 def blocks_of(documents: DataFrame) -> DataFrame:
@@ -156,7 +179,8 @@ def blocks_of(documents: DataFrame) -> DataFrame:
 def taken(documents: DataFrame, sources: Sources) -> DataFrame:
     """(_source, _position, round, first, last, shard, slot): the words that slots take of each document."""
     mix = slots(documents.sparkSession, sources)
-    return blocks_of(documents).join(mix, ["_source", "block"])
+    end = F.least(F.col("last"), F.col("block") * BLOCK + F.col("words") - F.col("_position"))
+    return blocks_of(documents).join(mix, ["_source", "block"]).withColumn("last", end).where("last > first").drop("words")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -156,24 +156,27 @@ def segments(scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last + 1, score) of scores less drift, in one pass.
 
     Tokens are taken one positive at a time; the tokens between two only lower the sum.
-    A list holds candidate segments with the sums before and after them; a new segment
-    joins those back to the nearest with a smaller sum before it.
+    A list holds candidate segments with the sums before and after them, and for each
+    the place of the nearest earlier one with a smaller sum before it. A new segment
+    goes back along these places, so that none is passed twice, and joins those back to
+    the nearest with a smaller sum before it.
     """
     held: list[tuple[int, int, float, float]] = []
+    smaller: list[int] = []
     total = np.concatenate([[0.0], np.cumsum(scores - drift)])
     for at in np.flatnonzero(scores > drift).tolist():
         first, last, low, high = at, at + 1, float(total[at]), float(total[at + 1])
+        j = len(held) - 1
         while True:
-            j = len(held) - 1
-            passed = []
             while j >= 0 and held[j][2] >= low:
-                passed.append(j)
-                j -= 1
+                j = smaller[j]
             if j < 0 or held[j][3] >= high:
                 break
-            first, low = held[j][0], held[j][2]
-            del held[j:]
+            first, low, before = held[j][0], held[j][2], smaller[j]
+            del held[j:], smaller[j:]
+            j = before
         held.append((first, last, low, high))
+        smaller.append(j)
     return [(first, last, high - low) for first, last, low, high in held]
 
 

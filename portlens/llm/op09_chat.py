@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 OPEN, HEAD_END, CLOSE = "[INST] ", " [/INST]", "</s>"
 CONTROL = ("[INST]", "[/INST]", "<s>", "</s>")
 LEARNED = "assistant"
+PIECE = 1024
 
 
 def _control_escaped(text: Column) -> Column:
@@ -91,16 +92,30 @@ def format_chat(turns: DataFrame) -> DataFrame:
     return whole.select("conv_id", "formatted", "loss_spans", "read_back", F.size("read_back").cast("long").alias("n_turns"), F.col("read_back").eqNullSafe(F.col("source")).alias("round_trip"))
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The text that the spans cover, without escapes; cut out of pieces of PIECE, so that a long text is not counted through for each."""
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(pieces: Column, span: Column) -> Column:
+        start, end = span["start"].cast("int"), (span["start"] + span["length"]).cast("int")
+        first = F.floor(start / PIECE).cast("int")
+        near = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+        return unescaped(F.substring(near, start % PIECE + 1, end - start))
+
+    return F.get(F.transform(F.array(pieces), lambda p: F.array_join(F.transform(spans, lambda span: cut(p, span)), "")), F.lit(0))
+
+
 def digest(chats: DataFrame) -> DataFrame:
-    """What the formatted text says when it is read again."""
-    learned = F.array_join(F.transform(F.filter("read_back", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+    """What the formatted text says when it is read again, and what its loss mask covers."""
+    learned = under_mask(F.col("formatted"), F.col("loss_spans"))
     said = F.array_join(F.transform("read_back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return chats.select(
+    read = chats.select("conv_id", "n_turns", "formatted", said.alias("said"), learned.alias("learned"))
+    return read.select(
         "conv_id",
         "n_turns",
-        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
+        F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

@@ -7,13 +7,14 @@ are merged and those lines removed, the rest joined again.
 
 Texts of fewer than three lines have no window and stay as they are; a null text
 stays null. Rows that equal each other in id and text stand for one occurrence, the
-first of them; the others lose every line if they have three or more. Extra columns
+first of them by their other columns; the others lose every line if they have three or more. Extra columns
 stay as they are, but for names of result columns (n_lines, n_removed), which are
 replaced.
 
-Shuffles: windows pre-aggregate before theirs; the repeated ones, few, are copied to
-SALTS keys, so that a window that every third text has is dealt over as many tasks.
-Covered positions meet their text by (doc_id, text hash).
+Shuffles: windows pre-aggregate before theirs. Of the repeated ones, those with 1/HOT of
+all windows or more, at most HOT, go to every task, so that their places stay where they
+are; the others meet their places by hash. Covered positions meet their text by (doc_id,
+text hash).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from portlens.llm.common import DOCUMENT, stored
 
 SIZE = 3
-SALTS = 16
+HOT = 2000
 SEED = 7
 
 
@@ -46,10 +47,12 @@ def covered(docs: DataFrame) -> DataFrame:
     """Line numbers that later occurrences of a window cover, per text."""
     all_windows = stored(windows(docs), "windows")
     place = F.struct("no_id", "id", "text_hash", "at")
-    firsts = all_windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = firsts.where(F.col("first") != F.col("last")).select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = all_windows.withColumn("salt", F.pmod(F.xxhash64("id", "text_hash", "at"), F.lit(SALTS)).cast("int"))
-    later = salted.join(repeated, ["h1", "h2", "salt"]).where(place != F.col("first"))
+    firsts = all_windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("k"))
+    repeated = stored(firsts.where(F.col("first") != F.col("last")).select("h1", "h2", "first", "k"), "repeated")
+    hot = F.col("k") * HOT >= all_windows.count()
+    by_all = F.broadcast(repeated.where(hot).select("h1", "h2", "first"))
+    others = all_windows.join(by_all, ["h1", "h2"], "left_anti").join(repeated.where(~hot).select("h1", "h2", "first"), ["h1", "h2"])
+    later = all_windows.join(by_all, ["h1", "h2"]).unionByName(others).where(place != F.col("first"))
     merged = F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + (SIZE - 1)))))
     return later.groupBy("no_id", "id", "text_hash").agg(merged.alias("covered"))
 
@@ -60,7 +63,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in results]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_keys())
     joined = keyed.join(covered(docs), ["no_id", "id", "text_hash"], "left")
-    copy = F.row_number().over(Window.partitionBy("no_id", "id", "text_hash").orderBy(F.lit(0)))
+    copy = F.row_number().over(Window.partitionBy("no_id", "id", "text_hash").orderBy(F.to_json("row")))
     joined = joined.withColumn("copy", copy).withColumn("lines", F.split("row.text", "\n", -1))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     gone = F.when((F.col("copy") > 1) & (F.size("lines") >= SIZE), every).otherwise(F.coalesce("covered", F.array().cast("array<int>")))
