@@ -16,12 +16,13 @@ and fold to the narrower one) bound the overlap from above: |A and B| <= (|A| +
 differing bits) / 2. Pairs that pass are suspects and are intersected exactly. Pairs already
 in one component are skipped:
   1. every class goes to the one tile that most of its shingles have in common;
-  2. every tile whose classes are still in several components is compared;
+  2. every tile whose classes are still in several components is compared: of a tile of up
+     to FEW classes the pairs, which many tiles have in common, are listed once;
   3. of bands over several tiles, the classes outside the band's largest component
      are compared with all its classes, in tiles of bounded size.
-A tile first gives the likeliest suspects that would join its components, then, if it still
-has several, all that are left. Sets are sent to suspect pairs only, once for each pair, the
-set of a class with many partners once for MEMBERS of them.
+A larger tile first gives the likeliest suspects that would join its components, then, if it
+still has several, all that are left. Signatures of listed pairs, and sets of suspect ones,
+are sent once for each pair, those of a class with many partners once for MEMBERS of them.
 Every linking pair is compared or already connected, so components are exact.
 
 A text without words, or null, has the empty set and links with nothing. Null ids are
@@ -31,7 +32,8 @@ are one class. An empty table has no rows. Extra columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,9 @@ from portlens.llm.shingles import shingle_hashes
 
 PERCENT = 75
 TILE = 256
-HEAVY = 4  # documents of one task that have a shingle
+HEAVY = 2  # documents of one task that have a shingle
 MAX_HEAVY = 1_000_000
+FEW = 48  # classes of a tile whose pairs are listed
 BROADCAST_ROWS = 400_000
 STEP = 2_000_000  # shingles a task holds at once
 PART = 1_000_000  # shingles a group of the candidate search holds
@@ -303,47 +306,115 @@ def suspects(members: DataFrame, every: bool) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, by exact intersection.
+def in_groups(pairs: DataFrame) -> DataFrame:
+    """(class, group, side): every pair (a, b) as a hub and a leaf of one group.
 
-    The partner of more pairs is the pair's hub. A hub meets up to MEMBERS leaves in a
-    group: its set comes first, and theirs pass by. A leaf has few hubs: of m pairs
-    at most the root of 2 m.
+    The partner of more pairs is the pair's hub and has up to MEMBERS leaves in a
+    group. A leaf has few hubs: of m pairs at most the root of 2 m.
     """
-    schema = pa.schema([("group", pa.int64()), ("side", pa.int32()), ("class", pa.int64()), ("shingles", pa.binary())])
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("k"))
+    of = lambda end: ends.select(F.col("class").alias(end), F.col("k").alias(f"k_{end}"))
+    a_first = F.struct(F.col("k_a"), F.col("a")) > F.struct(F.col("k_b"), F.col("b"))
+    told = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.when(a_first, F.col("k_a")).otherwise(F.col("k_b")).alias("k"))
+    # A hub's number of pairs bounds its leaves.
+    told = told.withColumn("group", F.xxhash64("hub", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("k") / MEMBERS))))
+    hubs = told.select(F.col("hub").alias("class"), "group", F.lit(HUB).alias("side")).distinct()
+    return hubs.unionByName(told.select(F.col("leaf").alias("class"), "group", F.lit(LEAF).alias("side")))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
-            found = sets_of(batch.column("text").to_pylist())
-            for name, own, groups in zip(batch.column("class").to_pylist(), found, batch.column("groups").to_pylist(), strict=True):
-                yield rows(schema, ([g["group"] for g in groups], [g["side"] for g in groups], [name] * len(groups), [own.tobytes()] * len(groups)))
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = hub = first = None
+def met(rows_of: DataFrame, value: str, fits: Callable[[int, bytes, int, bytes], bool]) -> DataFrame:
+    """Pairs (a, b) of hub and leaf for which fits(n, value, n, value); the hub's value comes first and the leaves' pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub: tuple = (None, None, 0, b"")
         for batch in slices(batches, 128):
             out = []
-            for now, side, name, own in zip(*(batch.column(c).to_pylist() for c in schema.names), strict=True):
-                own = np.frombuffer(own, np.uint64)
+            for group, side, name, n, own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if side == HUB:
-                    group, hub, first = now, name, own
-                elif now == group and overlap(own, first) >= needed(len(own), len(first)):
-                    out.append((hub, name))
+                    hub = group, name, n, own
+                elif group == hub[0] and fits(n, own, hub[2], hub[3]):
+                    out.append((hub[1], name))
             if out:
                 yield rows(pa.schema([("a", pa.int64()), ("b", pa.int64())]), zip(*out, strict=True))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("k"))
-    of = lambda end: ends.select(F.col("class").alias(end), F.col("k").alias(f"k_{end}"))
-    a_first = F.struct(F.col("k_a"), F.col("a")) > F.struct(F.col("k_b"), F.col("b"))
-    told = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("leaf"))
-    parts = told.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    told = told.join(parts, "hub").withColumn("group", F.xxhash64("hub", F.pmod(F.xxhash64("leaf"), F.col("parts"))))
-    hubs = told.select(F.col("hub").alias("class"), "group", F.lit(HUB).alias("side")).distinct()
-    members = hubs.unionByName(told.select(F.col("leaf").alias("class"), "group", F.lit(LEAF).alias("side")))
-    members = stored(members.groupBy("class").agg(F.collect_list(F.struct("group", "side")).alias("groups")).join(places, "class"), "members")
+    dealt = rows_of.select("group", "side", "class", "n", value).repartition("group").sortWithinPartitions("group", "side")
+    found = dealt.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and signatures don't rule out."""
+
+    def fits(n: int, a: bytes, m: int, b: bytes) -> bool:
+        if 100 * min(n, m) < PERCENT * max(n, m):
+            return False
+        width = min(len(a), len(b))
+        x, y = (np.bitwise_or.reduce(np.frombuffer(v, np.uint8).reshape(-1, width), axis=0).view(np.uint64) for v in (a, b))
+        return (n + m - int(np.bitwise_count(x ^ y).sum())) // 2 >= needed(n, m)
+
+    return met(in_groups(pairs).join(signs, "class"), "bits", fits)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link, by exact intersection."""
+    schema = pa.schema([("group", pa.int64()), ("side", pa.int32()), ("class", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            found = sets_of(batch.column("text").to_pylist())
+            for name, own, groups in zip(batch.column("class").to_pylist(), found, batch.column("groups").to_pylist(), strict=True):
+                k = len(groups)
+                yield rows(schema, ([g["group"] for g in groups], [g["side"] for g in groups], [name] * k, [len(own)] * k, [own.tobytes()] * k))
+
+    def fits(n: int, a: bytes, m: int, b: bytes) -> bool:
+        return overlap(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= needed(n, m)
+
+    members = in_groups(pairs).groupBy("class").agg(F.collect_list(F.struct("group", "side")).alias("groups"))
+    members = stored(members.join(places, "class"), "members")
     sent = members.agg(F.sum(F.size("groups"))).first()[0] or 0
     texts = keyed(docs).join(_sent(members, sent), ["no_id", "id", "text_hash"])
-    whole = texts.select("text", "class", "groups").mapInArrow(sets, "group long, side int, class long, shingles binary")
-    return whole.repartition("group").sortWithinPartitions("group", "side").mapInArrow(met, "a long, b long")
+    whole = texts.select("text", "class", "groups").mapInArrow(sets, "group long, side int, class long, n long, shingles binary")
+    return met(whole, "shingles", fits)
+
+
+def listed(members: DataFrame) -> DataFrame:
+    """Of tiles (tile, class, n, root) of up to FEW classes the pairs (a, b) of different components; of others their classes (tile, a)."""
+    schema = pa.schema([("tile", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(tiles: np.ndarray, name: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        cuts = np.flatnonzero(np.diff(tiles)) + 1
+        seen, wide = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+        for at in np.split(np.arange(len(tiles)), cuts):
+            if len(at) > FEW:
+                wide.append(at)
+                continue
+            i, j = np.triu_indices(len(at), 1)
+            i, j = at[i], at[j]
+            fit = (root[i] != root[j]) & (100 * n[i] >= PERCENT * n[j]) & (100 * n[j] >= PERCENT * n[i])
+            seen.append(np.stack([np.minimum(name[i], name[j])[fit], np.maximum(name[i], name[j])[fit]], axis=1))
+        both = np.unique(np.concatenate(seen), axis=0)
+        yield np.zeros(len(both), np.int64), both[:, 0], both[:, 1]
+        rest = np.concatenate(wide)
+        yield tiles[rest], name[rest], None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in chain(batches, [None]):
+            if batch is None:
+                now, left = left, None
+            else:
+                now = [batch.column(c).to_numpy() for c in range(4)]
+                now = now if left is None else [np.concatenate(x) for x in zip(left, now, strict=True)]
+                # The last tile may go on in the next batch.
+                whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+                now, left = [x[:whole] for x in now], [x[whole:] for x in now]
+            if now is not None and len(now[0]):
+                for tile, a, b in pairs(*now):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], schema=schema)
+
+    dealt = members.select("tile", "class", "n", "root").repartition("tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(run, "tile long, a long, b long")
 
 
 def rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -393,13 +464,17 @@ def link_classes(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     one_each = places.select("class", "tile").join(signs, "class").withColumn("root", F.col("class")).withColumn("side", F.lit(EITHER))
     search.compare(suspects(one_each, every=False))
 
+    sizes = signs.select("class", "n")
     for every in (False, True):
         open_tiles = rooted(flat.select("tile", "class"), search.now)
-        split = stored(open_tiles.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("tile"), "open")
-        if split.isEmpty():
-            break
-        again = open_tiles.join(split, "tile").join(signs, "class").withColumn("side", F.lit(EITHER))
-        if not search.compare(suspects(again, every)):
+        split = open_tiles.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("tile")
+        found = stored(listed(open_tiles.join(split, "tile").join(sizes, "class")), "open")
+        large = found.where("b is null").select("tile", F.col("a").alias("class"))
+        again = rooted(large, search.now).join(signs, "class").withColumn("side", F.lit(EITHER))
+        pairs = suspects(again, every)
+        if not every:
+            pairs = pairs.unionByName(likely(stored(found.where("b is not null").select("a", "b").distinct(), "listed"), signs))
+        if not search.compare(pairs.distinct()) or large.isEmpty():
             break
 
     # Of the bands with the same tiles, one is enough.

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm_helpers import DOCUMENTS, ODD, make, prose  # noqa: F401
+from test_llm_texts import brute_components, edited
 from portlens.llm import op01_mixing as mixing, op02_toxicity as toxic, op08_jaccard as jaccard, op09_chat as chat, op10_lines as lines
 from portlens.llm.permute import permuted
 
@@ -53,6 +54,16 @@ def test_mix_matches_a_plain_reading(make, spark):  # noqa: F811
     assert {(r["_source"], r["_position"]): r["n"] for r in found} == dict(taken)
 
 
+@pytest.mark.parametrize("few", [0, 5])
+def test_jaccard_join_is_exact_whatever_tiles_list(make, monkeypatch, few):  # noqa: F811
+    """Pairs of small tiles are listed, larger tiles are compared by signature: the same links."""
+    rows = [(n, edited(prose(n % 4, 150), 12 + n)) for n in range(60)] + [(100 + n, prose(50, 40) + " " + prose(60 + n, 130)) for n in range(25)]
+    for name, value in (("TILE", 8), ("MEMBERS", 16), ("FEW", few)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.query(make(rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def quadratic_segments(scores: np.ndarray, drift: float) -> list[tuple[int, int]]:
     """Maximal scoring segments by their definition, recursively: the best stretch, then left and right of it."""
     def inside(low: int, high: int) -> list[tuple[int, int]]:
