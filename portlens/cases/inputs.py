@@ -168,6 +168,18 @@ SHAPE_EVENTS = (
     + " END AS command_doc FROM (SELECT *, CAST(CAST(floor(value) AS BIGINT) AS STRING) AS amount FROM events) e"
 )
 
+# Exported profiler lines: whole records, cut ones, other text, blanks.
+PROFILE_LINES = """
+SELECT event_id AS line_no, CASE event_id % 9
+  WHEN 5 THEN '{"ns":"app_1.cut","op":"que'
+  WHEN 6 THEN 'starting ' || event_type || ' at ' || CAST(event_id AS STRING)
+  WHEN 7 THEN CASE WHEN event_id % 2 = 0 THEN '  ' ELSE '[{"ns":"app_1.list"}]' END
+  WHEN 8 THEN '{"ns":"app_1.two","op":"query"} trailing {'
+  ELSE '{"ts":{"$date":"2024-01-0' || CAST(1 + event_id % 9 AS STRING) || 'T05:06:07"},"ns":"app_' || CAST(user_id % 3 AS STRING) || '.' || event_type || '","op":"query",'
+    || '"command":{"find":"c","filter":{"a":{"$gt":' || CAST(event_id AS STRING) || '}}},"millis":' || CAST(CAST(floor(value) AS BIGINT) AS STRING) || '}'
+END AS line FROM events
+"""
+
 # Server log lines: candidates, other components, broken JSON, odd shapes.
 LOG_LINES = """
 SELECT event_id AS line_no, CASE event_id % 10
@@ -295,13 +307,13 @@ OVERRIDES = [
     ("expression", "$cond", "likely_admin", "", "", "", "TRUE"),
 ]
 
-# Documentation pages with support tables, one per customer.
+# Documentation pages with support tables, one per customer; a cell holds a table of its own.
 SUPPORT_PAGES = """
 SELECT c_custkey AS page_id, 'http://docs.example.org/p/' || CAST(c_custkey AS STRING) || '/index.html' AS url,
   '<html><body><h1>Guide &amp; ' || c_name || '</h1><table><tr><td>no</td></tr></table>'
   || CASE WHEN c_custkey % 6 = 0 THEN '' ELSE '<h2 id="a">' || c_mktsegment || '</h2>' END
   || '<table class="x"><tr><th>Command</th><th> support
- Since </th><th>Note</th><th>Note</th></tr><tr><td><b>find</b></td><td>19c</td><td>n&nbsp;' || CAST(c_nationkey AS STRING) || '</td></tr><tr></tr>'
+ Since </th><th>Note</th><th>Note</th></tr><tr><td><b>find</b></td><td>19c</td><td>n&nbsp;<table><tr><th>Support level</th></tr><tr><td>full</td></tr></table>' || CAST(c_nationkey AS STRING) || '</td></tr><tr></tr>'
   || '<tr><td>cmd' || CAST(c_custkey % 13 AS STRING) || '</td><td>' || CASE WHEN c_custkey % 2 = 0 THEN 'Not supported' ELSE '26ai' END || '</td><td>a</td><td>b</td><td>extra</td></tr><tr><td></td><td> </td></tr></table>'
   || '<h3>Deep</h3><table><tr><th>OPERATOR</th><th>Support</th></tr><tr><td>$op' || CAST(c_custkey % 7 AS STRING) || '</td><td>yes</td></tr></table>'
   || '<table><tr><th>stage</th><th>Support (Since)</th></tr></table></body></html>' AS html
@@ -315,7 +327,7 @@ SELECT c_custkey AS page_id, 'http://docs.example.org/ref/' || c_mktsegment || '
   CASE c_custkey % 3 WHEN 0 THEN 'command' WHEN 1 THEN 'aggregation_stage' ELSE 'query_operator' END AS source_group,
   'Label ' || c_mktsegment AS source_label,
   '<body>' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '<h4>Group ' || CAST(c_nationkey AS STRING) || '</h4>' END
-  || '<table><thead><tr><th>Name</th><th>Description</th></tr></thead><tbody><tr><td><a href="../' || c_mktsegment || '.html">n' || CAST(c_custkey % 17 AS STRING) || '</a></td><td>Does ' || c_name || '</td></tr>'
+  || '<table><thead><tr><th>Name</th><th>Description</th></tr></thead><tbody><tr><td><a href="../' || c_mktsegment || '.html">n' || CAST(c_custkey % 17 AS STRING) || '</a></td><td>Does ' || c_name || CASE WHEN c_custkey % 5 = 0 THEN '<table><tr><th>Name</th><th>Description</th></tr><tr><td>inner</td><td>nested <i>text</i></td></tr></table>' ELSE '' END || '</td></tr>'
   || '<tr><td><a class="k" href="#x">m' || CAST(c_custkey % 5 AS STRING) || '</a></td><td>Text</td></tr><tr><td>plain</td><td>No link</td></tr><tr><td>short</td></tr><tr><td></td><td>nameless</td></tr></tbody></table>'
   || '<table><tr><th>Other</th></tr><tr><td>x</td></tr></table></body>' AS html
 FROM customer

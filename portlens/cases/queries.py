@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from portlens import fixed
 from portlens.cases import checks, inputs
 from portlens.functions import naming, support as support_fn, text as text_fn
-from portlens.operators import assess as asm, catalog as cat, events as ev, reports as rep, slices, support as sup, usage as use, walk
+from portlens.operators import assess as asm, catalog as cat, events as ev, ranks, reports as rep, slices, support as sup, usage as use, walk
 from portlens.plans import catalog_sync, usage_analysis
-from portlens.session import configure, durable
-from portlens.sources import counters as cnt, evidence, inventory as inv, logs, pages as pg, profile as prof, rules as rul, snapshots, supplemental
+from portlens.session import configure, durable, scratch_folder
+from portlens.sources import counters as cnt, evidence, inventory as inv, logs, pages as pg, profile as prof, rules as rul, snapshots, supplemental, versions
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -125,12 +125,12 @@ _WINDOW = ("2024-01-05T00:00:00", "2024-01-20T12:00:00")
 
 @case(
     "profile_scan",
-    f"SELECT event_key, ns, op, millis, nreturned, docsExamined, keysExamined, errCode, errMsg FROM scanned WHERE ts >= TIMESTAMP '{_WINDOW[0]}' AND ts <= TIMESTAMP '{_WINDOW[1]}'",
+    f"SELECT event_key, ts, ns, op, command, query, updateobj, millis, nreturned, docsExamined, keysExamined, errCode, errMsg FROM scanned WHERE ts >= TIMESTAMP '{_WINDOW[0]}' AND ts <= TIMESTAMP '{_WINDOW[1]}'",
 )
 def _(i: Inputs) -> DataFrame:
     start, end = (F.lit(t).cast("timestamp_ntz") for t in _WINDOW)
     return prof.scan_profile(i.profile, start=start, end=end).select(
-        "event_key", "ns", "op", "millis", "nreturned", "docsExamined", "keysExamined", "errCode", "errMsg"
+        "event_key", "ts", "ns", "op", "command", "query", "updateobj", "millis", "nreturned", "docsExamined", "keysExamined", "errCode", "errMsg"
     )
 
 
@@ -256,12 +256,15 @@ _J = "json_extract_string(document, '{}')"
       CAST({_J.format('$.serverStatus.uptime')} AS BIGINT) AS uptime, CAST(len(json_keys(document, '$.serverStatus.metrics.commands')) AS BIGINT) AS command_metric_count, CAST(0 AS BIGINT) AS stage_metric_count,
       CAST(3 AS BIGINT) AS database_count, coalesce(array_to_string(list_sort(coalesce(json_keys(document, '$.getShardMap.map'), json_keys(document, '$.getShardMap.hosts'))), ', '), '') AS shard_names,
       CAST(len(coalesce(json_keys(document, '$.getShardMap.map'), json_keys(document, '$.getShardMap.hosts'), [])) AS BIGINT) AS shard_count, coalesce(array_to_string(list_sort(json_keys(document, '$.errors')), ', '), '') AS failed_commands,
-      CAST(json_extract(document, '$.getDefaultRWConcern.defaultReadConcern') AS VARCHAR) AS default_read_concern, '{{}}' AS default_write_concern, CAST(64 AS BIGINT) AS resident_memory_mb FROM inventory""",
+      CAST(json_extract(document, '$.getDefaultRWConcern.defaultReadConcern') AS VARCHAR) AS default_read_concern, '{{}}' AS default_write_concern, CAST(64 AS BIGINT) AS resident_memory_mb,
+      CAST({_J.format('$.hello.maxWireVersion')} AS BIGINT) AS max_wire_version, coalesce(CAST({_J.format('$.hello.isWritablePrimary')} AS BOOLEAN), false) AS is_writable_primary, coalesce(CAST({_J.format('$.hello.secondary')} AS BOOLEAN), false) AS is_secondary,
+      coalesce({_J.format('$.buildInfo.gitVersion')}, '') AS git_version, coalesce({_J.format('$.buildInfo.allocator')}, '') AS allocator, array_to_string(json_extract_string(document, '$.buildInfo.modules[*]'), ', ') AS modules,
+      CAST({_J.format('$.hostInfo.system.memSizeMB')} AS BIGINT) AS mem_size_mb, {_J.format('$.hostInfo.system.cpuArch')} AS cpu_arch, {_J.format('$.hostInfo.system.os.name')} AS os_name, {_J.format('$.hostInfo.system.os.version')} AS os_version,
+      CAST({_J.format('$.serverStatus.connections.current')} AS BIGINT) AS connections_current, CAST({_J.format('$.serverStatus.connections.available')} AS BIGINT) AS connections_available, {_J.format('$.serverStatus.storageEngine.name')} AS storage_engine,
+      CAST({_J.format('$.serverStatus.mem.virtual')} AS BIGINT) AS virtual_memory_mb, CAST(len(json_keys(document, '$.serverStatus.metrics.operatorCounters')) AS BIGINT) AS operator_metric_count FROM inventory""",
 )
 def _(i: Inputs) -> DataFrame:
-    return inv.flatten_inventory(i.view(inputs.INVENTORY)).select(
-        *"instance topology_type set_name version hostname cpu_cores uptime command_metric_count stage_metric_count database_count shard_names shard_count failed_commands default_read_concern default_write_concern resident_memory_mb".split()
-    )
+    return inv.flatten_inventory(i.view(inputs.INVENTORY))
 
 
 @case(
@@ -289,6 +292,59 @@ def _(i: Inputs) -> DataFrame:
     return frame.groupBy(F.lit(name).alias("strategy"), "feature_name", "database").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _sources(i: Inputs, profile_of: list[str] | None, logs_of: list[str] | None) -> DataFrame:
+    """Usage of the best source; a source asked for databases that it has not has no uses."""
+    events = lambda records: ev.normalize_events(prof.scan_profile(records, profile_of))
+    chosen = evidence.choose_in_plan(
+        {
+            "PROFILE_ONLY": (i.profile, lambda r: use.features(events(r)), lambda r: use.as_evidence(use.usage_counts(events(r)), "profile")),
+            "LOG_ONLY": (i.view(inputs.LOG_LINES), lambda r: logs.log_usage(r, logs_of), lambda r: use.as_evidence(logs.log_usage(r, logs_of), "log")),
+            "METRICS_ONLY": (i.view(inputs.COUNTERS), lambda r: cnt.counter_usage(r, True), lambda r: use.as_evidence(cnt.counter_usage(r, True), "counters")),
+        }
+    )
+    return chosen.groupBy("strategy", "feature_name", "database").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ELSEWHERE = ["no such database"]
+case("source_priority_profile", "SELECT 'PROFILE_ONLY' AS strategy, feature_name, database, count(*) AS n FROM counts GROUP BY ALL")(lambda i: _sources(i, None, None))
+case(
+    "source_priority_log",
+    f"SELECT 'LOG_ONLY' AS strategy, name AS feature_name, db AS database, count(*) AS n FROM ({_LOG_ROWS}) WHERE db NOT IN ('admin', 'config', 'local') GROUP BY ALL",
+)(lambda i: _sources(i, _ELSEWHERE, None))
+case(
+    "source_priority_counters",
+    "SELECT 'METRICS_ONLY' AS strategy, feature_name, 'INSTANCE_LEVEL' AS database, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT feature_name FROM ({CASES[name][1]})" for name in ("command_counters", "stage_counters", "operator_counters"))
+    + ") GROUP BY feature_name",
+)(lambda i: _sources(i, _ELSEWHERE, _ELSEWHERE))
+
+
+@case("profile_rejects", f"SELECT line_no, line FROM ({inputs.PROFILE_LINES}) WHERE line_no % 9 IN (5, 6, 8) OR (line_no % 9 = 7 AND line_no % 2 = 1)")
+def _(i: Inputs) -> DataFrame:
+    return prof.rejected_lines(i.view(inputs.PROFILE_LINES))
+
+
+@case(
+    "profile_lines",
+    """SELECT 'app_' || (user_id % 3) || '.' || event_type AS ns, 'query' AS op, '{"find":"c","filter":{"a":{"$gt":' || event_id || '}}}' AS command,
+      CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS millis, make_timestamp(2024, 1, 1 + event_id % 9, 5, 6, 7.0) AS ts FROM events WHERE event_id % 9 < 5""",
+)
+def _(i: Inputs) -> DataFrame:
+    return prof.good_records(i.view(inputs.PROFILE_LINES)).select("ns", "op", "command", "millis", "ts")
+
+
+@case(
+    "profile_window_pruned",
+    f"SELECT CAST(ts AS DATE) AS event_date, db_name, count(*) AS n, max(event_key) AS last_key FROM scanned WHERE ts >= TIMESTAMP '{_WINDOW[0]}' AND ts <= TIMESTAMP '{_WINDOW[1]}' AND db_name IN ('app_0', 'app_2') GROUP BY ALL",
+)
+def _(i: Inputs) -> DataFrame:
+    root = scratch_folder(i.spark, "profile")
+    prof.land_profile(prof.scan_profile(i.profile), root)
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in _WINDOW)
+    kept = prof.read_landed(i.spark, root, ["app_0", "app_2"], start, end)
+    return kept.groupBy("event_date", "db_name").agg(F.count(F.lit(1)).alias("n"), F.max("event_key").alias("last_key"))
+
+
 @case("supplemental_scan", "SELECT * FROM supplemental_rows")
 def _(i: Inputs) -> DataFrame:
     return i.supplemental
@@ -303,21 +359,35 @@ def _(i: Inputs) -> DataFrame:
     return snapshots.latest(runs)
 
 
+@case("run_round_trip", "SELECT 'r2' AS run_id, o_orderkey, o_orderstatus, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS row_count FROM orders WHERE o_orderstatus = 'O'")
+def _(i: Inputs) -> DataFrame:
+    """Two saved runs; the newest is read back with its metadata."""
+    root, orders = scratch_folder(i.spark, "runs"), i.table("orders").select("o_orderkey", "o_orderstatus")
+    for run, status in (("r1", "F"), ("r2", "O")):
+        detail = orders.filter(F.col("o_orderstatus") == status)
+        summary = detail.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+        snapshots.save_run(i.spark, root, run, {"detail": detail, "summary": summary}, {"row_count": detail.count()})
+    found = snapshots.load_run(i.spark, root)
+    count = found["metadata"].select(F.get_json_object("metadata", "$.row_count").cast("bigint").alias("row_count"))
+    return found["detail"].select("run_id", "o_orderkey", "o_orderstatus").join(F.broadcast(count))
+
+
 # --- documentation pages --------------------------------------------------
 
 _SUPPORT_ROWS = """SELECT page_id, table_index, row_index, section, command, operator, since FROM (
   SELECT c_custkey AS page_id, CASE WHEN c_custkey % 6 = 0 THEN 'Guide & ' || c_name ELSE c_mktsegment END AS h, c_custkey FROM customer) c,
   LATERAL (SELECT 1 AS table_index, 0 AS row_index, h AS section, 'find' AS command, '' AS operator, '19c' AS since
     UNION ALL SELECT 1, 1, h, 'cmd' || (c_custkey % 13), '', CASE WHEN c_custkey % 2 = 0 THEN 'Not supported' ELSE '26ai' END
-    UNION ALL SELECT 2, 0, 'Deep', '', '$op' || (c_custkey % 7), '') r"""
+    UNION ALL SELECT 2, 0, h, '', '', ''
+    UNION ALL SELECT 3, 0, 'Deep', '', '$op' || (c_custkey % 7), '') r"""
 
 
 @case(
     "support_tables",
     "SELECT c_custkey AS page_id, r.table_index, r.section, r.column_name, r.value FROM (SELECT *, CASE WHEN c_custkey % 6 = 0 THEN 'Guide & ' || c_name ELSE c_mktsegment END AS h FROM customer) c, LATERAL ("
-    "SELECT 1 AS table_index, h AS section, 'Command' AS column_name, 'find' AS value UNION ALL SELECT 1, h, 'Support (Since)', '19c' UNION ALL SELECT 1, h, 'Note', 'n ' || c_nationkey UNION ALL SELECT 1, h, 'Note_2', '' UNION ALL SELECT 1, h, 'column_5', '' "
+    "SELECT 1 AS table_index, h AS section, 'Command' AS column_name, 'find' AS value UNION ALL SELECT 1, h, 'Support (Since)', '19c' UNION ALL SELECT 1, h, 'Note', 'n Support level full ' || c_nationkey UNION ALL SELECT 2, h, 'Support level', 'full' UNION ALL SELECT 1, h, 'Note_2', '' UNION ALL SELECT 1, h, 'column_5', '' "
     "UNION ALL SELECT 1, h, 'Command', 'cmd' || (c_custkey % 13) UNION ALL SELECT 1, h, 'Support (Since)', CASE WHEN c_custkey % 2 = 0 THEN 'Not supported' ELSE '26ai' END UNION ALL SELECT 1, h, 'Note', 'a' UNION ALL SELECT 1, h, 'Note_2', 'b' UNION ALL SELECT 1, h, 'column_5', 'extra' "
-    "UNION ALL SELECT 2, 'Deep', 'Operator', '$op' || (c_custkey % 7) UNION ALL SELECT 2, 'Deep', 'Support', 'yes') r",
+    "UNION ALL SELECT 3, 'Deep', 'Operator', '$op' || (c_custkey % 7) UNION ALL SELECT 3, 'Deep', 'Support', 'yes') r",
 )
 def _(i: Inputs) -> DataFrame:
     rows = pg.support_tables(i.view(inputs.SUPPORT_PAGES))
@@ -338,8 +408,9 @@ def _place_number(place: str, table: str, row: str) -> Column:
 _REFERENCE_ROWS = """SELECT CAST(c_custkey * 1000000000 + r.row_no AS BIGINT) AS ordinal, CASE c_custkey % 3 WHEN 0 THEN 'command' WHEN 1 THEN 'stage' ELSE 'operator' END AS entity_type,
   CASE c_custkey % 3 WHEN 0 THEN 'command' WHEN 1 THEN 'aggregation_stage' ELSE 'query_operator' END AS source_group, CASE WHEN c_custkey % 4 = 0 THEN 'Label ' || c_mktsegment ELSE 'Group ' || c_nationkey END AS category,
   r.name, r.short_description, r.doc_url, 'http://docs.example.org/ref/' || c_mktsegment || '/page.html' AS source_page_url, 'Label ' || c_mktsegment AS source_label FROM customer, LATERAL (
-  SELECT 0 AS row_no, 'n' || (c_custkey % 17) AS name, 'Does ' || c_name AS short_description, 'http://docs.example.org/ref/' || c_mktsegment || '.html' AS doc_url
-  UNION ALL SELECT 1, 'm' || (c_custkey % 5), 'Text', 'http://docs.example.org/ref/' || c_mktsegment || '/page.html#x' UNION ALL SELECT 2, 'plain', 'No link', 'http://docs.example.org/ref/' || c_mktsegment || '/page.html') r"""
+  SELECT 0 AS row_no, 'n' || (c_custkey % 17) AS name, 'Does ' || c_name || CASE WHEN c_custkey % 5 = 0 THEN ' Name Description inner nested text' ELSE '' END AS short_description, 'http://docs.example.org/ref/' || c_mktsegment || '.html' AS doc_url
+  UNION ALL SELECT 1, 'm' || (c_custkey % 5), 'Text', 'http://docs.example.org/ref/' || c_mktsegment || '/page.html#x' UNION ALL SELECT 2, 'plain', 'No link', 'http://docs.example.org/ref/' || c_mktsegment || '/page.html'
+  UNION ALL SELECT 1000000, 'inner', 'nested text', 'http://docs.example.org/ref/' || c_mktsegment || '/page.html' WHERE c_custkey % 5 = 0) r"""
 
 
 @case("reference_rows", _REFERENCE_ROWS)
@@ -730,6 +801,40 @@ def _(i: Inputs) -> DataFrame:
     return rul.overrides_from_baseline(edited)
 
 
+@case("override_round_trip", f"SELECT * FROM ({CASES['override_rows'][1]})")
+def _(i: Inputs) -> DataFrame:
+    """Overrides published twice; what is read is the second version, whole."""
+    root, rows = scratch_folder(i.spark, "overrides"), durable(CASES["override_rows"][0](i))
+    snapshots.publish_overrides(rows.filter("override_complexity = 'High'"), root)
+    snapshots.publish_overrides(rows, root)
+    return versions.published(i.spark, root, "overrides")
+
+
+_RULE_FILES = """SELECT p_partkey % 2 AS list, '$' || replace(p_name, ' ', '_') || '_' || p_partkey AS feature_name, CASE p_size % 3 WHEN 0 THEN 'Low' WHEN 1 THEN 'High' ELSE '' END AS default_complexity,
+  p_partkey % 5 = 0 AS needs_review, 'reason, "' || p_brand || '"' AS complexity_reason FROM part WHERE p_partkey % 7 <> 0"""
+
+
+@case("rule_files", f"SELECT *, 'v9' AS rules_version FROM ({_RULE_FILES})")
+def _(i: Inputs) -> DataFrame:
+    """Rules written as two lists with a manifest, and read in their order."""
+    root = scratch_folder(i.spark, "rules")
+    texts = {
+        "feature_name": F.concat(F.lit("$"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string")),
+        "feature_type": F.lit("operator"),
+        "default_complexity": F.when(F.col("p_size") % 3 == 0, " Low").when(F.col("p_size") % 3 == 1, "High").otherwise(" "),
+        "needs_review": F.when(F.col("p_partkey") % 5 == 0, "Yes").otherwise("no"),
+        "complexity_reason": F.concat(F.lit('reason, "'), F.col("p_brand"), F.lit('"')),
+        "enabled": F.when(F.col("p_partkey") % 7 == 0, "off").otherwise("TRUE"),
+    }
+    rows = i.table("part").select(F.col("p_partkey"), *[t.alias(n) for n, t in texts.items()])
+    for number in (0, 1):
+        listed = rows.filter(F.col("p_partkey") % 2 == number).drop("p_partkey")
+        listed.write.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).csv(f"{root}/list_{number}.csv")
+    i.spark.range(1).select(F.lit('{"rules_version": "v9", "files": ["list_0.csv", "list_1.csv"]}').alias("value")).write.text(f"{root}/rules_manifest.json")
+    found, version = rul.read_rules(i.spark, root)
+    return found.select(F.col("ordinal.list").cast("bigint").alias("list"), "feature_name", "default_complexity", "needs_review", "complexity_reason", F.lit(version).alias("rules_version"))
+
+
 # --- catalogue and baseline -----------------------------------------------
 
 
@@ -970,6 +1075,15 @@ def _(i: Inputs) -> DataFrame:
     return rep.baseline_cards(cat.joined_baseline(i.mapping_baseline, i.merged, i.mapping))
 
 
+@case(
+    "observed_cards",
+    f"SELECT {_apis(scope=_SECTION)} AS api_count, CAST(0 AS BIGINT) AS matched_count, {_apis(scope=_SECTION)} AS uncovered_count, {_apis(_HARD, _SECTION)} AS high_complexity_count, {_apis('observed_in_profile', _SECTION)} AS observed_count, "
+    f"{_apis('contains(target_support_statuses, ' + chr(39) + 'Not Supported' + chr(39) + ')', _SECTION)} AS not_supported_count, count(*) FILTER (WHERE source_short_description <> '') AS described_count FROM scenario_observed",
+)
+def _(i: Inputs) -> DataFrame:
+    return rep.baseline_cards(i.scenario_baseline)
+
+
 @case("support_cards", "SELECT count(*) AS row_count, count(DISTINCT section) AS section_count, count(*) FILTER (WHERE source_short_description <> '') AS described_count FROM described_support")
 def _(i: Inputs) -> DataFrame:
     return rep.support_cards(i.described_support)
@@ -1002,11 +1116,36 @@ def _(i: Inputs) -> DataFrame:
     return rep.run_metadata(per_database.withColumns(zeros | {"effective_source": F.lit("system.profile")}))
 
 
+@case(
+    "run_metadata_observed",
+    f"""SELECT 'PROFILE_ONLY' AS effective_source, CAST(sum(n) AS BIGINT) AS profile_count, bool_or(cut) AS truncated, max(day) AS fetched_on, CAST(0 AS BIGINT) AS log_scanned_line_count, CAST(0 AS BIGINT) AS log_matched_line_count, CAST(0 AS BIGINT) AS metrics_filtered_row_count
+      FROM (SELECT least(count(*), 400) AS n, count(*) > 400 AS cut, strftime(max(ts), '%Y-%m-%d') AS day FROM scanned GROUP BY db_name)
+      UNION ALL SELECT 'LOG_ONLY', 0, false, '', count(*), count(*) FILTER (WHERE {_LOG_CANDIDATE}), 0 FROM log_lines
+      UNION ALL SELECT 'METRICS_ONLY', 0, false, '', 0, 0, sum(len(list_filter(json_keys(metrics, '$.commands'), lambda k: lower(trim(k)) IN {_NOISE}))) FROM counters""",
+)
+def _(i: Inputs) -> DataFrame:
+    """One run from each source: what it read is counted while it is read."""
+    runs = [dict(profile=i.profile, limit=400), dict(log_lines=i.view(inputs.LOG_LINES)), dict(counters=i.view(inputs.COUNTERS), filter_noise=True)]
+    rows = [usage_analysis.analyze(i.support, i.rules, i.overrides, **run).metadata for run in runs]
+    names = ["effective_source", "profile_count", "truncated", F.substring("fetched_at", 1, 10).alias("fetched_on"), "log_scanned_line_count", "log_matched_line_count", "metrics_filtered_row_count"]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select(*names)
+
+
 @case("available_versions", f"SELECT version, {checks.rank('version')} AS version_rank FROM (SELECT DISTINCT unnest({checks.versions('support_since')}) AS version FROM support)")
 def _(i: Inputs) -> DataFrame:
     return rep.available_versions(i.support, ["support_since"])
 
 
+@case(
+    "merged_options",
+    "SELECT DISTINCT 'target_support_status' AS facet, target_support_status AS value FROM assessed UNION SELECT 'op_type', op_type FROM assessed UNION SELECT 'feature_type', feature_type FROM assessed UNION SELECT 'command_name', command_name FROM assessed "
+    "UNION SELECT 'effective_complexity', effective_complexity FROM assessed UNION SELECT 'scope', effective_migration_necessity FROM assessed WHERE effective_migration_necessity <> '' "
+    "UNION SELECT 'target_support_status', trim(v) FROM (SELECT unnest(string_split(target_support_statuses, ',')) AS v FROM mapping_baseline) WHERE trim(v) <> '' UNION SELECT 'scope', effective_migration_necessity FROM mapping_baseline WHERE effective_migration_necessity <> ''",
+)
+def _(i: Inputs) -> DataFrame:
+    return rep.merged_options(i.detail, i.mapping_baseline)
+
+
 @case("available_versions_default", "SELECT * FROM (VALUES ('19c', CAST(38 AS BIGINT)), ('26ai', CAST(53 AS BIGINT))) t(version, version_rank)")
 def _(i: Inputs) -> DataFrame:
     return rep.available_versions(i.support, ["section"])
@@ -1031,6 +1170,68 @@ def _(i: Inputs) -> DataFrame:
     return rep.status_segments(sup.with_status(i.support))
 
 
+# --- sinks and orders -----------------------------------------------------
+
+
+@case("catalog_round_trip", "SELECT feature_type, feature_name, target_matched, target_section, target_support_since, (SELECT count(*) FROM mapping) AS mapping_count, (SELECT count(*) FROM mapping WHERE target_matched) AS matched_count, (SELECT count(*) FROM merged) AS baseline_rows FROM mapping")
+def _(i: Inputs) -> DataFrame:
+    root = scratch_folder(i.spark, "catalog")
+    snapshots.publish_catalog(durable(i.merged), durable(i.mapping), root, "8.0")
+    told = versions.current(i.spark, root)
+    counts = {"mapping_count": told["info"]["mapping_count"], "matched_count": told["info"]["matched_count"], "baseline_rows": told["rows"]["api_baseline"]}
+    rows = versions.published(i.spark, root, "compat_mapping").select("feature_type", "feature_name", "target_matched", "target_section", "target_support_since")
+    return rows.withColumns({name: F.lit(n).cast("bigint") for name, n in counts.items()})
+
+
+@case("support_round_trip", f"SELECT * FROM ({CASES['support_summary'][1]})")
+def _(i: Inputs) -> DataFrame:
+    root = scratch_folder(i.spark, "support")
+    snapshots.publish_support(i.support, root, pg.page_metadata(i.view(inputs.VERSIONED_PAGES), "Release 1."))
+    return versions.published(i.spark, root, "summary")
+
+
+@case(
+    "status_columns",
+    f"SELECT named, s AS normalized_status, count(*) AS n FROM (SELECT named, CASE WHEN named = 'none' THEN 'Other' ELSE {checks.raw_status('support_since')} END AS s FROM support, (VALUES ('support_since'), ('Target STATUS'), ('none')) v(named)) GROUP BY ALL",
+)
+def _(i: Inputs) -> DataFrame:
+    """Support cells under their usual name, under a hint, and under neither."""
+    parts = []
+    for name in ("support_since", "Target STATUS", "none"):
+        frame = i.support.select("section", F.col("support_since").alias(name))
+        parts.append(sup.with_status(frame, sup.status_column(frame.columns)).select(F.lit(name).alias("named"), "normalized_status"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("named", "normalized_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PLACE = "command_name, op_type, database, collection"
+
+
+@case("usage_order", f"SELECT row_number() OVER (ORDER BY usage_count DESC, feature_type, feature_name, database, collection, op_type, command_name) AS rank, {_KEYS}, usage_count FROM counts")
+def _(i: Inputs) -> DataFrame:
+    return ranks.ranked(i.counts.select(*_KEYS.split(", "), "usage_count"), [*use.usage_order(), F.asc("command_name")])
+
+
+@case(
+    "assessed_order",
+    f"SELECT row_number() OVER (ORDER BY {checks.complexity_rank('effective_complexity')} DESC, {checks.priority_rank('migration_priority')} DESC, usage_count DESC, feature_type, feature_name, {_PLACE}) AS rank, {_KEYS} FROM assessed",
+)
+def _(i: Inputs) -> DataFrame:
+    return ranks.ranked(i.assessed, asm.assessed_order()).select("rank", *_KEYS.split(", "))
+
+
+@case(
+    "hotspot_order",
+    f"SELECT row_number() OVER (ORDER BY {checks.priority_rank('migration_priority')} DESC, {checks.complexity_rank('effective_complexity')} DESC, usage_count DESC, max_duration_ms DESC NULLS LAST, feature_type, feature_name, {_PLACE}) AS rank, {_KEYS} FROM assessed WHERE {_APP} AND {_HOT}",
+)
+def _(i: Inputs) -> DataFrame:
+    return ranks.ranked(asm.hotspots(i.assessed), asm.hotspot_order()).select("rank", *_KEYS.split(", "))
+
+
+@case("baseline_order", f"SELECT row_number() OVER (ORDER BY usage_count DESC, feature_type, feature_name, target_section, target_support_since) AS rank, {_BASE_KEYS} FROM baseline")
+def _(i: Inputs) -> DataFrame:
+    return ranks.ranked(i.baseline, [*rep.api_baseline_order(), F.asc("target_support_since")]).select("rank", *_BASE_KEYS.split(", "))
+
+
 # --- slices ---------------------------------------------------------------
 
 

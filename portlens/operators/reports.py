@@ -129,28 +129,36 @@ def scenario_matrix(support: DataFrame) -> DataFrame:
     )
 
 
-def _api_key(columns: list[str]) -> Column:
+def _api_key(columns: list[str]) -> list[Column]:
     """What makes two rows the same API."""
     scopes = [F.nullif(F.trim(blank(c)), F.lit("")) for c in ("target_section", "target_category") if c in columns]
-    fields = [blank(c).alias(c) for c in ("feature_type", "feature_name", "target_support_since") if c in columns]
-    return F.struct(*fields, F.coalesce(*scopes, F.lit("")).alias("scope"))
+    fields = [blank(c).alias(f"_{c}") for c in ("feature_type", "feature_name", "target_support_since") if c in columns]
+    return [*fields, F.coalesce(*scopes, F.lit("")).alias("_scope")]
 
 
-def unique_api_count(frame: DataFrame, condition: Column | None = None) -> Column:
-    key = _api_key(frame.columns)
-    return F.count_distinct(key if condition is None else F.when(condition, key))
+def _api_cards(frame: DataFrame, flags: dict[str, Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct APIs with each flag, from one grouped pass: an API has a flag that any of its rows has. `sums` counts rows."""
+    by_api = frame.groupBy(*_api_key(frame.columns)).agg(
+        F.lit(True).alias("api_count"),
+        *[F.bool_or(F.coalesce(flag, F.lit(False))).alias(name) for name, flag in flags.items()],
+        *[F.count_if(condition).alias(name) for name, condition in (sums or {}).items()],
+    )
+    counts = [F.count_if(F.col(name)).alias(name) for name in ("api_count", *flags)]
+    return by_api.agg(*counts, *[F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in sums or {}])
 
 
 def usage_cards(assessed: DataFrame) -> DataFrame:
     """Distinct APIs used: all, by status, hard ones and hotspots."""
-    status, hard = F.col("target_support_status"), F.col("effective_complexity").isin("High", "Blocker")
-    return assessed.agg(
-        unique_api_count(assessed).alias("api_count"),
-        unique_api_count(assessed, status == "Supported").alias("supported_count"),
-        unique_api_count(assessed, status == "Not Supported").alias("not_supported_count"),
-        unique_api_count(assessed, hard).alias("high_complexity_count"),
-        unique_api_count(assessed, is_hotspot()).alias("hotspot_count"),
-        unique_api_count(assessed, is_hotspot(require_scope=False)).alias("report_hotspot_count"),
+    status = F.col("target_support_status")
+    return _api_cards(
+        assessed,
+        {
+            "supported_count": status == "Supported",
+            "not_supported_count": status == "Not Supported",
+            "high_complexity_count": F.col("effective_complexity").isin("High", "Blocker"),
+            "hotspot_count": is_hotspot(),
+            "report_hotspot_count": is_hotspot(require_scope=False),
+        },
     )
 
 
@@ -160,16 +168,17 @@ def baseline_cards(baseline: DataFrame) -> DataFrame:
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False)) if name in baseline.columns else F.lit(False)
 
-    matched = flag("target_matched")
     described = blank("source_short_description") if "source_short_description" in baseline.columns else F.lit("")
-    return baseline.agg(
-        unique_api_count(baseline).alias("api_count"),
-        unique_api_count(baseline, matched).alias("matched_count"),
-        unique_api_count(baseline, ~matched).alias("uncovered_count"),
-        unique_api_count(baseline, F.col("effective_complexity").isin("High", "Blocker")).alias("high_complexity_count"),
-        unique_api_count(baseline, flag("observed_in_profile")).alias("observed_count"),
-        unique_api_count(baseline, F.col("target_support_statuses").contains("Not Supported")).alias("not_supported_count"),
-        F.count_if(F.trim(described) != "").alias("described_count"),
+    return _api_cards(
+        baseline,
+        {
+            "matched_count": flag("target_matched"),
+            "uncovered_count": ~flag("target_matched"),
+            "high_complexity_count": F.col("effective_complexity").isin("High", "Blocker"),
+            "observed_count": flag("observed_in_profile"),
+            "not_supported_count": F.col("target_support_statuses").contains("Not Supported"),
+        },
+        {"described_count": F.trim(described) != ""},
     )
 
 
@@ -223,26 +232,40 @@ def api_baseline_order() -> list[Column]:
     return [F.desc("usage_count"), F.asc("feature_type"), F.asc("feature_name"), F.asc("target_section")]
 
 
-def _top_names(frame: DataFrame, column: str, name: str, limit: int = 3) -> DataFrame:
-    """Most frequent values per database as one comma list; ties by name."""
-    counted = frame.filter(F.trim(blank(column)) != "").groupBy("database", F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("database").orderBy(F.desc("n"), F.asc("value")))
-    top = counted.withColumn("rank", rank).filter(F.col("rank") <= limit)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x.value)
-    return top.groupBy("database").agg(F.array_join(ordered, ", ").alias(name))
+def database_summary(assessed: DataFrame, inventory: DataFrame | None = None, top: int = 3) -> DataFrame:
+    """One row per database, from one pass over the rows; `inventory` adds its columns by `database`.
 
-
-def database_summary(assessed: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
-    """One row per database; `inventory` adds its columns by `database`."""
+    Every row counts for its database and for its feature, command and collection
+    there; ranks of the names, by rows and then by name, give the top lists.
+    """
     owned = assessed.filter(blank("database") != fixed.INSTANCE_LEVEL)
-    grouped = owned.groupBy("database").agg(
-        F.count_distinct(F.when(F.trim(blank("feature_name")) != "", F.col("feature_name"))).alias("unique_api_count"),
-        F.coalesce(F.sum("usage_count"), F.lit(0)).cast("bigint").alias("total_usage_count"),
-        F.count_if(F.col("target_support_status") == "Not Supported").alias("not_supported_count"),
-        F.count_if(F.col("effective_complexity") == "High").alias("high_complexity_count"),
+    cell = lambda kind, column: F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value"))
+    named = F.filter(F.array(cell("api", "feature_name"), cell("command", "command_name"), cell("collection", "collection")), lambda c: F.trim(blank(c["value"])) != "")
+    own = F.array(F.struct(F.lit("row").alias("kind"), F.lit(None).cast("string").alias("value")))
+    facts = {
+        "total_usage_count": F.coalesce(F.sum("usage_count"), F.lit(0)).cast("bigint"),
+        "not_supported_count": F.count_if(F.col("target_support_status") == "Not Supported"),
+        "high_complexity_count": F.count_if(F.col("effective_complexity") == "High"),
+    }
+    counted = (
+        owned.select("database", "usage_count", "target_support_status", "effective_complexity", F.inline(F.concat(own, named)))
+        .groupBy("database", "kind", "value")
+        .agg(F.count(F.lit(1)).alias("n"), *[fact.alias(name) for name, fact in facts.items()])
+    )
+    rank = F.row_number().over(Window.partitionBy("database", "kind").orderBy(F.desc("n"), F.asc("value")))
+    ranked = counted.withColumn("rank", rank)
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+
+    def names(kind: str) -> Column:
+        listed = F.collect_list(of(kind, F.when(F.col("rank") <= top, F.struct("rank", "value"))))
+        return F.array_join(F.transform(F.array_sort(listed), lambda x: x["value"]), ", ")
+
+    grouped = ranked.groupBy("database").agg(
+        F.coalesce(F.max(of("api", F.col("rank"))), F.lit(0)).cast("bigint").alias("unique_api_count"),
+        *[F.max(of("row", F.col(name))).alias(name) for name in facts],
+        names("command").alias("top_commands"),
+        names("collection").alias("top_collections"),
     )
-    for column, name in (("command_name", "top_commands"), ("collection", "top_collections")):
-        grouped = grouped.join(_top_names(owned, column, name), "database", "left").withColumn(name, blank(name))
     return grouped if inventory is None else grouped.join(inventory, "database", "left")
 
 
@@ -251,13 +274,13 @@ def database_summary_order() -> list[Column]:
 
 
 def available_versions(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """Versions named anywhere in the columns, lowest first; defaults if none."""
+    """Versions named anywhere in the columns, lowest first; defaults where none is named."""
     named = F.array_distinct(F.flatten(F.array(*[versions_in(c) for c in columns])))
-    found = frame.select(F.explode(named).alias("version"))
-    if found.isEmpty():
-        spark = frame.sparkSession
-        found = spark.range(1).select(F.explode(F.lit(list(fixed.DEFAULT_VERSIONS))).alias("version"))
-    return found.distinct().withColumn("version_rank", version_rank(F.col("version")))
+    found = frame.select(F.explode(named).alias("version")).distinct()
+    # One row whatever the table holds: its number of versions.
+    none = found.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    defaults = none.select(F.explode(F.lit(list(fixed.DEFAULT_VERSIONS))).alias("version"))
+    return found.unionByName(defaults).withColumn("version_rank", version_rank(F.col("version")))
 
 
 def facet_options(frame: DataFrame, columns: list[str], split: tuple[str, ...] = ()) -> DataFrame:
@@ -271,6 +294,23 @@ def facet_options(frame: DataFrame, columns: list[str], split: tuple[str, ...] =
     return frame.select(F.inline(F.flatten(F.array(*cells)))).filter(F.col("value") != "").distinct()
 
 
+def merged_options(usage: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Options of the usage filters; statuses and necessities also take in what the baseline has.
+
+    The usage table's own blanks are options, as the view lists them; blanks of
+    comma lists, and of necessities, are none.
+    """
+    own = ["target_support_status", "op_type", "feature_type", "command_name", "effective_complexity"]
+    scope = next((c for c in ("effective_migration_necessity", "effective_scope") if c in usage.columns), None)
+    cells = [F.struct(F.lit(c).alias("facet"), blank(c).alias("value")) for c in own if c in usage.columns]
+    cells += [F.struct(F.lit("scope").alias("facet"), blank(scope).alias("value"))] if scope else []
+    listed = F.transform(F.split(blank("target_support_statuses"), ","), lambda v: F.struct(F.lit("target_support_status").alias("facet"), F.trim(v).alias("value")))
+    other = next((c for c in ("effective_migration_necessity", "effective_scope") if c in baseline.columns), None)
+    more = F.concat(listed, F.array(F.struct(F.lit("scope").alias("facet"), blank(other).alias("value")))) if other else listed
+    options = usage.select(F.inline(F.array(*cells))).filter((F.col("facet") != "scope") | (F.col("value") != ""))
+    return options.unionByName(baseline.select(F.inline(more)).filter("value != ''")).distinct()
+
+
 def status_segments(support: DataFrame) -> DataFrame:
     """Rows per section and status; statuses outside the fixed order are Other."""
     known = ("Supported", "Not Supported", "Partially Supported")

@@ -134,9 +134,9 @@ def attach_samples(usage: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def usage_rollup(events: DataFrame) -> DataFrame:
-    """Usage table with one sample per group."""
-    return attach_samples(durable(usage_counts(events)), events)
+def usage_rollup(events: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Usage table with one sample per group. `counted` are the same events, observed while they are counted."""
+    return attach_samples(durable(usage_counts(events if counted is None else counted)), events)
 
 
 def as_evidence(usage: DataFrame, source: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,6 +31,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only for a local master that names none."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="portlens-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, gone when the application ends."""
+    folder = f"{_shared_folder(spark)}/portlens-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def durable(frame: DataFrame) -> DataFrame:
     """Write a small intermediate result to the shared folder and read it back.
 
@@ -38,12 +59,7 @@ def durable(frame: DataFrame) -> DataFrame:
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="portlens-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)
 
 

@@ -60,6 +60,12 @@ def is_noise(name: ColumnOrName) -> Column:
     return F.lower(F.trim(col(name))).isin(*fixed.NOISE_COMMANDS)
 
 
+def noise_count(metrics: ColumnOrName) -> Column:
+    """Number of a document's command counters that the noise filter drops."""
+    names = F.json_object_keys(F.get_json_object(col(metrics), "$.commands"))
+    return F.coalesce(F.size(F.filter(names, is_noise)), F.lit(0))
+
+
 def _section(counters: DataFrame, name: str) -> DataFrame:
     return counters.select("instance", "metrics", F.try_variant_get(F.try_parse_json("metrics"), f"$.{name}", "variant").alias("tree"))
 
@@ -107,9 +113,10 @@ def operator_counters(counters: DataFrame) -> DataFrame:
     return _tree_counters(counters, "operatorCounters", "operator", "unknown")
 
 
-def counter_usage(counters: DataFrame, filter_noise: bool = False) -> DataFrame:
+def counter_usage(counters: DataFrame, filter_noise: bool = False, observed: DataFrame | None = None) -> DataFrame:
+    """Command, stage and operator rows. `observed` are the same documents, observed while their commands are read."""
     return (
-        command_counters(counters, filter_noise)
+        command_counters(counters if observed is None else observed, filter_noise)
         .unionByName(stage_counters(counters))
         .unionByName(operator_counters(counters))
     )

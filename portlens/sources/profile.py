@@ -30,19 +30,11 @@ PROFILE_COLUMNS = (
 )
 
 
-def read_profile(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
-    """Exported profiler records, one JSON object per line, or a Parquet table.
+_CORRUPT = "_corrupt"
 
-    Nested documents are kept as JSON text in their own key order. Times may
-    be ISO text or `{"$date": ...}`. Records without an `event_key` get one
-    from their content.
-    """
-    if kind == "parquet":
-        raw = spark.read.parquet(path)
-    else:
-        # A field declared as text receives a nested document as its JSON text.
-        wanted = [c for c in PROFILE_COLUMNS if c != "event_key"]
-        raw = spark.read.schema(", ".join(f"`{c}` STRING" for c in wanted)).json(path)
+
+def _keyed(raw: DataFrame) -> DataFrame:
+    """Times as timestamps, and a key from the content where records have none."""
     names = {c.lower() for c in raw.columns}
     if dict(raw.dtypes).get("ts") == "string":
         moment = F.coalesce(F.get_json_object("ts", "$['$date']"), F.col("ts"))
@@ -52,6 +44,76 @@ def read_profile(spark: SparkSession, path: str, kind: str = "json") -> DataFram
     return raw
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Lines (`line`, and any columns of their own) with the record each holds, or NULL.
+
+    A line that is no whole JSON object holds none. A field declared as text
+    receives a nested document as its JSON text.
+    """
+    wanted = [c for c in PROFILE_COLUMNS if c != "event_key"]
+    schema = ", ".join(f"`{c}` STRING" for c in (*wanted, _CORRUPT))
+    opened = F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    whole = F.col("_r").isNotNull() & F.col(f"_r.{_CORRUPT}").isNull() & F.trim("line").rlike(r"^\{(?s:.*)\}$")
+    record = F.when(whole, F.struct(*[F.col(f"_r.`{c}`").alias(c) for c in wanted]))
+    return lines.withColumn("_r", opened).withColumn("record", record).drop("_r")
+
+
+def good_records(lines: DataFrame) -> DataFrame:
+    """The profiler records of exported lines."""
+    return _keyed(parse_lines(lines).filter(F.col("record").isNotNull()).select("record.*"))
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """Lines that hold no record, as they are; blank ones are no loss and left out."""
+    return parse_lines(lines).filter(F.col("record").isNull() & (F.trim("line") != "")).drop("record")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Exported lines with their file, for `good_records` and `rejected_lines`."""
+    return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+
+
+def read_profile(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """Exported profiler records, one JSON object per line, or a Parquet table.
+
+    Nested documents are kept as JSON text in their own key order. Times may
+    be ISO text or `{"$date": ...}`. Records without an `event_key` get one
+    from their content. Broken lines are no records; `rejected_lines` has them.
+    """
+    return _keyed(spark.read.parquet(path)) if kind == "parquet" else good_records(read_lines(spark, path))
+
+
+def land_profile(records: DataFrame, root: str) -> None:
+    """Add records to a table in folders by day and database.
+
+    Records are brought together by folder; what is too much for one task of it is
+    dealt over several, and small folders share one.
+    """
+    owned = records.withColumns({"event_date": F.to_date("ts"), "db_name": _owner()})
+    owned.hint("rebalance", "event_date", "db_name").write.mode("append").partitionBy("event_date", "db_name").parquet(root)
+
+
+def read_landed(spark: SparkSession, root: str, databases: list[str] | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Landed records of a time window; only the folders of its days, and of the databases, are read."""
+    kept = spark.read.option("basePath", root).parquet(root)
+    if start is not None:
+        kept = kept.filter((F.col("event_date") >= F.to_date(start)) & (F.col("ts") >= start))
+    if end is not None:
+        kept = kept.filter((F.col("event_date") <= F.to_date(end)) & (F.col("ts") <= end))
+    if databases:
+        kept = kept.filter(F.col("db_name").isin(*databases))
+    return kept
+
+
+def landed_days(records: DataFrame, keys: DataFrame) -> DataFrame:
+    """Landed records of the (event_date, db_name) pairs that `keys` has.
+
+    The pairs are few and sent along; where they come from a filter, the scan reads
+    their folders only.
+    """
+    return records.join(F.broadcast(keys.select("event_date", "db_name").distinct()), ["event_date", "db_name"], "left_semi")
+
+
 def is_system_database(name: Column | str) -> Column:
     return F.lower(F.trim(blank(name))).isin(*fixed.SYSTEM_DATABASES)
 

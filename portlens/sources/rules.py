@@ -146,12 +146,17 @@ def overrides_from_baseline(edited: DataFrame) -> DataFrame:
     )
 
 
+def override_texts(overrides: DataFrame) -> DataFrame:
+    """Override rows as they are saved: trimmed text, flags as `true` and `false`."""
+    return _tidy(overrides, OVERRIDE_COLUMNS).withColumn("enabled", true_text(is_true("enabled")))
+
+
 def save_overrides(overrides: DataFrame, path: str) -> None:
     """Check and rewrite the override file, ordered by feature.
 
     Write to a folder other than the one being read.
     """
-    shaped = _tidy(overrides, OVERRIDE_COLUMNS).withColumn("enabled", true_text(is_true("enabled")))
+    shaped = override_texts(overrides)
     require_valid(normalize_overrides(shaped), OVERRIDE_VOCABULARY, "customer overrides")
     ordered = shaped.orderBy("feature_type", "feature_name")
     ordered.write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)

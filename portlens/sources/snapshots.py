@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from portlens.functions.text import ColumnOrName, col
 from portlens.operators.catalog import BASELINE_FLAGS, catalog_texts, parse_flags
+from portlens.operators.reports import support_summary
+from portlens.sources.rules import OVERRIDE_VOCABULARY, normalize_overrides, override_texts, require_valid
+from portlens.sources.versions import publish
 
 RUN_TABLES = ("detail", "summary", "migration_detail", "migration_summary", "migration_hotspots", "migration_excluded")
 
@@ -66,6 +69,26 @@ def save_catalog(baseline: DataFrame, mapping: DataFrame, root: str) -> None:
     save_csv(catalog_texts(mapping, ("target_matched",)), f"{root}/compat_mapping")
 
 
+def publish_catalog(baseline: DataFrame, mapping: DataFrame, root: str, manual_version: str = "", synced_at: str = "") -> str:
+    """Baseline and mapping as one version, with the counts that the catalogue view shows."""
+    counts = mapping.agg(F.count(F.lit(1)).alias("all"), F.count_if("target_matched").alias("matched")).first()
+    info = {"manual_version": manual_version, "synced_at": synced_at, "mapping_count": counts["all"], "matched_count": counts["matched"]}
+    return publish(root, {"api_baseline": baseline, "compat_mapping": mapping}, info)
+
+
+def publish_support(support: DataFrame, root: str, pages: DataFrame | None = None) -> str:
+    """Support rows with their summary and what is known of their pages, as one version."""
+    tables = {"support": support, "summary": support_summary(support)}
+    return publish(root, tables | ({} if pages is None else {"pages": pages}))
+
+
+def publish_overrides(overrides: DataFrame, root: str) -> str:
+    """Checked override rows, as one version; a value outside the vocabulary leaves the present one in place."""
+    shaped = override_texts(overrides)
+    require_valid(normalize_overrides(shaped), OVERRIDE_VOCABULARY, "customer overrides")
+    return publish(root, {"overrides": shaped})
+
+
 def load_catalog(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return (
         parse_flags(read_csv(spark, f"{root}/api_baseline"), BASELINE_FLAGS),
