@@ -36,7 +36,10 @@ class Inputs:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return self.view(inputs.PROFILE)
+        """The records as a stored table, which is how a run finds them."""
+        root = scratch_folder(self.spark, "records")
+        self.view(inputs.PROFILE).write.parquet(root)
+        return self.spark.read.parquet(root)
 
     @cached_property
     def events(self) -> DataFrame:
