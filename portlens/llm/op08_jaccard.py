@@ -306,8 +306,8 @@ def suspects(members: DataFrame, every: bool) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def in_groups(pairs: DataFrame) -> DataFrame:
-    """(class, group, side): every pair (a, b) as a hub and a leaf of one group.
+def in_groups(pairs: DataFrame, n: int) -> DataFrame:
+    """(class, group, side): every one of the n pairs (a, b) as a hub and a leaf of one group.
 
     The partner of more pairs is the pair's hub and has up to MEMBERS leaves in a
     group. A leaf has few hubs: of m pairs at most the root of 2 m.
@@ -315,7 +315,7 @@ def in_groups(pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("k"))
     of = lambda end: ends.select(F.col("class").alias(end), F.col("k").alias(f"k_{end}"))
     a_first = F.struct(F.col("k_a"), F.col("a")) > F.struct(F.col("k_b"), F.col("b"))
-    told = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.when(a_first, F.col("k_a")).otherwise(F.col("k_b")).alias("k"))
+    told = pairs.join(_sent(of("a"), 2 * n), "a").join(_sent(of("b"), 2 * n), "b").select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.when(a_first, F.col("k_a")).otherwise(F.col("k_b")).alias("k"))
     # A hub's number of pairs bounds its leaves.
     told = told.withColumn("group", F.xxhash64("hub", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("k") / MEMBERS))))
     hubs = told.select(F.col("hub").alias("class"), "group", F.lit(HUB).alias("side")).distinct()
@@ -352,7 +352,7 @@ def likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
         x, y = (np.bitwise_or.reduce(np.frombuffer(v, np.uint8).reshape(-1, width), axis=0).view(np.uint64) for v in (a, b))
         return (n + m - int(np.bitwise_count(x ^ y).sum())) // 2 >= needed(n, m)
 
-    return met(in_groups(pairs).join(signs, "class"), "bits", fits)
+    return met(in_groups(pairs, pairs.count()).join(signs, "class"), "bits", fits)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
@@ -369,8 +369,8 @@ def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
     def fits(n: int, a: bytes, m: int, b: bytes) -> bool:
         return overlap(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= needed(n, m)
 
-    members = in_groups(pairs).groupBy("class").agg(F.collect_list(F.struct("group", "side")).alias("groups"))
-    members = stored(members.join(places, "class"), "members")
+    members = in_groups(pairs, pairs.count()).groupBy("class").agg(F.collect_list(F.struct("group", "side")).alias("groups"))
+    members = stored(members.join(_sent(places, places.count()), "class"), "members")
     sent = members.agg(F.sum(F.size("groups"))).first()[0] or 0
     texts = keyed(docs).join(_sent(members, sent), ["no_id", "id", "text_hash"])
     whole = texts.select("text", "class", "groups").mapInArrow(sets, "group long, side int, class long, n long, shingles binary")
@@ -378,7 +378,7 @@ def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def listed(members: DataFrame) -> DataFrame:
-    """Of tiles (tile, class, n, root) of up to FEW classes the pairs (a, b) of different components; of others their classes (tile, a)."""
+    """Of tiles (tile, class, n, root) of up to FEW classes the pairs (a, b) of different components; of others that have several their classes (tile, a)."""
     schema = pa.schema([("tile", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(tiles: np.ndarray, name: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
@@ -386,7 +386,7 @@ def listed(members: DataFrame) -> DataFrame:
         seen, wide = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
         for at in np.split(np.arange(len(tiles)), cuts):
             if len(at) > FEW:
-                wide.append(at)
+                wide += [at] if (root[at] != root[at[0]]).any() else []
                 continue
             i, j = np.triu_indices(len(at), 1)
             i, j = at[i], at[j]
@@ -421,7 +421,8 @@ def rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
     """Members with their present component as `root`: their own class while unlinked."""
     if found is None:
         return members.withColumn("root", F.col("class"))
-    return members.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
+    found = _sent(found.select(F.col("node").alias("class"), "component"), found.count())
+    return members.join(found, "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
 
 
 class Search:
@@ -467,8 +468,7 @@ def link_classes(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     sizes = signs.select("class", "n")
     for every in (False, True):
         open_tiles = rooted(flat.select("tile", "class"), search.now)
-        split = open_tiles.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("tile")
-        found = stored(listed(open_tiles.join(split, "tile").join(sizes, "class")), "open")
+        found = stored(listed(open_tiles.join(_sent(sizes, signs.count()), "class")), "open")
         large = found.where("b is null").select("tile", F.col("a").alias("class"))
         again = rooted(large, search.now).join(signs, "class").withColumn("side", F.lit(EITHER))
         pairs = suspects(again, every)
