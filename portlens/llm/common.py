@@ -86,6 +86,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
 
 
+def other_columns(frame: DataFrame, row: str = "row") -> list[Column]:
+    """An order of rows that are equal in id and text: by all other columns that have an order."""
+    found = [F.col(f"{row}.`{f.name}`") for f in frame.schema if f.name not in ("doc_id", "text") and f.dataType.typeName() not in ("map", "variant")]
+    return found or [F.lit(0)]
+
+
 def count_words(text: Column) -> Column:
     """Every word, with the white space before it, becomes one sign; the signs are counted."""
     signs = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "x")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest
 
-from portlens.llm.common import rows, slices, stored, text_or_empty
+from portlens.llm.common import other_columns, rows, slices, stored, text_or_empty
 from portlens.llm.components import components
 from portlens.llm.shingles import shingle_hashes
 
@@ -523,7 +523,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     chosen = chosen.select("no_id", "id", "text_hash", "n").distinct()
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_or_empty()).alias("text_hash"))
     # Of rows equal in id and text the least by all columns stays.
-    copy = F.row_number().over(Window.partitionBy("no_id", "id", "text_hash").orderBy(F.to_json("row")))
+    copy = F.row_number().over(Window.partitionBy("no_id", "id", "text_hash").orderBy(*other_columns(docs)))
     return marked.join(chosen, ["no_id", "id", "text_hash"]).withColumn("copy", copy).where("n = 0 or copy = 1").select("row.*")
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from portlens.llm.common import DOCUMENT, stored
+from portlens.llm.common import DOCUMENT, other_columns, stored
 
 SIZE = 3
 HOT = 2000
@@ -63,7 +63,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in results]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_keys())
     joined = keyed.join(covered(docs), ["no_id", "id", "text_hash"], "left")
-    copy = F.row_number().over(Window.partitionBy("no_id", "id", "text_hash").orderBy(F.to_json("row")))
+    copy = F.row_number().over(Window.partitionBy("no_id", "id", "text_hash").orderBy(*other_columns(docs.select(*[F.col(f"`{c}`") for c in names]))))
     joined = joined.withColumn("copy", copy).withColumn("lines", F.split("row.text", "\n", -1))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     gone = F.when((F.col("copy") > 1) & (F.size("lines") >= SIZE), every).otherwise(F.coalesce("covered", F.array().cast("array<int>")))
