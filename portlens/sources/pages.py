@@ -1,18 +1,20 @@
 """Support tables, reference tables and metadata in documentation pages.
 
-Each page is read on its own by array expressions, so pages are never
-gathered or shuffled.
+Each page is read on its own by array expressions. Pages of tables are dealt
+over many tasks first, since reading one is costly.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from portlens import fixed
 from portlens.functions.text import ColumnOrName, clean_text, col
+from portlens.session import spread
 
 _ROW = r"(?is)<tr\b[^>]*>(.*?)</tr>"
 _CELL = r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"
@@ -57,6 +59,11 @@ def inner_text(html: ColumnOrName) -> Column:
     return clean_text(decoded(F.regexp_replace(col(html), r"(?s)<[^>]*>", " ")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
@@ -118,14 +125,11 @@ def canonical_header(header: Column) -> Column:
             .otherwise(name)
         )
 
-    named = F.transform(header, lambda h: usual(clean_text(h)))
-    return F.transform(
-        named,
-        lambda name, i: F.when(
-            F.size(F.filter(F.slice(named, 1, i + 1), lambda x: x == name)) > 1,
-            F.concat(name, F.lit("_"), F.size(F.filter(F.slice(named, 1, i + 1), lambda x: x == name)).cast("string")),
-        ).otherwise(name),
-    )
+    def numbered(named: Column) -> Column:
+        times = lambda name, i: F.size(F.filter(F.slice(named, 1, i + 1), lambda x: x == name))
+        return F.transform(named, lambda name, i: F.when(times(name, i) > 1, F.concat(name, F.lit("_"), times(name, i).cast("string"))).otherwise(name))
+
+    return _once(F.transform(header, lambda h: _once(clean_text(h), usual)), numbered)
 
 
 def support_tables(pages: DataFrame) -> DataFrame:
@@ -157,7 +161,8 @@ def support_tables(pages: DataFrame) -> DataFrame:
         F.transform(F.filter(found, lambda t: F.size(t.rows) > 1), shaped),
         lambda t: F.exists(t.header, lambda h: F.lower(h).contains("support")),
     )
-    tables = pages.select("page_id", F.posexplode(usable).alias("n", "t"))
+    # The outer form computes the array once for each page (see `usage._one_per_row`).
+    tables = spread(pages.select("page_id", "html")).select("page_id", F.posexplode_outer(usable).alias("n", "t")).filter(F.col("t").isNotNull())
     rows = tables.select("page_id", (F.col("n") + 1).alias("table_index"), "t.section", "t.header", F.posexplode("t.body").alias("row_index", "row"))
     padded = F.transform(F.col("header"), lambda _h, i: F.coalesce(F.get(F.col("row"), i), F.lit("")))
     return rows.select("page_id", "table_index", "row_index", "section", F.map_from_arrays("header", padded).alias("cells")).filter(
@@ -223,7 +228,7 @@ def reference_rows(pages: DataFrame) -> DataFrame:
     )
     usable = F.filter(found, lambda t: F.array_contains(t.head, "Description") & name_at(t.head).isNotNull())
     source = ["page_id", "url", "entity_type", "source_group", "source_label"]
-    tables = pages.select(*source, F.posexplode(usable).alias("table_no", "t"))
+    tables = spread(pages.select(*source, "html")).select(*source, F.posexplode_outer(usable).alias("table_no", "t")).filter(F.col("t").isNotNull())
     rows = tables.select(
         *source,
         "table_no",
@@ -231,16 +236,27 @@ def reference_rows(pages: DataFrame) -> DataFrame:
         name_at(F.col("t.head")).alias("name_at"),
         F.array_position("t.head", F.lit("Description")).alias("text_at"),
         F.posexplode(F.slice("t.rows", 2, F.size("t.rows"))).alias("row_no", "row"),
-    ).withColumn("cells", _matches(F.col("row"), _CELL))
-    cell = lambda at: F.get("cells", F.col(at).cast("int") - 1)
-    return rows.select(
+    )
+
+    def entry(cells: Column) -> Column:
+        cell = lambda at: F.get(cells, F.col(at).cast("int") - 1)
+        link = F.regexp_extract(cell("name_at"), _LINK, 1)
+        return F.struct(
+            inner_text(cell("name_at")).alias("name"),
+            inner_text(cell("text_at")).alias("short_description"),
+            _once(link, lambda x: resolve_link(F.col("url"), x)).alias("doc_url"),
+        )
+
+    # Unnested, so that the filter below reads the texts and does not compute them again.
+    opened = rows.select(*source, "table_no", "row_no", "heading", F.inline_outer(F.transform(F.array(_matches(F.col("row"), _CELL)), entry)))
+    return opened.select(
         F.struct("page_id", "table_no", "row_no").alias("ordinal"),
         "entity_type",
         "source_group",
         F.when(F.col("heading") == "", F.col("source_label")).otherwise(F.col("heading")).alias("category"),
-        inner_text(cell("name_at")).alias("name"),
-        inner_text(cell("text_at")).alias("short_description"),
-        resolve_link(F.col("url"), F.regexp_extract(cell("name_at"), _LINK, 1)).alias("doc_url"),
+        "name",
+        "short_description",
+        "doc_url",
         F.col("url").alias("source_page_url"),
         "source_label",
     ).filter((F.col("name") != "") & (F.col("short_description") != ""))

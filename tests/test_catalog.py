@@ -75,6 +75,16 @@ def test_reference_rows_and_first_entry(spark):
     assert [(r.name, r.short_description) for r in catalog] == [("$match", "Filters")] and len(catalog[0].content_hash) == 64
 
 
+def test_pages_of_one_file_are_dealt_over_tasks(spark):
+    """One partition of many pages is read by many tasks, copies and null keys included."""
+    ids = spark.range(0, 5000, 1, 1).selectExpr("IF(id < 10, NULL, id) AS page_id", "concat('http://x/', id) AS url")
+    pages = ids.withColumns({"html": F.lit(PAGE), "entity_type": F.lit("command"), "source_group": F.lit("command"), "source_label": F.lit("Label")})
+    rows, one = support_rows(pages), support_rows(pages.filter("page_id = 77"))
+    assert rows.rdd.getNumPartitions() == 3 and one.rdd.getNumPartitions() == 1
+    assert rows.count() == 5000 * one.count() > 0
+    assert reference_rows(pages).rdd.getNumPartitions() == 3
+
+
 def test_page_text(spark):
     html = "<!DOCTYPE html><title>A</title><script>var x='F12345-99'</script><!-- March 2001 --><p>My  API &lt;x&gt;</p><p>F12345-01, 12 May 2024</p><p>This\nmanual reflects version 8.0 of it</p>"
     pages = spark.createDataFrame([(1, "u", html)], "page_id LONG, url STRING, html STRING")
