@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as entry
 from compare import TABLES, bag
 from conftest import DATA
-from portlens.cases.queries import check_sql, registered
+from portlens.cases import inputs, queries
+from portlens.cases.queries import Inputs, check_sql, registered
 
 QUERIES = registered()
 CHECKS = check_sql()
@@ -39,3 +40,12 @@ def test_query_matches_check(name, spark, base) -> None:
 def test_entry_runs(spark) -> None:
     rows = entry.entry(spark).collect()
     assert rows and rows[0]["effective_complexity"] in ("Blocker", "High", "Medium")
+
+
+def test_events_of_one_row_group_are_dealt_over_tasks(spark, tmp_path, monkeypatch) -> None:
+    monkeypatch.setattr(queries, "EVENT_ROWS", 100, raising=False)
+    spark.read.parquet(f"{DATA}/events.parquet").limit(1000).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = Inputs(spark, str(tmp_path))
+    assert found.table("events").rdd.getNumPartitions() == 1
+    assert len(found.profile.inputFiles()) == 10 and found.profile.count() == 1000
+    assert found.view(inputs.SHAPE_EVENTS, dealt=True).rdd.getNumPartitions() == 10
