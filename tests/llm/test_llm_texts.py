@@ -153,6 +153,17 @@ def test_the_model_beats_single_words_on_held_out_documents(spark):
     assert all(0.5 < r.bits_per_byte < 8 for r in held)
 
 
+def test_word_order_counts_in_the_model(make):  # noqa: F811
+    """Words in the order of training are likelier than the same words the other way round."""
+    held = [n for n in range(1000) if zlib.crc32(str(n).encode()) % 10 == 0][:2]
+    cycle = ["amber", "birch", "cedar", "delta", "ember"]
+    rows = [(n, " ".join(cycle * 6)) for n in range(200) if zlib.crc32(str(n).encode()) % 10]
+    got = {r.doc_id: r for r in op05_lm_score.query(make([*rows, (held[0], " ".join(cycle * 6)), (held[1], " ".join(cycle[::-1] * 6))])).collect()}
+    told, turned = got[held[0]], got[held[1]]
+    assert told.held_out and turned.held_out and told.base_score == pytest.approx(turned.base_score)
+    assert told.score > turned.score + 1
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
     from portlens.llm.common import table
