@@ -7,6 +7,7 @@ import time
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from portlens.operators import walk
 from portlens.operators.usage import USAGE_KEYS, feature_details, features, usage_counts, usage_rollup
 from portlens.operators.walk import needs_walk
 
@@ -212,3 +213,19 @@ def test_every_group_is_rolled_up_once_for_any_key(spark):
     newest = {r.collection: r.sample_path for r in rolled if r.feature_name == "$gt"}
     assert newest == {"c0": "command.filter.f6.$gt", "c1": "command.filter.f4.$gt", "c2": "command.filter.f5.$gt"}
     assert all(r.sample_value is not None for r in rolled)
+
+
+def test_first_level_expr_is_read_from_the_text(spark):
+    docs = [
+        ("find", {"filter": {"$expr": {"$gt": ["$a", {"$abs": 1}]}, "b": {"$in": [1]}}}, False),
+        ("find", {"filter": {"$expr": {"$expr": {"$gt": ["$a", 1]}}}}, True),
+        ("find", {"filter": {"$or": [{"$expr": {"$gt": ["$a", 1]}}]}}, True),
+        ("find", {"filter": {"a": "$expr", "b": {"$gt": 1}}, "projection": {"c": {"$slice": 2}}}, True),
+        ("findAndModify", {"findAndModify": "c", "query": {"$expr": {"$lt": ["$a", 1]}}, "update": {"$set": {"x": 1}}}, False),
+        ("update", {"updates": [{"q": {"a": {"$gt": 1}}, "u": {"$set": {"b": 1}}}, "text", 7, None, [{"q": {"$in": 1}}], {"q": {"$ne": 1}}]}, False),
+        ("delete", {"deletes": [{"q": {"a": {"$lt": 1}}}, "", [1], {"q": {"$or": []}, "limit": 1}]}, False),
+    ]
+    assert_same(spark, [(command, doc) for command, doc, _ in docs])
+    rows = spark.createDataFrame([(n, command, json.dumps(doc)) for n, (command, doc, _) in enumerate(docs)], "n INT, command STRING, doc STRING")
+    opened = rows.withColumn("parts", walk.command_parts("doc")).orderBy("n").select(F.expr(walk._deep_expr("doc", "command", "parts")))
+    assert [r[0] for r in opened.collect()] == [walked for _, _, walked in docs]
