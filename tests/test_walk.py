@@ -3,11 +3,12 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
+from collections import Counter
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from portlens.operators import walk
+from portlens.operators import tally, walk
 from portlens.operators.usage import USAGE_KEYS, feature_details, features, usage_counts, usage_rollup
 from portlens.operators.walk import needs_walk
 
@@ -229,3 +230,36 @@ def test_first_level_expr_is_read_from_the_text(spark):
     rows = spark.createDataFrame([(n, command, json.dumps(doc)) for n, (command, doc, _) in enumerate(docs)], "n INT, command STRING, doc STRING")
     opened = rows.withColumn("parts", walk.command_parts("doc")).orderBy("n").select(F.expr(walk._deep_expr("doc", "command", "parts")))
     assert [r[0] for r in opened.collect()] == [walked for _, _, walked in docs]
+
+
+def test_documents_are_counted_in_batches_or_left_open(spark):
+    """Escapes, `$expr` at any depth and repeated keys need no walk; texts in place of stages and broken documents do."""
+    closed = [
+        ("find", {"filter": {"t": 'said "$gt": no', "$or": [{"$expr": {"$expr": {"$gt": ["$a", {"$gt": 1}]}}}, {"a": {"$in": [{"$in": 1}]}}]}, "projection": "x"}),
+        ("aggregate", {"pipeline": [{"$match": {"$expr": {"$gt": 1}, "t": "a\\b"}}, {}, 7, "text", {"$lookup": {"pipeline": [{"$facet": {"a": [{"$limit": 1}], "b": 1}}]}}, {"$facet": [{"$c": 1}]}, {"$lookup": "x"}]}),
+        ("update", {"updates": [{"q": {"n": {"$eq": n}}, "u": {"$set": {"é": n}}} for n in range(40)] + ["text", None]}),
+        ("delete", {"deletes": {"q": {"$in": 1}}}),
+        ("findAndModify", {"query": {"a": {"$lt": 1}}, "update": [{"$set": {"b": 1}}]}),
+        ("insert", {"insert": "c", "documents": [{"$a": 1}]}),
+        ("hello", {"hello": 1}),
+    ]
+    left = [
+        ("find", '{"filter":{"$a":NaN}}'), ("find", '{"filter":{"$a":1}} {'), ("find", '[{"filter":{"$a":1}}]'), ("find", "text"), ("find", ""), ("find", None), ("find", r'{"filter":{"$\ud800":1}}'),
+        ("aggregate", r'{"pipeline":["{\"$match\":{}}",{"$limit":1}]}'), ("aggregate", r'{"pipeline":[{"$facet":"{\"a\":[{\"$limit\":1}]}"}]}'), ("find", '{"filter":' + '{"$a":' * 200_000 + "1" + "}" * 200_001),
+    ]
+    rows = [(n, command, json.dumps(doc)) for n, (command, doc) in enumerate(closed)] + [(100 + n, *row) for n, row in enumerate(left)]
+    rows += [(50, "find", '{"filter":{"a":{"$gt":1,"$gt":2},"a":{"$lt":1},"$or":[],"$or":[{"$in":1}]}}'), (51, None, '{"find":1}')]
+    frame = spark.createDataFrame(rows, "event_key LONG, command_name STRING, command_doc STRING")
+    got = {r.event_key: r.uses for r in frame.select("event_key", tally.counted_features("command_doc", "command_name").alias("uses")).collect()}
+    as_counts = lambda uses: {(u.feature_type, u.feature_name): u.n for u in uses}
+    for n, (command, doc) in enumerate(closed):
+        assert as_counts(got[n]) == Counter(f[:2] for f in expected(command, doc)), (command, doc)
+    assert as_counts(got[50]) == {("command", "find"): 1, ("operator", "$lt"): 1, ("operator", "$or"): 1, ("operator", "$in"): 1}
+    assert got[51] == [] and [got[100 + n] for n in range(len(left))] == [None] * len(left)
+
+    native = frame.filter("event_key < 109").withColumn("parts", walk.command_parts("command_doc")).select("event_key", F.explode(walk.feature_names("command_doc", "command_name", "parts")).alias("f"))
+    events = frame.filter("event_key < 109").selectExpr("*", "CAST(NULL AS TIMESTAMP_NTZ) ts", "'app' db_name", "'c' collection_name", "'command' op", "1L duration_ms")
+    one_by_one = features(events).select("event_key", "feature_type", "feature_name").collect()
+    assert sorted(map(tuple, one_by_one)) == sorted((r.event_key, *r.f) for r in native.collect())
+    names = {key: command for key, command, _ in rows}
+    assert {(r.feature_type, r.feature_name, r.command_name): r.usage_count for r in usage_counts(events).collect()} == Counter((r.feature_type, r.feature_name, names[r.event_key]) for r in one_by_one)
