@@ -15,20 +15,13 @@ from itertools import chain
 
 import numpy as np
 
-from portlens.llm.tokens import Numbers, _Ragged
+from portlens.llm.tokens import Numbers, _Ragged, byte_signs
 
 REMEMBERED_BYTES = 4 << 20
 _ODD = re.compile(r"\s\s|[^\S \n]|\s\Z")
 SPACE_SIGN = "▁"
 
 
-def _byte_signs() -> dict[str, int]:
-    """The byte that each sign of a byte-level vocabulary stands for: printable ones for themselves, the rest from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class Aligner:
     def __init__(self, path_a: str, path_b: str, remembered: int = REMEMBERED_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,7 +32,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         with open(path_a, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
-        signs = _byte_signs()
+        signs = byte_signs()
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(signs[c] for c in token)

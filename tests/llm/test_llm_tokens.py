@@ -31,6 +31,24 @@ def test_words_give_the_tokenizer_s_ids():
         assert [ids.tolist() for ids in encoder.encode(texts)] == token_ids(texts)
 
 
+def test_parts_are_learned_once_and_many_at_a_time():
+    """Parts stay known when the table of words is emptied, and go to the tokenizer in few texts."""
+    names = [a + b for a in "bcdfg" for b in ("ab", "eci", "idy", "on", "ufe", "ym\u010b")]
+    texts = [" ".join(f"{x}-{y}" for y in names) for x in names]
+    encoder, sent = WordTokens(default_path(), remembered=200), []
+
+    class Counted:
+        def encode_batch_fast(self, lines: list[str], **options: bool) -> list:
+            sent.append(lines)
+            return parts.encode_batch_fast(lines, **options)
+
+    parts, encoder.of_parts = encoder.of_parts, Counted()
+    found = [ids.tolist() for text in texts for ids in encoder.encode([text])]
+    assert found == token_ids(texts) and len(encoder.words) < len(names) ** 2
+    assert sum(lines.count(encoder.spelled[10]) for batch in sent for lines in batch) == len(names) + 1
+    assert sum(map(len, sent)) == 1
+
+
 def test_packing_places_every_id_once(make):  # noqa: F811
     pieces = op04_packing.pack(make(ROWS)).collect()
     wanted = Counter((r[0], tuple(ids), len(ids)) for r, ids in zip(ROWS, ([*i, 2] for i in token_ids([r[1] for r in ROWS])), strict=True))
