@@ -289,4 +289,4 @@ def collocations(docs: DataFrame, least: int = LEAST, per_lang: int | None = PER
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return collocations(docs)
+    return collocations(docs).drop("path_words")
