@@ -264,3 +264,45 @@ def test_classes_and_byte_code_come_from_all_training_documents(make):  # noqa:
         if zlib.crc32(str(i).encode()) % 10:
             wanted.update(b"".join(w + b"\x01" for w in text.encode().split()))
     assert code[1].tolist() == op05_lm_score.model.prefix_code(np.array([wanted[b] for b in range(256)]))[1].tolist()
+
+
+def test_pairs_of_one_word_share_its_contexts():
+    """What does not depend on the word before is there once for each word and class; scores are those of a count by hand."""
+    from portlens.llm import mixing_model as model
+
+    code = model.prefix_code(np.bincount(np.frombuffer(b"abc" * 9 + b"abcd", np.uint8), minlength=256))
+    words, classes = [b"ab", b"ab", b"ab", b"abcd", b"b"], np.array([0, 0, 1, 0, 0])
+    before, counts = np.array([7, 8, 7, 7, 0], np.uint64), np.array([3, 1, 2, 0, 4])
+    positions = model.Positions(words, classes, code, before)
+    bytes_of = {n: 3 + 3 + 5 + 2 if n != model.FOLLOWS else 3 * 3 + 5 + 2 for n in range(model.ORDERS)}
+    assert {n: len(c) for n, c in enumerate(positions.contexts)} == bytes_of
+    entries = positions.entries(2)
+    found = np.zeros((int(entries.lengths.sum()), 2), np.int64)
+    for shard in range(2):
+        own = np.flatnonzero(entries.shard == shard)
+        bits = np.concatenate([np.arange(a, a + n) for a, n in zip(entries.starts[own], entries.lengths[own], strict=True)])
+        found[bits] = model.bit_counts(entries.keys[own], entries.bytes[own], entries.weights(positions, counts)[own], code)
+
+    def context(n: int, i: int, p: int) -> tuple:
+        text = bytes(32) + words[i]
+        size = (2, 3, 4, 6, 32, 32, 3, 32)[n]
+        return (n, text[32 + p - size : 32 + p], before[i] if n == model.FOLLOWS else None, classes[i] if n > model.FOLLOWS else None)
+
+    spelled = [[(p, format(int(code[0][b]), f"0{int(code[1][b])}b")) for p, b in enumerate(w + b"\x01")] for w in words]
+    seen: Counter = Counter()
+    for i, word in enumerate(spelled):
+        for p, said in word:
+            for d in range(len(said)):
+                for n in range(model.ORDERS):
+                    seen[context(n, i, p), said[: d + 1]] += int(counts[i])
+    mixer = model.Mixer(np.random.default_rng(5).normal(0.15, 0.05, (model.BUCKETS, model.ORDERS, model.BUCKETS)))
+    wanted = []
+    for i, word in enumerate(spelled):
+        total = 0.0
+        for p, said in word:
+            for d in range(len(said)):
+                each = [model._inputs(*(np.array([seen[context(n, i, p), said[:d] + bit]]) for bit in "01")) for n in range(model.ORDERS)]
+                one = mixer.refine(*mixer.mix([x for x, _ in each], [b for _, b in each]))[0]
+                total += math.log10(one if said[d] == "1" else 1 - one)
+        wanted.append(total)
+    assert model.score(mixer, positions, entries, found) == pytest.approx(wanted, rel=1e-9)
