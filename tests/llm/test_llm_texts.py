@@ -306,3 +306,50 @@ def test_pairs_of_one_word_share_its_contexts():
                 total += math.log10(one if said[d] == "1" else 1 - one)
         wanted.append(total)
     assert model.score(mixer, positions, entries, found) == pytest.approx(wanted, rel=1e-9)
+
+
+def test_ways_have_the_counts_of_all_that_follows_a_word():
+    from portlens.llm import mixing_model as model
+    from portlens.llm.followers import by_bits, followed, from_bytes, to_bytes, ways
+
+    numbers = np.array([0, 1, 127, 128, 16_383, 16_384, 2**40, 2**62])
+    assert from_bytes(to_bytes(numbers)[0]).tolist() == numbers.tolist()
+    generator = np.random.default_rng(2)
+    words = sorted({bytes(generator.integers(97, 100, k % 5 + 1, dtype=np.uint8)) for k in range(200)} | {b"q" * 31, b"q" * 32, b"q" * 70, b"a\x01", b"a\x01b"})
+    code = model.prefix_code(np.bincount(np.frombuffer(b"aaab\x01", np.uint8), minlength=256))
+    order, table, bits = by_bits(words, code)
+    words = [words[i] for i in order]
+    group, word = (x.reshape(-1) for x in np.meshgrid(np.arange(5), np.arange(len(words)), indexing="ij"))
+    kept = generator.random(len(word)) < 0.6
+    group, word, n = group[kept], word[kept], generator.integers(0, 4, int(kept.sum()))
+    spelled = ["".join(format(int(code[0][b]), f"0{int(code[1][b])}b") for b in (w.partition(b"\x01")[0] + b"\x01")[:32]) for w in words]
+    assert bits.tolist() == [*map(len, spelled)]
+    seen: Counter = Counter()
+    for g, w, k in zip(group.tolist(), word.tolist(), n.tolist(), strict=True):
+        for d in range(len(spelled[w]) + 1):
+            seen[g, spelled[w][:d]] += k
+    start = np.minimum(3, bits)[word] * (group == 2)
+    data, sizes = ways(group, word, n, start, table, bits)
+    counts, after = followed(data)
+    at = 0
+    for g, w, a, own in zip(group.tolist(), word.tolist(), start.tolist(), np.split(data, np.cumsum(sizes)[:-1]), strict=True):
+        told = followed(own)[0].tolist()
+        assert told == [seen[g, spelled[w][:d]] for d in range(a, len(spelled[w]) + 1)]
+        assert counts[at : at + len(told)].tolist() == told and after[at : at + len(told) - 1].tolist() == told[1:]
+        at += len(told)
+
+
+def test_chunks_parts_and_frequent_words_change_no_score(make, monkeypatch):  # noqa: F811
+    long = ["http://example.org/a/long/path/of/things/" + str(k) for k in range(4)] + ["q" * 33, "q" * 70, "ab" * 40, "a", "a\x01", "a\x01b", "\x01"]
+    rows = [*ODD, *((100 + n, prose(n % 30, 60 + n % 7)) for n in range(90)), *((300 + n, " ".join(long[(n * k) % 11] for k in range(40)) + " the x the") for n in range(40))]
+
+    def found() -> list:
+        return sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in op05_lm_score.query(make(rows)).collect())
+
+    whole = found()
+    # Many parts and chunks; the words after most words are dealt by their first bytes.
+    for name, value in (("PART_WORDS", 300), ("CHUNK_WORDS", 500), ("FREQUENT", 3), ("SHARE", 10**9)):
+        monkeypatch.setattr(op05_lm_score, name, value)
+    _, _, often = op05_lm_score.surveyed(make(rows))
+    assert {b"a", b"x", b"the", b"q" * 70} < set(often)
+    assert found() == whole
