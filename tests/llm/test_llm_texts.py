@@ -348,7 +348,7 @@ def test_chunks_parts_and_frequent_words_change_no_score(make, monkeypatch):  #
 
     whole = found()
     # Many parts and chunks; the words after most words are dealt by their first bytes.
-    for name, value in (("PART_WORDS", 300), ("CHUNK_WORDS", 500), ("FREQUENT", 3), ("SHARE", 10**9)):
+    for name, value in (("PART_WORDS", 300), ("CHUNK_WORDS", 500), ("FREQUENT", 3), ("SHARE", 10**9), ("SLICE", 7)):
         monkeypatch.setattr(op05_lm_score, name, value)
     _, _, often = op05_lm_score.surveyed(make(rows))
     assert {b"a", b"x", b"the", b"q" * 70} < set(often)
